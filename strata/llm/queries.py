@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing
+from . import fingerprint, jaccard, mixing, substring
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,19 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.half_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all ``documents`` covered by 13-word windows that start in an earlier document."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents`` under 5-word shingle Jaccard of 0.75 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
+    return {"op3_substring_dedup": op3_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
