@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, mixing, substring
+from . import fingerprint, jaccard, mixing, packing, substring
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,18 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.half_edited(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; the folder is a setting, never part of this repository."""
+    folder = os.environ.get("STRATA_TOKENIZERS", "/opt/tokenizers")
+    return f"{folder}/{name}"
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 1024 tokens."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all ``documents`` covered by 13-word windows that start in an earlier document."""
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
@@ -52,7 +65,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_substring_dedup": op3_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
+    return {"op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,6 +62,33 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range (ranges in rising order)."""
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, "right")))
+        a, b = start[i], end[j - 1]
+        up, down = powers(_WORD_BASE, int(b - a) + 1)
+        total = np.zeros(b - a + 1, U)
+        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+        i = j
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> list[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most so many bytes of text each (a longer text is a part of its own)."""
+    _, offsets = string_buffers(batch.column(column))
+    out, i = [], 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        out.append(batch.slice(i, j - i))
+        i = j
+    return out
+
+
 class Words:
     """The words of some texts: byte ranges, hashes, and each text's range of words."""
 
@@ -80,21 +107,7 @@ class Words:
         after |= edge[1:]
         self.end = np.flatnonzero(~space & after) + 1
         self.first = np.searchsorted(self.start, offsets)  # of each text; one more at the end
-        self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.start), U)
-        i = 0
-        while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SPAN, "right")))
-            a, b = self.start[i], self.end[j - 1]
-            up, down = powers(_WORD_BASE, int(b - a) + 1)
-            total = np.zeros(b - a + 1, U)
-            np.cumsum(_BYTE[self.data[a:b]] * up[: b - a], out=total[1:])
-            s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-            i = j
-        return out
+        self.hash = span_hashes(self.data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
