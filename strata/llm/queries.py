@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, mixing, packing, substring
+from . import fingerprint, jaccard, mixing, packing, substring, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,16 @@ def tokenizer_path(name: str) -> str:
     return f"{folder}/{name}"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all ``documents``; a third of the labels stays unseen."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    return model.score(docs).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of at most 1024 tokens."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
@@ -65,7 +75,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
+    return {"op1_toxicity": op1_toxicity, "op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
