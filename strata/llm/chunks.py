@@ -93,7 +93,7 @@ class Chunk:
 
 def _chunk_row(number: int, ids: list[np.ndarray], texts: list[bytes], sizes: list[np.ndarray]) -> pa.RecordBatch:
     i, z, body = np.concatenate(ids), np.concatenate(sizes), b"".join(texts)
-    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(body)]
+    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=5).compress(body)]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 

@@ -62,6 +62,19 @@ def _entries(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], low, (high - low).view(np.uint64)
 
 
+def _counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys, and 1 or 2 for one or several documents: all that a level before the last needs."""
+    keys, low, more = _entries(keys, docs)
+    return keys, (1 + (more > 0)).astype(np.uint8)
+
+
+def _repeated(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tell about keys that several documents have, or one in several chunks."""
+    several = np.add.reduceat(bucket.values[0].astype(np.int64), bucket.starts) > 1
+    group = bucket.group()
+    return several[group], [bucket.keys[group]]
+
+
 def _in_several(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     """Tell about keys of several documents: the key and its smallest id."""
     low = bucket.per_key(np.minimum, 0)
@@ -71,11 +84,12 @@ def _in_several(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     return (low < high)[group], [bucket.keys[group], low[group]]
 
 
-def _told(answers: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([a[1] for a in answers.values()] or [np.zeros(0, np.uint64)])
-    low = np.concatenate([a[2] for a in answers.values()] or [np.zeros(0, np.int64)])
-    order = np.argsort(keys)
-    return keys[order], low[order]
+def _told(answers: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
+    """The keys that were told about in order, and what was told."""
+    got = list(answers.values()) or [[np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]]
+    columns = [np.concatenate([a[k] for a in got]) for k in range(1, len(got[0]))]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
 
 
 def _find(keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +124,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         else:
             hashed, where = anchors(words, sizes[0], sizes[1])
             at = np.unique(where[where >= 0])
-        return _entries(hashed[at], chunk.ids[words.document_of()[at]])
+        local = _entries if len(sizes) == 1 else _counted
+        return local(hashed[at], chunk.ids[words.document_of()[at]])
 
     rows = keyed(chunks, buckets, first)
     for level in range(1, len(sizes)):
-        answers = answered(rows, _in_several)
+        answers = answered(rows, _repeated)
         short, long = sizes[level - 1], sizes[level]
 
         def extend(chunk: Chunk, got: dict, level: int = level, short: int = short, long: int = long) -> pa.Table:
             words = words_of(chunk)
-            told, _ = _told(got)
+            told = _told(got)[0]
             if level == 1:
                 hashed, where = anchors(words, short, long)
                 known, _ = _find(hashed, told)
@@ -132,7 +147,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 starts = np.flatnonzero(fits)
                 starts = starts[known[starts] & known[starts + long - short]]
             longer, _ = words.windows(long)
-            keys, *values = _entries(longer[starts], chunk.ids[words.document_of()[starts]])
+            local = _entries if long == window else _counted
+            keys, *values = local(longer[starts], chunk.ids[words.document_of()[starts]])
             return pa.Table.from_batches([packed_rows([(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)])])
 
         rows = rejoin(chunks, answers, buckets, extend, _KEYED)
