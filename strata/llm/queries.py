@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, mixing, packing, substring, toxicity, warc
+from . import ann, fingerprint, jaccard, mixing, packing, substring, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,13 +86,18 @@ FROM f
 """
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all ``embeddings`` at a cosine of 0.9 or more."""
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` under 5-word shingle Jaccard of 0.75 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op5_warc": op5_warc, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
+    return {"op1_toxicity": op1_toxicity, "op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op5_warc": op5_warc, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
