@@ -207,8 +207,13 @@ def merged(number: int, chunk_numbers: list[int], bodies: list[bytes]) -> Bucket
     return Bucket(number, list(chunk_numbers), keys[starts], starts, owner, place, values)
 
 
-def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
-    """(chunk, bucket, body): ``answer`` gives a mask of a bucket's entries to tell about and per-entry values."""
+#: The chunk number of rows that tell about a bucket as a whole.
+SUMMARY = -1
+
+
+def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]], summary: Callable[[Bucket], list[np.ndarray]] | None = None) -> DataFrame:
+    """(chunk, bucket, body): ``answer`` gives a mask of a bucket's entries to tell about and per-entry values.
+    ``summary`` adds a row about the whole bucket, its chunk number SUMMARY."""
 
     def run(table: pa.Table) -> pa.Table:
         got = merged(table.column("bucket")[0].as_py(), table.column("chunk").to_pylist(), table.column("body").to_pylist())
@@ -216,7 +221,7 @@ def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[
         at = np.flatnonzero(told)
         at = at[np.argsort(got.owner[at], kind="stable")]
         edges = np.searchsorted(got.owner[at], np.arange(len(got.chunks) + 1))
-        out = []
+        out = [(SUMMARY, got.number, pack(*summary(got)))] if summary else []
         for c, number in enumerate(got.chunks):
             mine = at[edges[c] : edges[c + 1]]
             if len(mine):

@@ -89,25 +89,11 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> list[pa.RecordBatch
     return out
 
 
-class Words:
-    """The words of some texts: byte ranges, hashes, and each text's range of words."""
+class Sequences:
+    """Hashed tokens of some texts, and each text's range of tokens."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data = LOWER[data] if lower else data
-        n = len(data)
-        space = SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.ones(n, bool)
-        before[1:] = space[:-1]
-        before |= edge[:n]
-        self.start = np.flatnonzero(~space & before)
-        after = np.ones(n, bool)
-        after[:-1] = space[1:]
-        after |= edge[1:]
-        self.end = np.flatnonzero(~space & after) + 1
-        self.first = np.searchsorted(self.start, offsets)  # of each text; one more at the end
-        self.hash = span_hashes(self.data, self.start, self.end)
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.hash, self.first = hashes, first
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -141,5 +127,26 @@ class Words:
         with np.errstate(over="ignore"):
             return mix(np.array([(h * up[: len(h)]).sum(dtype=U) + U(len(h))], U))[0]
 
+
+class Words(Sequences):
+    """The words of some texts: byte ranges, hashes, and each text's range of words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        self.data = LOWER[data] if lower else data
+        n = len(data)
+        space = SPACE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        before = np.ones(n, bool)
+        before[1:] = space[:-1]
+        before |= edge[:n]
+        self.start = np.flatnonzero(~space & before)
+        after = np.ones(n, bool)
+        after[:-1] = space[1:]
+        after |= edge[1:]
+        self.end = np.flatnonzero(~space & after) + 1
+        self.first = np.searchsorted(self.start, offsets)  # of each text; one more at the end
+        self.hash = span_hashes(self.data, self.start, self.end)
+
     def __getitem__(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
