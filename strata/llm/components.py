@@ -42,27 +42,47 @@ def _thinned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null").mapInArrow(run, "a long, b long")
 
 
+#: So many edges (8 MB) one task can finish by itself.
+SMALL = 500_000
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """(a, b) from every node to the smallest of its component, for at most SMALL edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if held:
+            a, b = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.coalesce(1).mapInArrow(run, "a long, b long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Each round: nodes point their larger neighbours at their smallest (large
-    star), then their smaller ones (small star). Rounds are written to the shared
-    folder and end when one changes nothing; their number grows with the
-    logarithm of the longest path. Self edges only name a node.
+    Spanning forests of the partitions come first. While more than SMALL edges are
+    left, rounds follow: nodes point their larger neighbours at their smallest
+    (large star), then their smaller ones (small star); a round is written to the
+    shared folder and the last is the one that changes nothing. Self edges only
+    name a node.
     """
     named = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).where("node is not null").distinct()
     current = materialize(_thinned(edges.where("a <> b")).distinct(), "edges")
+    mark = None
     while True:
+        seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if seen["n"] <= SMALL:
+            labels = _finished(current).select("a", F.col("b").alias("component"))
+            break
+        if mark == tuple(seen):
+            labels = current.groupBy("a").agg(F.min("b").alias("component"))
+            break
+        mark = tuple(seen)
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = materialize(small.where("a <> b").distinct(), "edges")
-        done = after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty()
-        current = after
-        if done:
-            break
-    labels = current.groupBy("a").agg(F.min("b").alias("component"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        current = materialize(_thinned(small.where("a <> b")).distinct(), "edges")
     return named.join(labels, named["node"] == labels["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
