@@ -26,12 +26,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .shared import materialize
 
 #: Text bytes of a chunk (one longer document makes a chunk of its own) and keys of a bucket.
 CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 3_000_000
-CHUNK_SCHEMA = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, body binary"
+CHUNK_SCHEMA = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, body binary, rest binary"
 _KEYED = "bucket int, chunk long, body binary"
 _ANSWER = "chunk long, bucket int, body binary"
 U = np.uint64
@@ -83,6 +85,7 @@ class Chunk:
     ids: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    rest: pa.Table | None = None
 
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
@@ -91,15 +94,26 @@ class Chunk:
         return len(self.ids)
 
 
-def _chunk_row(number: int, ids: list[np.ndarray], texts: list[bytes], sizes: list[np.ndarray]) -> pa.RecordBatch:
+def _chunk_row(number: int, ids: list[np.ndarray], texts: list[bytes], sizes: list[np.ndarray], rest: list[pa.RecordBatch]) -> pa.RecordBatch:
     i, z, body = np.concatenate(ids), np.concatenate(sizes), b"".join(texts)
-    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=5).compress(body)]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=5).compress(body), _stored(rest)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
 
-def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Bundle (id, text) into chunk rows, written to the shared folder. Null texts are empty; rows without an id go."""
+def _stored(rest: list[pa.RecordBatch]) -> bytes | None:
+    if not rest or not rest[0].num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rest[0].schema) as out:
+        for batch in rest:
+            out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Bundle (id, text) and the columns to carry into chunk rows, written to the shared folder. Null texts are empty;
+    rows without an id are left out."""
     from .textkit import string_buffers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +121,7 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids: list[np.ndarray] = []
         texts: list[bytes] = []
         sizes: list[np.ndarray] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
@@ -117,15 +132,16 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids.append(own[i:j])
                 sizes.append(np.diff(offsets[i : j + 1]))
                 texts.append(data[offsets[i] : offsets[j]].tobytes())
+                rest.append(pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[2:]], batch.schema.names[2:]))
                 held += len(texts[-1])
                 i = j
                 if held >= 0.9 * chunk_bytes:
-                    yield _chunk_row(part << 32 | seq, ids, texts, sizes)
-                    ids, texts, sizes, held, seq = [], [], [], 0, seq + 1
+                    yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest)
+                    ids, texts, sizes, rest, held, seq = [], [], [], [], 0, seq + 1
         if ids:
-            yield _chunk_row(part << 32 | seq, ids, texts, sizes)
+            yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest)
 
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
     return materialize(chosen.mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
@@ -138,7 +154,9 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 def chunk_from(row: dict) -> Chunk:
     sizes = np.frombuffer(row["sizes"], np.int64)
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8) if len(row["body"]) else np.zeros(0, np.uint8)
-    return Chunk(row["chunk"], np.frombuffer(row["ids"], np.int64), data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+    rest = row.get("rest")
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all() if rest else None
+    return Chunk(row["chunk"], np.frombuffer(row["ids"], np.int64), data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), table)
 
 
 def corpus_bytes(chunks: DataFrame) -> int:
@@ -232,7 +250,7 @@ def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[
     return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
 
 
-def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..., pa.Table], schema: str) -> DataFrame:
+def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..., pa.Table], schema: str | StructType, carried: bool = False) -> DataFrame:
     """Bring every chunk together with its answers.
 
     ``run(chunk, answers)`` gets the answers as a dict from bucket to its arrays
@@ -241,10 +259,12 @@ def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..
 
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         got = {b: unpack(body) for b, body in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
-        tables = [run(chunk_from(row), got) for row in left.select(["chunk", "ids", "sizes", "body"]).to_pylist()]
-        return pa.concat_tables(tables)
+        tables = [run(chunk_from(row), got) for row in left.to_pylist()]
+        return pa.concat_tables(tables) if tables else empty
 
-    left = chunks.select("chunk", "ids", "sizes", "body").groupBy("chunk")
+    columns = ["chunk", "ids", "sizes", "body", *["rest"] * carried]
+    empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
+    left = chunks.select(*columns).groupBy("chunk")
     return left.cogroup(answers.groupBy("chunk")).applyInArrow(go, schema)
 
 

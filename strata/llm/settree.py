@@ -12,6 +12,8 @@ components, never all pairs of a group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,20 +120,23 @@ def tree_links(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int,
     return out
 
 
-def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-    return ids, sizes, [np.sort(np.frombuffer(t.as_py(), np.uint64)) for t in table.column("tokens")]
+def stored_tokens(body: bytes) -> np.ndarray:
+    return np.sort(np.frombuffer(body, np.uint64))
+
+
+def _sets(table: pa.Table, decode: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return table.column("id").to_numpy(), table.column("n").to_numpy(), [decode(t.as_py()) for t in table.column("tokens")]
 
 
 def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([int(ids[x]) for x, _ in found], pa.int64()), "b": pa.array([int(ids[y]) for _, y in found], pa.int64())})
 
 
-def cluster_links(sets: DataFrame, clusters: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+def cluster_links(sets: DataFrame, clusters: DataFrame, num: int = 75, den: int = 100, decode: Callable[[bytes], np.ndarray] = stored_tokens) -> DataFrame:
     """Links (a, b) that connect similar sets of one cluster.
 
-    sets: (id, n, tokens) with distinct 64-bit tokens as bytes. clusters: (id,
-    cluster). Small clusters share tasks. A cluster of more than BLOCK sets is
+    sets: (id, n, tokens), n the set's size; ``decode`` gives its sorted distinct
+    64-bit tokens (at most n). clusters: (id, cluster). Small clusters share tasks. A cluster of more than BLOCK sets is
     dealt over blocks: each is linked within, then one set per component found is
     linked across blocks, and lastly sets outside the cluster's largest component
     meet all blocks. That covers every pair of different components, while the
@@ -144,7 +149,7 @@ def cluster_links(sets: DataFrame, clusters: DataFrame, num: int = 75, den: int
     small = held.where(F.col("m") <= BLOCK).withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(bundles)))
 
     def within(table: pa.Table) -> pa.Table:
-        ids, sizes, tokens = _sets(table)
+        ids, sizes, tokens = _sets(table, decode)
         key = table.column("part").to_numpy()
         out = []
         order = np.argsort(key, kind="stable")
@@ -173,7 +178,7 @@ def cluster_links(sets: DataFrame, clusters: DataFrame, num: int = 75, den: int
 
     def outside(table: pa.Table) -> pa.Table:
         table = table.sort_by([("outer", "ascending")])
-        ids, sizes, tokens = _sets(table)
+        ids, sizes, tokens = _sets(table, decode)
         _, label = np.unique(table.column("component").to_numpy(), return_inverse=True)
         return _links(ids, tree_links(sizes, tokens, num, den, label, len(ids) - int(table.column("outer").to_numpy(zero_copy_only=False).sum())))
 

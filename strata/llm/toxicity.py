@@ -130,6 +130,18 @@ class ToxicityModel:
             return raw.select("doc_id", F.col("raw").alias("score"))
         return self.calibration.transform(raw).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
+    def judge(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``docs`` with ``_score``, in one pass and whatever their other columns are called."""
+        names = docs.drop("_score").columns
+        plain = docs.select(F.col(f"`{text_col}`").alias("_judged"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.lit(0).cast("long").alias("_none"))
+        found = with_features(plain, self.words, self.begun, "_none", "_judged", ("_row",))
+        if self.trees is None:
+            scored = found.select("_row", F.lit(self.prior).alias("score"))
+        else:
+            scored = _raw(self.trees, found, "_row")
+            scored = scored.withColumnRenamed("raw", "score") if self.calibration is None else self.calibration.transform(scored)
+        return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("score").alias("_score"))
+
 
 def _raw(trees: GBTClassificationModel, found: DataFrame, *keep: str) -> DataFrame:
     vectors = VectorAssembler(inputCols=NAMES, outputCol="vector").transform(found)
