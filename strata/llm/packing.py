@@ -1,8 +1,8 @@
 """Tokenising documents and packing them into sequences by bulk-synchronous best fit.
 
-Tokenising. A pre-token of a byte-level BPE never continues across a space that
-follows a character other than white space, so texts are cut there, each distinct
-segment is encoded once per worker, and ids are gathered per document.
+Tokenising. Texts are cut where a pre-token of a byte-level BPE surely ends (before
+a space after a visible character, say), each distinct segment is encoded once
+per worker, and ids are gathered per document.
 
 Packing. Pieces are range-sorted by falling length and ranked within their length
 class by a distributed scan; open sequences are kept as runs of equal gaps. A
@@ -17,6 +17,7 @@ and is joined back to the ranked pieces.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,17 +30,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, parts
-from .textkit import SPACE, slices, span_hashes, string_buffers
+from .textkit import slices, span_hashes, string_buffers
 
 LENGTH, END_ID = 1024, 2
 #: Text bytes tokenised at a time; distinct segments a worker remembers.
-SLICE, REMEMBER = 4 << 20, 3_000_000
+SLICE, REMEMBER = 2 << 20, 2_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 #: The pre-token pattern of this family of byte-level vocabularies (a fixed value of the format).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_WHITE = {chr(c) for c in range(0x3001) if chr(c).isspace()}
 
 
 def quick_encoder(path: str):  # noqa: ANN201
@@ -76,27 +76,25 @@ class SegmentTokenizer:
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, segments: list[str]) -> None:
-        if len(self.known) + len(hashes) > REMEMBER:
-            self._clear()
-        # segments with white space only at their start are encoded together, a line feed between them
-        clean = np.array([self.quick is not None and len(s) > 1 and len(s.split()) == 1 and s[-1] not in _WHITE and (s[0] == " " and s[1] not in _WHITE or s[0] not in _WHITE) and "<|" not in s for s in segments], bool)
-        order = np.concatenate((np.flatnonzero(clean), np.flatnonzero(~clean)))
-        parts_, sizes = [self.ids], [np.zeros(0, np.int64)]
-        if clean.any():
-            ids = np.array(self.quick.encode_ordinary("\n".join([segments[k] for k in order[: clean.sum()]])), np.uint32)
-            breaks = np.flatnonzero(ids == self.newline)
-            assert len(breaks) == clean.sum() - 1
-            sizes.append(np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
-            parts_.append(ids[ids != self.newline])
-        coded = [e.ids for e in self.encoder.encode_batch_fast([segments[k] for k in order[clean.sum() :]], add_special_tokens=False)]
-        sizes.append(np.array([len(c) for c in coded], np.int64))
-        parts_.append(np.fromiter((i for c in coded for i in c), np.uint32, int(sizes[-1].sum())))
-        sizes, hashes = np.concatenate(sizes), hashes[order]
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        # clean segments are encoded together, a line feed between them
+        together = clean(data, start, end) if self.quick is not None else np.zeros(len(start), bool)
+        order = np.concatenate((np.flatnonzero(together), np.flatnonzero(~together)))
+        n, raw = int(together.sum()), data.tobytes()
+        ids, sizes = [self.ids], [np.zeros(0, np.int64)]
+        if n:
+            coded = np.array(self.quick.encode_ordinary(b"\n".join([raw[start[k] : end[k]] for k in order[:n]]).decode()), np.uint32)
+            breaks = np.flatnonzero(coded == self.newline)
+            assert len(breaks) == n - 1
+            sizes.append(np.diff(np.concatenate(([-1], breaks, [len(coded)]))) - 1)
+            ids.append(coded[coded != self.newline])
+        rest = [e.ids for e in self.encoder.encode_batch_fast([raw[start[k] : end[k]].decode("utf-8", "replace") for k in order[n:]], add_special_tokens=False)]
+        sizes.append(np.array([len(c) for c in rest], np.int64))
+        ids.append(np.fromiter((i for c in rest for i in c), np.uint32, int(sizes[-1].sum())))
         place = len(self.start) - 1 + np.arange(len(hashes))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate(parts_)
-        known = np.concatenate((self.known, hashes))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))))
+        self.ids = np.concatenate(ids)
+        known = np.concatenate((self.known, hashes[order]))
         order = np.argsort(known, kind="stable")
         self.known, self.place = known[order], np.concatenate((self.place, place))[order]
 
@@ -114,8 +112,7 @@ class SegmentTokenizer:
             if len(self.known) + int(new.sum()) > REMEMBER:
                 self._clear()
                 new[:] = True
-            raw = data.tobytes()
-            self._learn(uniq[new], [raw[start[f] : end[f]].decode("utf-8", "replace") for f in first[new]])
+            self._learn(uniq[new], data, start[first[new]], end[first[new]])
             at = np.searchsorted(self.known, uniq)
         place = self.place[at][inverse]
         sizes = self.start[place + 1] - self.start[place]
@@ -124,26 +121,60 @@ class SegmentTokenizer:
         return ids, ends[np.searchsorted(start, offsets)]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> SegmentTokenizer:
+    """One tokenizer, and what it has learned, for all tasks of a worker."""
+    return SegmentTokenizer(path)
+
+
+#: Byte classes: characters after which white space surely starts a pre-token, ASCII letters, and marks that end a word
+#: (all but "|", which special tokens hold).
+PLAIN = np.zeros(256, bool)
+PLAIN[0x21:0x7F] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK = PLAIN & ~LETTER
+MARK[[*range(0x30, 0x3A), ord("|")]] = False
+
+
+def after_wide(data: np.ndarray) -> np.ndarray:
+    """Second bytes of two-byte characters that start with 0xC3: none of them is white space, all but two are letters."""
+    out = np.zeros(len(data), bool)
+    out[1:] = data[:-1] == 0xC3
+    return out
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments: cut before a space that follows an ASCII character other than white space or a controls, or a letter of
-    the two-byte range that starts with 0xC3 (where there is no white space)."""
+    """Segments between places where a pre-token surely ends: before a space or line feed that follows a visible character,
+    after a single line feed, and between a letter and a mark. Characters of unsure class never make a place."""
     n = len(data)
-    plain = (data > 0x20) & (data < 0x7F) & ~SPACE[data]
-    wide = np.zeros(n, bool)
-    wide[1:] = data[:-1] == 0xC3
+    wide = after_wide(data)
+    visible = PLAIN[data] | wide
+    letter = LETTER[data] | (wide & (data != 0x97) & (data != 0xB7))
+    feed = data == 0x0A
     cut = np.zeros(n, bool)
-    cut[1:] = (data[1:] == 0x20) & (plain | wide)[:-1]
+    cut[1:] = ((data[1:] == 0x20) | feed[1:]) & visible[:-1] | MARK[data[1:]] & letter[:-1]
+    cut[2:] |= feed[1:-1] & visible[:-2] & (PLAIN[data[2:]] | (data[2:] == 0xC3))
     cut[offsets[:-1][offsets[:-1] < n]] = True
     start = np.flatnonzero(cut)
     return start, np.append(start[1:], n)
 
 
+def clean(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Segments of visible characters after at most one space, and without the beginning of a special token."""
+    unsure = ~(PLAIN[data] | after_wide(data) | (data == 0xC3))
+    unsure[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    bad = np.concatenate(([0], np.cumsum(unsure)))
+    space = data[start] == 0x20
+    return (bad[end] - bad[start] == space) & (end - start > space)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): each document's ids and ``end_id``, cut only where longer than
     ``length``: the remainder first, then full pieces. ids are little-endian unsigned 32-bit, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = SegmentTokenizer(tokenizer_path)
+        tokenize = worker_tokenizer(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
                 ids, starts = tokenize(batch.column(1))
