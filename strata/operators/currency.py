@@ -45,4 +45,4 @@ def rate_faults(fx: DataFrame) -> DataFrame:
     keys = ["rate_date", "base_ccy", "quote_ccy"]
     per = fx.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("rate") <= 0, F.lit(True))).alias("bad"))
     null_key = F.col("rate_date").isNull() | F.col("base_ccy").isNull() | F.col("quote_ccy").isNull()
-    return per.agg(F.coalesce(F.sum(F.when(null_key, F.col("n")).otherwise(0)), F.lit(0)).alias("null_keys"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_rates"), F.count_if("n > 1").alias("repeated_keys"))
+    return per.agg(F.coalesce(F.sum(F.when(null_key, F.col("n")).otherwise(0)), F.lit(0)).alias("null_keys"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_rates"), F.count_if(F.expr("n > 1")).alias("repeated_keys"))

@@ -81,7 +81,7 @@ def history_faults(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     return per_key.agg(
-        F.count_if("current <> 1").alias("keys_without_one_current"), F.coalesce(F.sum("closed_current"), F.lit(0)).alias("closed_current"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"),
+        F.count_if(F.expr("current <> 1")).alias("keys_without_one_current"), F.coalesce(F.sum("closed_current"), F.lit(0)).alias("closed_current"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"),
         F.coalesce(F.sum("inverted"), F.lit(0)).alias("inverted"), F.count_if(no_key).alias("null_keys"),
     )
 

@@ -15,7 +15,7 @@ def keys_reconciled(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     a = left.select(*keys).distinct().withColumn("_l", F.lit(1))
     b = right.select(*keys).distinct().withColumn("_r", F.lit(1))
     both = a.join(b, list(keys), "full_outer")
-    return both.agg(F.count_if("_l is not null and _r is not null").alias("matched"), F.count_if("_r is null").alias("only_left"), F.count_if("_l is null").alias("only_right"))
+    return both.agg(F.count_if(F.expr("_l is not null and _r is not null")).alias("matched"), F.count_if(F.expr("_r is null")).alias("only_left"), F.count_if(F.expr("_l is null")).alias("only_right"))
 
 
 def reconciled(left: DataFrame, right: DataFrame, grain: Sequence[str], measure: str, tolerance: float = 0.01, worst: int | None = None) -> DataFrame:
