@@ -12,16 +12,21 @@ from pyspark.sql.types import StructType
 from ..functions.expr import coalesced, parsed_date, with_missing
 
 
-def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """All parquet files under a path whatever the layout; on a failed plain read unreadable files are left out."""
+def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None, skip_corrupt: bool = False) -> DataFrame:
+    """All parquet files under a path; where partition directories conflict, every file whatever the layout.
+
+    ``skip_corrupt`` leaves unreadable files out; without any valid row it raises."""
     reader = spark.read if schema is None else spark.read.schema(schema)
+    every = lambda: reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+    if skip_corrupt:
+        found = every()
+        if found.isEmpty():
+            raise ValueError(f"no valid parquet rows under {path}")
+        return found
     try:
         return reader.parquet(path)
     except AnalysisException:
-        found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True).parquet(path)
-    if found.isEmpty():
-        raise ValueError(f"no valid parquet rows under {path}")
-    return found
+        return every()
 
 
 def read_any(spark: SparkSession, path: str, schema: StructType, formats: Sequence[str] = ("parquet", "orc", "csv", "json")) -> DataFrame:
