@@ -84,23 +84,24 @@ def mix_sources(
     (a null text counts as empty). A null source is a source of its own. A source
     of size 0 or without a stated weight has rate 0: its documents leave. Repeated
     rows are drawn alike (the draw depends on the id alone); a null id draws as
-    the text ''. An empty table gives an empty table. Columns already called like
-    the added ones are replaced.
+    the text ''. An empty table gives an empty table. Columns called like the
+    three added ones are replaced, other names never clash.
     """
-    docs = docs.drop("_copy", "_rate", "_place")
-    names = docs.columns
-    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    rates = source_rates(docs, by, size, weights, alpha, total)
+    names = docs.drop("_copy", "_rate", "_place").columns
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # the row travels as one struct, so that no name of its columns can clash with those added here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(by).alias("_by"), ident.alias("_ident"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"))
+    rates = source_rates(rows, "_by", F.col("_chars"), weights, alpha, total)
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter("_cdf", lambda x: x <= uniform(F.lit(str(seed)), ident, part.cast("string")))),
+        lambda n, part: n + F.size(F.filter("_cdf", lambda x: x <= uniform(F.lit(str(seed)), F.col("_ident"), part.cast("string")))),
     )
-    drawn = docs.join(rates, docs[by].eqNullSafe(rates["_source"]), "left").withColumn("_n", draw)
+    drawn = rows.join(rates, rows["_by"].eqNullSafe(rates["_source"]), "left").withColumn("_n", draw)
     copies = drawn.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    placed = copies.withColumn("_place", F.md5(F.concat_ws("|", F.lit(f"place{seed}"), ident, F.col("_copy").cast("string"))))
-    placed = placed.select(*names, "_copy", "_rate", "_place")
-    return placed.orderBy("_place") if shuffle else placed
+    placed = copies.withColumn("_place", F.md5(F.concat_ws("|", F.lit(f"place{seed}"), "_ident", F.col("_copy").cast("string"))))
+    placed = placed.select("_row", "_copy", "_rate", "_place")
+    placed = placed.orderBy("_place") if shuffle else placed
+    return placed.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "_copy", "_rate", "_place")

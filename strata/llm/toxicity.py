@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .shared import materialize
 
@@ -108,8 +109,8 @@ def with_features(docs: DataFrame, words: frozenset[str], begun: frozenset[str],
             yield pa.RecordBatch.from_arrays([*rest, *columns], ["doc_id", *keep, *NAMES])
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col), *keep)
-    kept = "".join(f", {c} {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(run, f"doc_id long{kept}, " + ", ".join(f"{n} double" for n in NAMES))
+    schema = StructType([StructField("doc_id", LongType()), *[StructField(c, chosen.schema[c].dataType) for c in keep], *[StructField(n, DoubleType()) for n in NAMES]])
+    return chosen.mapInArrow(run, schema)
 
 
 @dataclass
