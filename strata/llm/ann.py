@@ -28,8 +28,8 @@ from .components import connected_components
 from .shared import materialize, parts
 
 THRESHOLD, RECALL = 0.9, 0.98
-#: Width of the confidence bound, in the units of the method's error bound.
-EPSILON = 3.5
+#: Width of the confidence bound, in standard deviations of the estimate's error.
+EPSILON = 4.5
 #: Vectors of a bucket that one task compares; members a bucket has on average.
 BLOCK, OCCUPANCY = 2048, 8
 SEED = 11
@@ -111,10 +111,15 @@ def coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def promising(code: np.ndarray, factor: np.ndarray, query: np.ndarray, threshold: float) -> np.ndarray:
-    """Matrix of pairs whose confidence intervals, each way, reach the threshold."""
+    """Matrix of pairs whose confidence intervals, each way, reach the threshold.
+
+    The error of an estimate scales with the sine between the vectors; of pairs
+    that count it is at most the sine at the threshold. 0.02 covers the 8 bits.
+    """
     dim = query.shape[1]
     estimate = (code @ query.T) / math.sqrt(dim) / factor[:, None]
-    bound = EPSILON * np.sqrt((1 - factor**2).clip(0) / factor**2) / math.sqrt(max(1, dim - 1)) + 0.02
+    sine = math.sqrt(max(0.0, 1 - threshold**2))
+    bound = EPSILON * sine * np.sqrt((1 - factor**2).clip(0) / factor**2) / math.sqrt(max(1, dim - 1)) + 0.02
     return (estimate + bound[:, None] >= threshold) & (estimate.T + bound[None, :] >= threshold)
 
 
