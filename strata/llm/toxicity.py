@@ -37,6 +37,7 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers trash ga
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"\w+")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 HIDDEN = re.compile(r"[^\W_]+(?:[*@$!|._\-#]+[^\W_]+)+|[^\W\d_]+[0134578]+[^\W\d_]+")
 NAMES = ["insults", "learned", "begun", "log_learned", "log_begun", "distinct", "near_you", "you", "capitals", "shouted", "punctuation", "exclamations", "obfuscated", "hidden_hits", "log_words"]
 #: How far, in words, a second-person word counts as near.
@@ -62,7 +63,7 @@ def features(text: str, words: frozenset[str], begun: frozenset[str]) -> list[fl
     letters = max(1, len(text))
     return [
         fixed / n, len(at) / n, len(starts) / n, math.log1p(len(at)), math.log1p(len(starts)), float(len({tokens[k] for k in at})), near / n,
-        sum(t in YOU for t in tokens) / n, sum(map(str.isupper, text)) / letters if not text.islower() else 0.0,
+        sum(t in YOU for t in tokens) / n, len(CAPITAL.findall(text)) / letters,
         sum(len(w) > 2 and w.isupper() for w in text.split()) / n, sum(text.count(c) for c in ".,;:?\"'") / letters, text.count("!") / letters,
         len(hidden) / n, sum(o in words or o in INSULTS or o[:5] in begun for o in opened) / n, math.log1p(n),
     ]
