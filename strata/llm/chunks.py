@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 from .shared import materialize
 
 #: Text bytes of a chunk (one longer document makes a chunk of its own) and keys of a bucket.
-CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 3_000_000
+CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 1_500_000
 CHUNK_SCHEMA = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, body binary, rest binary"
 _KEYED = "bucket int, chunk long, body binary"
 _ANSWER = "chunk long, bucket int, body binary"

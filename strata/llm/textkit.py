@@ -16,7 +16,7 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _WORD_BASE, _WINDOW_BASE = (int(x) | 1 for x in _rng.integers(2**60, 2**63, 2, dtype=np.uint64))
 #: Bytes hashed at a time: bounds the temporaries whatever the length of a text.
-SPAN = 1 << 21
+SPAN = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
