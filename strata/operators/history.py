@@ -119,3 +119,33 @@ def marks_after(marks: DataFrame, source: str, extracted: DataFrame, ts: str) ->
     """High-water marks after an extract; a mark never moves back."""
     new = extracted.agg(F.max(ts).alias("mark")).where("mark is not null").select(F.lit(source).alias("source"), F.col("mark").cast(marks.schema["mark"].dataType))
     return marks.unionByName(new).groupBy("source").agg(F.max("mark").alias("mark"))
+
+
+# --- overlaps, versions, sources ----------------------------------------------------------------------------------
+
+
+def overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Versions that begin before the one before them ends; an open end lies in the far future. One window, no self join."""
+    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    far = F.lit(OPEN_END).cast(df.schema[end].dataType)
+    return df.withColumn("_seen", F.max(F.coalesce(F.col(end), far)).over(w)).where(F.col(start) < F.col("_seen")).drop("_seen")
+
+
+def version_numbers(df: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
+    return df.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy(start)))
+
+
+def compared(source: DataFrame, current: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
+    """Each source row as new, changed or unchanged against the current versions."""
+    old = current.select(F.col(key), change_hash(*[F.col(a) for a in attributes]).alias("_old"))
+    new = source.withColumn("_new", change_hash(*[F.col(a) for a in attributes])).join(old, key, "left")
+    return new.withColumn("state", F.when(F.col("_old").isNull(), "new").when(F.col("_old") != F.col("_new"), "changed").otherwise("unchanged")).drop("_old", "_new")
+
+
+def one_per_key(sources: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Several sources as one table, absent columns NULL: the latest row of each key, earlier sources first on ties."""
+    both = None
+    for k, df in enumerate(sources):
+        df = df.withColumn("_source_rank", F.lit(k))
+        both = df if both is None else both.unionByName(df, allowMissingColumns=True)
+    return latest(both, keys, [*newest(*order), F.col("_source_rank")]).drop("_source_rank")

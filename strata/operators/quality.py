@@ -168,3 +168,53 @@ def declared_schema(columns: Sequence[Mapping[str, object]]) -> StructType:
     """A StructType from a declared list of name, type and nullability."""
     kinds = [(str(c["name"]), str(c["type"]).lower(), bool(c.get("nullable", True))) for c in columns]
     return StructType([StructField(n, StructType.fromDDL(f"x {k if k.startswith('decimal') else CONTRACT_TYPES[k]}")[0].dataType, null) for n, k, null in kinds])
+
+
+# --- dates, samples, reports --------------------------------------------------------------------------------------
+
+
+def date_realism(df: DataFrame, columns: Sequence[str], as_of: Column, future_days: int = 1, past_years: int = 10) -> DataFrame:
+    """(column_name, present, unparsable, future, old): every date-like column in one aggregate; text is parsed."""
+    cells = []
+    for k, c in enumerate(columns):
+        day = F.to_date(F.try_to_timestamp(F.col(c).cast("string")))
+        cells += [
+            F.count(F.col(c)).alias(f"present{k}"), F.count_if(F.col(c).isNotNull() & day.isNull()).alias(f"unparsable{k}"),
+            F.count_if(day > F.date_add(as_of, future_days)).alias(f"future{k}"), F.count_if(day < F.add_months(as_of, -12 * past_years)).alias(f"old{k}"),
+        ]
+    one = df.agg(*cells)
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}{k}").alias(n) for n in ("present", "unparsable", "future", "old")]) for k, c in enumerate(columns)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def freshness(tables: Mapping[str, tuple[DataFrame, str, float]], as_of: Column) -> DataFrame:
+    """(table_name, newest, age_hours, fresh): each table's newest row against the hours it may lag."""
+    out = None
+    for name, (df, ts, hours) in tables.items():
+        one = df.agg(F.max(F.col(ts).cast("timestamp")).alias("newest")).select(F.lit(name).alias("table_name"), "newest")
+        one = one.withColumn("age_hours", (F.unix_seconds(as_of) - F.unix_seconds("newest")) / 3600.0).withColumn("fresh", F.coalesce(F.col("age_hours") <= hours, F.lit(False)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def orphan_sample(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, n: int = 100) -> DataFrame:
+    """Up to n keys without a parent, the smallest first, with their rows."""
+    return orphans(child, parent, child_key, parent_key).groupBy(child_key).agg(F.count("*").alias("child_rows")).orderBy(F.col(child_key).asc_nulls_first()).limit(n)
+
+
+def expectations(df: DataFrame, wanted: Sequence[Mapping[str, object]]) -> DataFrame:
+    """Declared expectations (not_null, unique, between, in_set, type) as a report; types are read off the schema."""
+    rules, typed = [], []
+    for e in wanted:
+        kind, column = str(e["kind"]), e["column"]
+        if kind == "type":
+            typed.append((f"type:{e['type']}", str(column), df.schema[column].dataType.simpleString() == e["type"]))
+        elif kind == "between":
+            rules.append(Rule("range", column, low=e.get("low"), high=e.get("high")))
+        else:
+            rules.append(Rule(kind, column if isinstance(column, str) else ",".join(column), values=e.get("values", ())))
+    out = evaluate(df, rules).select(F.concat_ws(":", "rule", "target").alias("expectation"), (F.col("failed") == 0).alias("met")) if rules else None
+    for kind, column, met in typed:
+        one = df.sparkSession.range(1).select(F.lit(f"{kind}:{column}").alias("expectation"), F.lit(met).alias("met"))
+        out = one if out is None else out.unionByName(one)
+    return out
