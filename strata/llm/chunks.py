@@ -94,9 +94,9 @@ class Chunk:
         return len(self.ids)
 
 
-def _chunk_row(number: int, ids: list[np.ndarray], texts: list[bytes], sizes: list[np.ndarray], rest: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _chunk_row(number: int, ids: list[np.ndarray], texts: list[bytes], sizes: list[np.ndarray], rest: list[pa.RecordBatch], level: int) -> pa.RecordBatch:
     i, z, body = np.concatenate(ids), np.concatenate(sizes), b"".join(texts)
-    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=5).compress(body), _stored(rest)]
+    cells = [number, len(i), len(body), i.astype(np.int64).tobytes(), z.astype(np.int64).tobytes(), zstandard.ZstdCompressor(level=level).compress(body), _stored(rest)]
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
@@ -111,7 +111,7 @@ def _stored(rest: list[pa.RecordBatch]) -> bytes | None:
     return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
 
 
-def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = (), level: int = 5) -> DataFrame:
     """Bundle (id, text) and the columns to carry into chunk rows, written to the shared folder. Null texts are empty;
     rows without an id are left out."""
     from .textkit import string_buffers
@@ -136,10 +136,10 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held += len(texts[-1])
                 i = j
                 if held >= 0.9 * chunk_bytes:
-                    yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest)
+                    yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest, level)
                     ids, texts, sizes, rest, held, seq = [], [], [], [], 0, seq + 1
         if ids:
-            yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest)
+            yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest, level)
 
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
     return materialize(chosen.mapInArrow(run, CHUNK_SCHEMA), "chunks")

@@ -11,13 +11,15 @@ stays.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .chunks import Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin, spread
+from .chunks import Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin
 from .components import connected_components
 from .settree import cluster_links
 from .shared import materialize
@@ -28,6 +30,8 @@ SHINGLE, MIN_CHARS = 8, 24
 NUM, DEN = 75, 100
 #: Bins of the signature, bands and rows: a pair at the threshold shares a band with probability 0.96, at 0.8 with 0.99.
 BINS, BANDS, ROWS = 64, 12, 5
+#: Lines sketched at a time: their arrays stay in a core's cache.
+GROUP = 1024
 U = np.uint64
 _FOUND = "chunk long, line long, n long, body binary, bands binary, first_doc long, first_no long"
 
@@ -53,10 +57,13 @@ class Lines:
         self.hash = span_hashes(self.data, self.start, np.maximum(self.start, self.end)) if len(self.start) else np.zeros(0, U)
         chars = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
         self.eligible = chars[self.end] - chars[self.start] >= MIN_CHARS
-        self.unique, self.first, inverse = np.unique(self.hash[self.eligible], return_index=True, return_inverse=True)
         self.rows = np.flatnonzero(self.eligible)
-        self.first = self.rows[self.first] if len(self.rows) else self.first
-        self.inverse = inverse
+
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct eligible lines, the first row of each, and which of them each eligible row is."""
+        unique, first, inverse = np.unique(self.hash[self.rows], return_index=True, return_inverse=True)
+        return unique, self.rows[first], inverse
 
     def text(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
@@ -71,9 +78,12 @@ def code_points(data: bytes) -> np.ndarray:
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of some lines, and the index of each one's line."""
-    points = [code_points(x) for x in lines]
-    first = np.concatenate(([0], np.cumsum([len(p) for p in points]))).astype(np.int64)
-    seq = Sequences((np.concatenate([*points, np.zeros(0, np.uint32)]).astype(U) + U(1)) * U(0x9E3779B97F4A7C15), first)
+    points = code_points(b"\n".join(lines)) if lines else np.zeros(0, np.uint32)
+    breaks = np.flatnonzero(points == 0x0A)
+    keep = np.ones(len(points), bool)
+    keep[breaks] = False
+    first = np.concatenate(([0], breaks - np.arange(len(breaks)), [len(points) - len(breaks)])).astype(np.int64) if lines else np.zeros(1, np.int64)
+    seq = Sequences((points[keep].astype(U) + U(1)) * U(0x9E3779B97F4A7C15), first)
     hashed, inside = seq.windows(SHINGLE)
     at = np.flatnonzero(inside)
     return hashed[at], seq.document_of()[at]
@@ -84,26 +94,34 @@ def line_tokens(body: bytes) -> np.ndarray:
     return np.unique(shingle_hashes([body])[0])
 
 
+def filled_bins(signature: np.ndarray) -> np.ndarray:
+    """Empty bins take the next full one's value (around the end), moved by a constant for each step."""
+    full = signature != np.iinfo(np.uint64).max
+    at = np.where(full, np.arange(BINS), 4 * BINS)
+    at = np.minimum.accumulate(np.concatenate((at, at + BINS), 1)[:, ::-1], 1)[:, ::-1][:, :BINS]
+    steps = at - np.arange(BINS)
+    moved = np.take_along_axis(signature, at % BINS, 1) + steps.astype(U) * U(0xD1B54A32D192ED03)
+    return np.where(full.any(1, keepdims=True), moved, signature)
+
+
 def band_keys(lines: Lines) -> np.ndarray:
     """A key for every distinct line and band."""
-    n = len(lines.unique)
+    first = lines.distinct[1]
+    n = len(first)
     out = np.zeros((n, BANDS), U)
-    for a in range(0, n, 4096):
-        part = [lines.text(k) for k in lines.first[a : a + 4096]]
+    for a in range(0, n, GROUP):
+        part = [lines.text(k) for k in first[a : a + GROUP]]
         hashed, owner = shingle_hashes(part)
         signature = np.full(len(part) * BINS, np.iinfo(np.uint64).max, U)
         np.minimum.at(signature, owner * BINS + (hashed >> U(58)).astype(np.int64), hashed)
         signature = signature.reshape(len(part), BINS)
-        empty = signature == np.iinfo(np.uint64).max
-        while empty.any() and not empty.all(1).any():
-            signature = np.where(empty, np.roll(signature, -1, 1) + U(0xD1B54A32D192ED03), signature)
-            empty &= np.roll(empty, -1, 1)
+        signature = filled_bins(signature)
         with np.errstate(over="ignore"):
             for b in range(BANDS):
                 key = np.full(len(part), b + 1, U)
                 for r in range(ROWS):
                     key = mix(key ^ signature[:, b * ROWS + r])
-                out[a : a + 4096, b] = key
+                out[a : a + GROUP, b] = key
     return out
 
 
@@ -111,32 +129,28 @@ def _exact(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ U(0xA0761D6478BD642F))
 
 
-def _keys(lines: Lines) -> tuple[np.ndarray, ...]:
-    """A chunk's sorted keys (bands, and lines themselves) with the lowest 16-bit mark of their lines, the distance to
-    the highest, the number of occurrences, and for a line's own key a flag; then each entry's line and kind."""
-    bands = band_keys(lines)
-    n = len(lines.unique)
-    keys = np.concatenate((bands.ravel(), _exact(lines.unique)))
+def _keys(chunk: Chunk) -> tuple[np.ndarray, ...]:
+    """A chunk's sorted keys: the bands of its distinct lines, and the lines themselves. For each entry a 16-bit mark of
+    its line, the line's occurrences, whether it is a line's own key, and the line's index among the distinct ones."""
+    lines = Lines(chunk)
+    unique, _, inverse = lines.distinct
+    n = len(unique)
+    keys = np.concatenate((band_keys(lines).ravel(), _exact(unique)))
     line = np.concatenate((np.repeat(np.arange(n), BANDS), np.arange(n)))
     own = np.concatenate((np.zeros(n * BANDS, np.uint8), np.ones(n, np.uint8)))
     order = np.argsort(keys, kind="stable")
-    keys, line, own = keys[order], line[order], own[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    mark = (mix(lines.unique) & U(0xFFFF)).astype(np.uint16)[line]
-    times = np.bincount(lines.inverse, minlength=n)[line] if n else line
-    if not len(keys):
-        return keys, mark, mark, times.astype(np.uint8), own, starts, line, own
-    low, high = np.minimum.reduceat(mark, starts), np.maximum.reduceat(mark, starts)
-    count = np.minimum(np.add.reduceat(times, starts), 255).astype(np.uint8)
-    return keys[starts], low, high - low, count, own[starts], starts, line, own
+    line = line[order]
+    times = np.minimum(np.bincount(inverse, minlength=n), 255).astype(np.uint8)
+    return keys[order], (mix(unique) & U(0xFFFF)).astype(np.uint16)[line], times[line], own[order], line.astype(np.uint32)
 
 
 def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
-    low = np.minimum.reduceat(bucket.values[0], bucket.starts)
-    high = np.maximum.reduceat(bucket.values[0] + bucket.values[1], bucket.starts)
-    times = np.add.reduceat(bucket.values[2].astype(np.int64), bucket.starts)
-    own = bucket.values[3][bucket.starts].astype(bool)
-    return np.where(own, times > 1, low != high)[bucket.group()], []
+    """Tell about bands of different lines and lines that occur again: the line's index, its key, and which of both."""
+    mark, times, own, line = bucket.values
+    low, high = np.minimum.reduceat(mark, bucket.starts), np.maximum.reduceat(mark, bucket.starts)
+    again = np.add.reduceat(times.astype(np.int64), bucket.starts) > 1
+    group = bucket.group()
+    return np.where(own[bucket.starts].astype(bool), again, low != high)[group], [line, bucket.keys[group], own]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,36 +166,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col, "_n_lines", "_n_removed")]
     renamed = docs.select(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    chunks = make_chunks(renamed, id_col, text_col, carry=tuple(f"c{k}" for k in range(len(rest))))
+    chunks = make_chunks(renamed, id_col, text_col, carry=tuple(f"c{k}" for k in range(len(rest))), level=1)
     buckets = bucket_count(corpus_bytes(chunks) / 12)
 
     def gather(chunk: Chunk, got: dict) -> pa.Table:
         lines = Lines(chunk)
-        keys, _, _, _, _, starts, line, own = _keys(lines)
-        told = np.zeros(len(keys), bool)
-        told[spread(keys, got, buckets, [])[0]] = True
-        entry = np.repeat(told, np.diff(np.append(starts, len(line)))) if len(keys) else np.zeros(0, bool)
-        entry_keys = np.repeat(keys, np.diff(np.append(starts, len(line)))) if len(keys) else keys
-        near = entry & (own == 0)
-        order = np.argsort(line[near], kind="stable")
-        near_line, near_key = line[near][order], entry_keys[near][order]
-        edges = np.searchsorted(near_line, np.arange(len(lines.unique) + 1))
-        out = np.unique(line[entry])
+        unique, first, inverse = lines.distinct
+        told = [np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, np.int64), (2, U), (3, np.uint8))]
+        near = told[2] == 0
+        order = np.argsort(told[0][near], kind="stable")
+        near_line, near_key = told[0][near][order], told[1][near][order]
+        edges = np.searchsorted(near_line, np.arange(len(unique) + 1))
+        out = np.unique(told[0])
         # the first occurrence here, by (doc_id, line number)
-        where = np.lexsort((lines.number[lines.rows], chunk.ids[lines.doc[lines.rows]], lines.inverse))
-        heads = where[np.searchsorted(lines.inverse[where], out)]
-        rows = lines.rows[heads]
-        texts = [lines.text(lines.first[k]) if edges[k] < edges[k + 1] else None for k in out]
-        sizes = [len(line_tokens(t)) if t is not None else 0 for t in texts]
+        where = np.lexsort((lines.number[lines.rows], chunk.ids[lines.doc[lines.rows]], inverse))
+        rows = lines.rows[where[np.searchsorted(inverse[where], out)]]
+        texts = [lines.text(first[k]) if edges[k] < edges[k + 1] else None for k in out]
         return pa.table(
             [
-                pa.array(np.full(len(out), chunk.number, np.int64)), pa.array(lines.unique[out].view(np.int64)), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()),
+                pa.array(np.full(len(out), chunk.number, np.int64)), pa.array(unique[out].view(np.int64)), pa.array(np.zeros(len(out), np.int64)), pa.array(texts, pa.binary()),
                 pa.array([near_key[edges[k] : edges[k + 1]].tobytes() for k in out], pa.binary()), pa.array(chunk.ids[lines.doc[rows]]), pa.array(lines.number[rows].astype(np.int64)),
             ],
             [x.split()[0] for x in _FOUND.split(", ")],
         )
 
-    answers = answered(keyed(chunks, buckets, lambda c: _keys(Lines(c))[:5]), _wanted)
+    answers = answered(keyed(chunks, buckets, _keys), _wanted)
     found = materialize(rejoin(chunks, answers, buckets, gather, _FOUND), "repeated-lines")
     near = found.where("body is not null")
     sets = materialize(near.groupBy(F.col("line").alias("id")).agg(F.max("n").alias("n"), F.max("body").alias("tokens")), "near-lines")

@@ -125,7 +125,8 @@ def stored_tokens(body: bytes) -> np.ndarray:
 
 
 def _sets(table: pa.Table, decode: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return table.column("id").to_numpy(), table.column("n").to_numpy(), [decode(t.as_py()) for t in table.column("tokens")]
+    tokens = [decode(t.as_py()) for t in table.column("tokens")]
+    return table.column("id").to_numpy(), np.maximum(table.column("n").to_numpy(), np.array([len(t) for t in tokens], np.int64)), tokens
 
 
 def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
@@ -135,8 +136,8 @@ def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
 def cluster_links(sets: DataFrame, clusters: DataFrame, num: int = 75, den: int = 100, decode: Callable[[bytes], np.ndarray] = stored_tokens) -> DataFrame:
     """Links (a, b) that connect similar sets of one cluster.
 
-    sets: (id, n, tokens), n the set's size; ``decode`` gives its sorted distinct
-    64-bit tokens (at most n). clusters: (id, cluster). Small clusters share tasks. A cluster of more than BLOCK sets is
+    sets: (id, n, tokens); ``decode`` gives a set's sorted distinct 64-bit tokens,
+    and n its size where that is larger (tokens no other set has may be left out). clusters: (id, cluster). Small clusters share tasks. A cluster of more than BLOCK sets is
     dealt over blocks: each is linked within, then one set per component found is
     linked across blocks, and lastly sets outside the cluster's largest component
     meet all blocks. That covers every pair of different components, while the

@@ -43,10 +43,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    return x
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +112,10 @@ class Sequences:
             up, down = powers(_WINDOW_BASE, j - i + size)
             total = np.zeros(j - i + size, U)
             np.cumsum(self.hash[i : j + size - 1] * up[: j - i + size - 1], out=total[1:])
-            k = np.arange(j - i)
-            hashed[i:j] = mix((total[k + size] - total[k]) * down[k] + U(size))
+            span = total[size:] - total[: j - i]
+            span *= down[: j - i]
+            span += U(size)
+            hashed[i:j] = mix(span)
             i = j
         return hashed, inside
 
