@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 #: Text bytes of a chunk (one longer document makes a chunk of its own) and keys of a bucket.
 CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 1_500_000
@@ -142,7 +142,7 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest, level)
 
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
-    return materialize(chosen.mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    return materialize(small_batches(chosen).mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts
+from .shared import materialize, parts, small_batches
 
 #: Bits of the map that says which digests have several members: 1 MiB whatever the input.
 MAP_BITS = 1 << 23
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["id", "fingerprint", "second"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fingerprint string, second string")
+    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"id {kind}, fingerprint string, second string")
 
 
 def collided(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,7 +85,7 @@ def collided(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataF
                     keep.append((digest, data))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.binary())], ["fingerprint", "bytes"])
 
-    members = docs.select(text_col).mapInArrow(run, "fingerprint string, bytes binary")
+    members = small_batches(docs.select(text_col)).mapInArrow(run, "fingerprint string, bytes binary")
     return members.distinct().groupBy("fingerprint").count().where("count > 1").select("fingerprint")
 
 
@@ -153,7 +153,7 @@ def half_edited(docs: DataFrame) -> DataFrame:
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         docs = docs.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
-    ordered = docs.repartitionByRange(max(8, parts(spark)), F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
+    ordered = small_batches(docs).repartitionByRange(max(8, parts(spark)), F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, at = TaskContext.get().partitionId(), None, 0

@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts
+from .shared import materialize, parts, small_batches
 from .textkit import slices, span_hashes, string_buffers
 
 LENGTH, END_ID = 1024, 2
 #: Text bytes tokenised at a time; distinct segments a worker remembers.
-SLICE, REMEMBER = 2 << 20, 2_000_000
+SLICE, REMEMBER = 1 << 20, 1_500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -190,7 +190,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _PIECES.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, _PIECES)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))).mapInArrow(run, _PIECES)
 
 
 def ranked(pieces: DataFrame) -> DataFrame:

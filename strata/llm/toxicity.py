@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 #: Labelled rows that may teach the model, and the most learned words and word beginnings kept.
 MAX_LABELLED, MAX_WORDS, MAX_BEGINNINGS = 20_000, 3_000, 500
@@ -111,7 +111,7 @@ def with_features(docs: DataFrame, words: frozenset[str], begun: frozenset[str],
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col), *keep)
     schema = StructType([StructField("doc_id", LongType()), *[StructField(c, chosen.schema[c].dataType) for c in keep], *[StructField(n, DoubleType()) for n in NAMES]])
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)
 
 
 @dataclass

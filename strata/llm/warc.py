@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, parts
+from .shared import fresh_path, materialize, parts, small_batches
 
 #: Payloads shorter than this are never stored as revisits.
 LEAST_SHARED = 100
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
             if out is not None:
                 out.close()
 
-    return materialize(with_revisits(pages, least).mapInArrow(run, INDEX), "warc-index")
+    return materialize(small_batches(with_revisits(pages, least)).mapInArrow(run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
