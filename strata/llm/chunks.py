@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .shared import materialize, small_batches
+from .shared import give_back, materialize, small_batches
 
 #: Text bytes of a chunk (one longer document makes a chunk of its own) and keys of a bucket.
 CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 1_500_000
@@ -140,6 +140,8 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ids, texts, sizes, rest, held, seq = [], [], [], [], 0, seq + 1
         if ids:
             yield _chunk_row(part << 32 | seq, ids, texts, sizes, rest, level)
+        ids, texts, sizes, rest = [], [], [], []
+        give_back()
 
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
     return materialize(small_batches(chosen).mapInArrow(run, CHUNK_SCHEMA), "chunks")
@@ -186,6 +188,7 @@ def keyed(chunks: DataFrame, buckets: int, emit: Callable[[Chunk], tuple[np.ndar
             keys, *values = emit(chunk)
             rows = [(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)]
             yield packed_rows(rows)
+        give_back()
 
     return chunks.select("chunk", "ids", "sizes", "body").mapInArrow(run, _KEYED)
 
@@ -245,6 +248,8 @@ def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[
             if len(mine):
                 mine = mine[np.argsort(got.place[mine])]
                 out.append((number, got.number, pack(got.place[mine].astype(np.int64), *(v[mine] for v in values))))
+        del got, told, values, at
+        give_back()
         return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([r[1] for r in out], pa.int32()), "body": pa.array([r[2] for r in out], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
@@ -260,6 +265,7 @@ def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         got = {b: unpack(body) for b, body in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
         tables = [run(chunk_from(row), got) for row in left.to_pylist()]
+        give_back()
         return pa.concat_tables(tables) if tables else empty
 
     columns = ["chunk", "ids", "sizes", "body", *["rest"] * carried]

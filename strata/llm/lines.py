@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .chunks import Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin
 from .components import connected_components
 from .settree import cluster_links
-from .shared import materialize
+from .shared import give_back, materialize
 from .textkit import LOWER, Sequences, mix, span_hashes
 
 #: Characters of a shingle; shorter lines than MIN_CHARS always stay.
@@ -205,6 +205,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def rebuild(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [_rebuilt(chunk_from(row), right) for row in left.to_pylist()]
+        give_back()
         return pa.concat_tables(out) if out else empty
 
     def _rebuilt(chunk: Chunk, told: pa.Table) -> pa.Table:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts, small_batches
+from .shared import give_back, materialize, parts, small_batches
 from .textkit import slices, span_hashes, string_buffers
 
 LENGTH, END_ID = 1024, 2
@@ -189,6 +189,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
                         at, piece = at + size, piece + 1
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _PIECES.split(", ")])
+        give_back()
 
     return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))).mapInArrow(run, _PIECES)
 

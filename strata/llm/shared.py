@@ -52,6 +52,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers live on from task to task, beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def parts(spark: SparkSession) -> int:
     """The session's shuffle width, for explicit range partitionings."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

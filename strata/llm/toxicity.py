@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .shared import materialize, small_batches
+from .shared import give_back, materialize, small_batches
 
 #: Labelled rows that may teach the model, and the most learned words and word beginnings kept.
 MAX_LABELLED, MAX_WORDS, MAX_BEGINNINGS = 20_000, 3_000, 500
@@ -84,6 +84,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += [(b, True, toxic, sketch) for b in {b for t in tokens for b in beginnings(t)}]
         kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["term", "begun", "toxic", "sketch"])
+    give_back()
 
 
 def learned_lexicon(labelled: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
@@ -108,6 +109,7 @@ def with_features(docs: DataFrame, words: frozenset[str], begun: frozenset[str],
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
             rest = [batch.column(i) for i in range(batch.num_columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*rest, *columns], ["doc_id", *keep, *NAMES])
+        give_back()
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col), *keep)
     schema = StructType([StructField("doc_id", LongType()), *[StructField(c, chosen.schema[c].dataType) for c in keep], *[StructField(n, DoubleType()) for n in NAMES]])
