@@ -23,6 +23,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 PART = 400.0
 BROADCAST_SOURCES = 10_000
 #: Target share of a source without a stated weight: its size to this power, normalised.
@@ -48,17 +50,18 @@ def poisson_table(mean: Column) -> Column:
 
 def source_rates(docs: DataFrame, by: str, size: Column, weights: Mapping[str, float] | None, alpha: float, total: float | None) -> DataFrame:
     """One row per source: size, target weight, mean repetition rate, the parts it is drawn in and their table."""
-    sizes = docs.groupBy(F.col(by).alias("_source")).agg(F.sum(size).cast("double").alias("_size"))
+    # a row for each source, written once: the input is read for it a single time
+    sizes = materialize(docs.groupBy(F.col(by).alias("_source")).agg(F.sum(size).cast("double").alias("_size")), "source-sizes")
     if weights:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         sizes = sizes.withColumn("_raw", F.coalesce(F.try_element_at(given, F.col("_source")), F.lit(0.0)))
     else:
         sizes = sizes.withColumn("_raw", F.pow("_size", F.lit(float(alpha))))
-    whole = sizes.agg(F.sum("_raw").alias("_raw_sum"), F.sum("_size").alias("_all"))
-    target = F.col("_all") if total is None else F.lit(float(total))
-    rates = sizes.join(F.broadcast(whole)).withColumn("_weight", F.try_divide("_raw", "_raw_sum"))
+    whole = sizes.agg(F.coalesce(F.sum("_raw"), F.lit(0.0)).alias("raw"), F.coalesce(F.sum("_size"), F.lit(0.0)).alias("size")).first()
+    target = F.lit(whole["size"] if total is None else float(total))
     return (
-        rates.withColumn("_rate", F.coalesce(F.try_divide(F.col("_weight") * target, F.col("_size")), F.lit(0.0)))
+        sizes.withColumn("_weight", F.try_divide("_raw", F.lit(whole["raw"])))
+        .withColumn("_rate", F.coalesce(F.try_divide(F.col("_weight") * target, F.col("_size")), F.lit(0.0)))
         .withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int"))
         .withColumn("_cdf", poisson_table(F.col("_rate") / F.col("_parts")))
         .select("_source", "_weight", "_rate", "_parts", "_cdf")
