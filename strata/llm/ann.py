@@ -56,16 +56,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = v.as_py()
-                if i is None or not got or None in got:
-                    continue
-                x = np.array(got, np.float64) + 0.0
-                if np.isfinite(x).all() and x.any():
-                    rows.append((i, len(x), xxhash.xxh3_128_digest(x.tobytes()), x.tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["vec_id", "dim", "digest", "vector"])
+            ids, lists = batch.column(0), batch.column(1)
+            start, size = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # a null component becomes NaN
+            there = np.array(ids.is_valid()) & np.array(lists.is_valid()) & (size > 0)
+            for dim in np.unique(size[there]):
+                rows = np.flatnonzero(there & (size == dim))
+                x = values[start[rows][:, None] + np.arange(dim)]
+                good = np.isfinite(x).all(1) & x.any(1)
+                rows, data = rows[good], [v.tobytes() for v in x[good]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), pa.array([xxhash.xxh3_128_digest(v) for v in data], pa.binary()), pa.array(data, pa.binary())],
+                    ["vec_id", "dim", "digest", "vector"],
+                )
 
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, "vec_id long, dim int, digest binary, vector binary")
 
