@@ -146,7 +146,7 @@ def after_wide(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments between places where a pre-token surely ends: before a space or line feed that follows a visible character,
-    after a single line feed, and between a letter and a mark. Characters of unsure class never make a place."""
+    after a single line feed, and between a letter and a mark (a mark always starts its own pre-token). Characters of unsure class never make a place."""
     n = len(data)
     wide = after_wide(data)
     visible = PLAIN[data] | wide
@@ -197,7 +197,6 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
 def ranked(pieces: DataFrame) -> DataFrame:
     """Pieces with ``rank``, from 0 within their length: a range sort, a scan of each range, and offsets of the ranges."""
     spark = pieces.sparkSession
-    kind = pieces.schema.simpleString()[len("struct<") : -1]
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +217,6 @@ def ranked(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part, np.int64)), pa.array(local.astype(np.int64))], [*batch.schema.names, "range", "local"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", range long, local long"
-    del kind
     scanned = materialize(pieces.repartitionByRange(max(8, parts(spark)), *order).sortWithinPartitions(*order).mapInArrow(run, schema), "ranked-pieces")
     counts = scanned.groupBy("length", "range").count()
     # a sorted table has at most (ranges + lengths) such rows
