@@ -8,8 +8,10 @@ Bloom filter. A count is read back by probing (gram, 1), (gram, 2), ... until a
 probe fails.
 
 The filter is broadcast, so its size has a bound (``MAX_BITS``): within each
-segment the least count kept rises until the segment fits its share. Counting,
-the mass kept, and everything else still cover every training token.
+segment the least count kept rises until the segment fits its share. What that
+leaves out is not lost: a bucket knows what a chunk would read from the filter,
+and tells it the right level of every gram for which that is wrong (left out of
+the segment, or a false positive). So scores do not depend on the bound.
 
 Probabilities are interpolated: a gram's share of its context, plus the share of
 the mass that was not kept (measured over all data for each class of context
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SUMMARY, Bucket, Chunk, answered, bucket_count, corpus_bytes, keyed, make_chunks, rejoin, spread, unpack
+from .chunks import _KEYED, SUMMARY, Bucket, Chunk, answered, bucket_count, by_bucket, corpus_bytes, keyed, make_chunks, pack_keys, packed_rows, rejoin, spread, unpack
 from .shared import materialize
 from .textkit import Sequences, Words, mix
 
 #: Bits of the whole filter at most (64 MiB), bits for an inserted entry, probes for one.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 29, 8, 4
-#: Frequent words whose class of frequency is known when grams are counted; all others share a class.
-FREQUENT, CLASSES = 1 << 16, 16
+#: Classes of word frequency.
+CLASSES = 16
 #: Bits of a gram's hash that are kept beyond those that name its bucket.
 GRAM_BITS = 32
 ALPHA = 0.1
@@ -78,6 +80,16 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, np.ceil(np.exp2((q + 1) / 2.0) - 1e-9), 0.0)
 
 
+def quantised(count: np.ndarray) -> np.ndarray:
+    """Counts as the model holds them."""
+    return count_of(level(count))
+
+
+def read(probed: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """What a chunk takes a gram's count for if nothing else is told: the filter's, or its own where the filter has none."""
+    return np.where(probed > 0, probed, quantised(local))
+
+
 def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Leading bits of gram hashes."""
     drop = max(0, 64 - (int(buckets).bit_length() - 1) - GRAM_BITS)
@@ -144,7 +156,7 @@ def _word_counts(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def classes(count: np.ndarray) -> np.ndarray:
-    """Classes of context frequency: powers of four, 1 and up; 0 is for words outside the frequent ones."""
+    """Classes of context frequency: powers of four, 1 and up."""
     return np.clip((np.log2(np.maximum(count, 1)) / 2).astype(np.int64) + 1, 1, CLASSES - 1)
 
 
@@ -171,54 +183,67 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     def word_summary(bucket: Bucket) -> list[np.ndarray]:
         total = bucket.per_key(np.add, 0)
-        top = np.argsort(-total, kind="stable")[: max(1, FREQUENT // word_buckets)]
-        return [np.array([(total > 0).sum(), total.sum()], np.int64), bucket.keys[top], total[top]]
+        return [np.array([(total > 0).sum(), total.sum()], np.int64)]
 
     words = materialize(answered(keyed(chunks, word_buckets, lambda c: local_words(c)[:2]), _word_counts, word_summary), "word-counts")
-    told = [unpack(r["body"]) for r in words.where(F.col("chunk") == SUMMARY).select("body").collect()]  # FREQUENT words at most
-    distinct, total = (int(sum(t[0][k] for t in told)) for k in (0, 1))
-    known = np.concatenate([np.zeros(0, U), *[t[1] for t in told]])
-    order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], classes(np.concatenate([np.zeros(0, np.int64), *[t[2] for t in told]]))[order]))
-
-    def class_of(hashes: np.ndarray) -> np.ndarray:
-        names, kinds = frequent.value
-        if not len(names):
-            return np.zeros(len(hashes), np.uint8)
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        return np.where(names[at] == hashes, kinds[at], 0).astype(np.uint8)
-
-    def grams(chunk: Chunk) -> tuple[np.ndarray, ...]:
-        seq = tokens_of(chunk)
+    told = [unpack(r["body"])[0] for r in words.where(F.col("chunk") == SUMMARY).select("body").collect()]  # two numbers a bucket
+    distinct, total = (int(sum(t[k] for t in told)) for k in (0, 1))
+    word_answers = words.where(F.col("chunk") != SUMMARY)
+
+    def token_counts(chunk: Chunk, got: dict) -> np.ndarray:
+        """The training count of each token."""
+        keys, counts, inverse = local_words(chunk)
+        places, (told_counts,) = spread(keys, got, word_buckets, [np.zeros(0, np.int64)])
+        counts[places] = told_counts
+        return counts[inverse]
+
+    def gram_windows(chunk: Chunk, seq: Sequences) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of pairs and triples; their sorted distinct keys, local training counts, and which key each window has."""
         train = np.repeat(training(chunk, held_out), seq.counts())
-        kind = class_of(seq.hash)
-        keys, tags = [], []
+        starts, keys = [], []
         for n in (2, 3):
             hashed, inside = seq.windows(n)
-            at = np.flatnonzero(inside & train)
-            keys.append(hashed[at])
-            # of a pair the classes of both words, of a triple that of the middle one
-            tags.append(kind[at] | kind[at + 1] << 4 if n == 2 else kind[at + 1])
-        sizes = [len(k) for k in keys]
-        keys, tags = cut(np.concatenate(keys), gram_buckets), np.concatenate(tags)
-        triple = np.repeat(np.array([0, 1], np.uint8), sizes)
-        order = np.argsort(keys, kind="stable")
-        keys, tags, triple = keys[order], tags[order], triple[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[starts], np.diff(np.append(starts, len(keys))).astype(np.int32), tags[starts], triple[starts]
+            starts.append(np.flatnonzero(inside))
+            keys.append(cut(hashed[starts[-1]], gram_buckets))
+        unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        own = np.bincount(inverse[train[np.concatenate(starts)]], minlength=len(unique)).astype(np.int32)
+        return starts, unique, own, inverse
+
+    def grams(chunk: Chunk, got: dict) -> pa.Table:
+        seq = tokens_of(chunk)
+        kind = classes(token_counts(chunk, got)).astype(np.uint8)
+        (pairs, triples), keys, own, inverse = gram_windows(chunk, seq)
+        tags, triple = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
+        # of a pair the classes of both words, of a triple that of the middle one
+        tags[inverse[: len(pairs)]] = kind[pairs] | kind[pairs + 1] << 4
+        tags[inverse[len(pairs) :]], triple[inverse[len(pairs) :]] = kind[triples + 1], 1
+        return pa.Table.from_batches([packed_rows([(b, chunk.number, pack_keys(keys[k], own[k], tags[k], triple[k])) for b, k in by_bucket(keys, gram_buckets)])])
+
+    def settled(bucket: Bucket) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of a bucket's grams, and its segment."""
+        if not hasattr(bucket, "settled"):
+            counts = np.add.reduceat(bucket.values[0].astype(np.int64), bucket.starts)
+            bucket.settled = counts, segment(bucket.keys, counts, max_bits // gram_buckets)[0]
+        return bucket.settled
+
+    def corrections(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
+        counts, bits = settled(bucket)
+        probed = Filter(gram_buckets, {bucket.number: bits.tobytes()}).counts(bucket.keys)
+        group = bucket.group()
+        right = quantised(counts)[group]
+        return read(probed[group], bucket.values[0]) != right, [right.astype(np.int64)]
 
     def build(bucket: Bucket) -> list[np.ndarray]:
-        counts = np.add.reduceat(bucket.values[0].astype(np.int64), bucket.starts)
+        counts, bits = settled(bucket)
         tags, triple = bucket.values[1][bucket.starts], bucket.values[2][bucket.starts].astype(bool)
-        bits, least = segment(bucket.keys, counts, max_bits // gram_buckets)
-        kept = np.where(counts >= least, count_of(level(counts)), 0.0)
+        kept = quantised(counts)
         first, second = tags & 15, tags >> 4
         sums = [np.bincount(x, weights=w, minlength=CLASSES) for x, w in ((first[~triple], counts[~triple]), (first[~triple], kept[~triple]), (second[~triple], kept[~triple]), (first[triple], kept[triple]))]
         return [bits, np.concatenate(sums)]
 
-    nothing = lambda bucket: (np.zeros(len(bucket.owner), bool), [])
-    built = materialize(answered(keyed(chunks, gram_buckets, grams), nothing, build), "gram-filter")
-    parts_ = {r["bucket"]: unpack(r["body"]) for r in built.collect()}  # max_bits at most, and a few sums for each bucket
+    built = materialize(answered(rejoin(chunks, word_answers, word_buckets, grams, _KEYED), corrections, build), "gram-filter")
+    gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
+    parts_ = {r["bucket"]: unpack(r["body"]) for r in built.where(F.col("chunk") == SUMMARY).collect()}  # max_bits at most, and a few sums for each bucket
     sums = sum((p[1] for p in parts_.values()), np.zeros(4 * CLASSES)).reshape(4, CLASSES)
     # share of a context's mass that its kept grams hold, by class of the context's (last) word
     share2 = np.divide(sums[1], sums[0], out=np.zeros(CLASSES), where=sums[0] > 0).clip(0, 0.999)
@@ -228,26 +253,23 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     def finish(chunk: Chunk, got: dict) -> pa.Table:
         seq = tokens_of(chunk)
-        keys, counts, inverse = local_words(chunk)
-        places, (told_counts,) = spread(keys, got, word_buckets, [np.zeros(0, np.int64)])
-        counts[places] = told_counts
-        c = counts[inverse].astype(np.float64)
+        c = token_counts(chunk, {b: x for b, x in got.items() if b < word_buckets})
+        kind = classes(c)
+        c = c.astype(np.float64)
         p1 = (c / ALPHA + 1) * floor if total else np.ones(len(c))
-        kind = class_of(seq.hash)
-        held = _filter(shared)
+        (pairs, triples), keys, own, inverse = gram_windows(chunk, seq)
+        held = read(_filter(shared).counts(keys), own)
+        places, (right,) = spread(keys, {b - word_buckets: x for b, x in got.items() if b >= word_buckets}, gram_buckets, [np.zeros(0, np.int64)])
+        held[places] = right
+        held = held[inverse]
         p = p1.copy()
-        pair, inside = seq.windows(2)
-        at = np.flatnonzero(inside)
         two = np.zeros(len(c))
-        context = c[at]
-        two[at] = np.minimum(held.counts(cut(pair[at], gram_buckets)), context)
-        ok = context > 0
-        at, context = at[ok], context[ok]
-        p[at + 1] = np.minimum(1.0, two[at] / context + (1 - share2[kind[at]]) * p1[at + 1])
-        triple, inside = seq.windows(3)
-        at = np.flatnonzero(inside)
-        at = at[two[at] > 0]
-        three = np.minimum(held.counts(cut(triple[at], gram_buckets)), two[at])
+        two[pairs] = np.minimum(held[: len(pairs)], c[pairs])
+        at = pairs[c[pairs] > 0]
+        p[at + 1] = np.minimum(1.0, two[at] / c[at] + (1 - share2[kind[at]]) * p1[at + 1])
+        ok = two[triples] > 0
+        at = triples[ok]
+        three = np.minimum(held[len(pairs) :][ok], two[at])
         p[at + 2] = np.minimum(1.0, three / two[at] + (1 - share3[kind[at + 1]]) * p[at + 2])
         owner = seq.document_of()
         n = len(chunk)
@@ -257,7 +279,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
             [x.split()[0] for x in _SCORES.split(", ")],
         )
 
-    scored = rejoin(chunks, words.where(F.col("chunk") != SUMMARY), word_buckets, finish, _SCORES)
+    scored = rejoin(chunks, word_answers.unionByName(gram_answers), word_buckets, finish, _SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -203,6 +203,11 @@ def test_bloom_filter_reads_counts_back():
     assert len(small) * 8 <= (1 << 16) + 64 and raised > 2
 
 
+def test_lm_scores_do_not_depend_on_the_filters_bound(docs):
+    whole, least = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_documents(docs, **more).collect()} for more in ({}, {"max_bits": 1 << 9}))
+    assert whole == pytest.approx(least, rel=1e-12)
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 
