@@ -1,11 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting covers all training documents. Words get exact counts by a corpus-wide
-lookup. Two- and three-word grams are summed in their buckets of the key space;
-those seen at least twice are quantised to half-powers of two, and a gram of level
-q is inserted q times, as (gram, 1) ... (gram, q), into its bucket's segment of a
-Bloom filter. A count is read back by probing (gram, 1), (gram, 2), ... until a
-probe fails.
+lookup. Two- and three-word grams are summed in their buckets of the key space and
+quantised to 1 and half-powers of two from 2 on. Grams seen at least twice go into
+their bucket's segment of a Bloom filter: one of level q is inserted q times, as
+(gram, 1) ... (gram, q). A count is read back by probing (gram, 1), (gram, 2), ...
+until a probe fails. A gram seen once needs no place there: its own chunk knows
+it, and other chunks that have it (held-out texts) are told by its bucket.
 
 The filter is broadcast, so its size has a bound (``MAX_BITS``): within each
 segment the least count kept rises until the segment fits its share. What that
@@ -13,10 +14,11 @@ leaves out is not lost: a bucket knows what a chunk would read from the filter,
 and tells it the right level of every gram for which that is wrong (left out of
 the segment, or a false positive). So scores do not depend on the bound.
 
-Probabilities are interpolated: a gram's share of its context, plus the share of
-the mass that was not kept (measured over all data for each class of context
-frequency) times the shorter gram's probability, down to smoothed word
-frequencies.
+Probabilities are interpolated with absolute discounting: a gram's count less the
+discount n1 / (n1 + 2 n2) (n1 and n2: grams of its length seen once and twice) over
+its context's, plus the share of the mass set free by discounts and quantising
+(measured over all data for each class of context frequency) times the shorter
+gram's probability, down to smoothed word frequencies.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 
 def quantised(count: np.ndarray) -> np.ndarray:
-    """Counts as the model holds them."""
-    return count_of(level(count))
+    """Counts as the model holds them: 1, then those of the filter's levels."""
+    return np.where(count == 1, 1.0, count_of(level(count)))
 
 
 def read(probed: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -238,16 +240,22 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         tags, triple = bucket.values[1][bucket.starts], bucket.values[2][bucket.starts].astype(bool)
         kept = quantised(counts)
         first, second = tags & 15, tags >> 4
-        sums = [np.bincount(x, weights=w, minlength=CLASSES) for x, w in ((first[~triple], counts[~triple]), (first[~triple], kept[~triple]), (second[~triple], kept[~triple]), (first[triple], kept[triple]))]
-        return [bits, np.concatenate(sums)]
+        rare = [np.array([(counts[own] == k).sum() for k in (1, 2)], np.float64) for own in (~triple, triple)]
+        sums = [np.bincount(x, weights=w, minlength=CLASSES) for x, w in (
+            (first[~triple], counts[~triple]), (first[~triple], kept[~triple]), (first[~triple], kept[~triple] > 0),
+            (second[~triple], kept[~triple]), (first[triple], kept[triple]), (first[triple], kept[triple] > 0),
+        )]
+        return [bits, np.concatenate([*rare, *sums])]
 
     built = materialize(answered(rejoin(chunks, word_answers, word_buckets, grams, _KEYED), corrections, build), "gram-filter")
     gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
     parts_ = {r["bucket"]: unpack(r["body"]) for r in built.where(F.col("chunk") == SUMMARY).collect()}  # max_bits at most, and a few sums for each bucket
-    sums = sum((p[1] for p in parts_.values()), np.zeros(4 * CLASSES)).reshape(4, CLASSES)
-    # share of a context's mass that its kept grams hold, by class of the context's (last) word
-    share2 = np.divide(sums[1], sums[0], out=np.zeros(CLASSES), where=sums[0] > 0).clip(0, 0.999)
-    share3 = np.divide(sums[3], sums[2], out=np.zeros(CLASSES), where=sums[2] > 0).clip(0, 0.999)
+    sums = sum((p[1] for p in parts_.values()), np.zeros(4 + 6 * CLASSES))
+    off2, off3 = (float(once / (once + 2 * twice)) if once else 0.0 for once, twice in (sums[:2], sums[2:4]))
+    sums = sums[4:].reshape(6, CLASSES)
+    # share of a context's mass that its grams hold after the discount, by class of the context's (last) word
+    share2 = np.divide(sums[1] - off2 * sums[2], sums[0], out=np.zeros(CLASSES), where=sums[0] > 0).clip(0, 0.999)
+    share3 = np.divide(sums[4] - off3 * sums[5], sums[3], out=np.zeros(CLASSES), where=sums[3] > 0).clip(0, 0.999)
     shared = spark.sparkContext.broadcast((gram_buckets, {b: p[0].tobytes() for b, p in parts_.items()}))
     floor = ALPHA / (total + ALPHA * (distinct + 1)) if total else 1.0
 
@@ -266,11 +274,11 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         two = np.zeros(len(c))
         two[pairs] = np.minimum(held[: len(pairs)], c[pairs])
         at = pairs[c[pairs] > 0]
-        p[at + 1] = np.minimum(1.0, two[at] / c[at] + (1 - share2[kind[at]]) * p1[at + 1])
+        p[at + 1] = np.minimum(1.0, np.maximum(two[at] - off2, 0) / c[at] + (1 - share2[kind[at]]) * p1[at + 1])
         ok = two[triples] > 0
         at = triples[ok]
         three = np.minimum(held[len(pairs) :][ok], two[at])
-        p[at + 2] = np.minimum(1.0, three / two[at] + (1 - share3[kind[at + 1]]) * p[at + 2])
+        p[at + 2] = np.minimum(1.0, np.maximum(three - off3, 0) / two[at] + (1 - share3[kind[at + 1]]) * p[at + 2])
         owner = seq.document_of()
         n = len(chunk)
         add = lambda w: np.bincount(owner, weights=w, minlength=n)

@@ -208,6 +208,56 @@ def test_lm_scores_do_not_depend_on_the_filters_bound(docs):
     assert whole == pytest.approx(least, rel=1e-12)
 
 
+def test_lm_scores_against_brute_force(docs, corpus):
+    """Every training gram counts, those seen once too."""
+    texts = [(i, [*WORD.findall(t.translate(LOW)), None]) for i, t in known(corpus)]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, w in texts:
+        if not lm.tenth(i):
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+
+    def held(n):
+        return 1 if n == 1 else math.ceil(2 ** (math.floor(2 * math.log2(n) + 1e-9) / 2) - 1e-9) if n else 0
+
+    def kind(word):
+        return min(15, int(math.log2(max(1, one[word])) / 2) + 1)
+
+    def off(counts):
+        n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2)
+
+    off2, off3 = off(two), off(three)
+    mass, kept, mass3, kept3 = Counter(), Counter(), Counter(), Counter()
+    for (a, b), c in two.items():
+        mass[kind(a)] += c
+        kept[kind(a)] += held(c) - off2
+        mass3[kind(b)] += held(c)
+    for (_, b, _), c in three.items():
+        kept3[kind(b)] += held(c) - off3
+
+    def free(part, whole, k):
+        return 1 - (min(max(part[k] / whole[k], 0), 0.999) if whole[k] else 0)
+
+    total, distinct, expected, once = sum(one.values()), len(one), Counter(), 0
+    for i, w in texts:
+        score = 0.0
+        for k, x in enumerate(w):
+            p = (one[x] + 0.1) / (total + 0.1 * (distinct + 1))
+            if k and one[w[k - 1]]:
+                p = min(1.0, max(held(two[w[k - 1], x]) - off2, 0) / one[w[k - 1]] + free(kept, mass, kind(w[k - 1])) * p)
+            if k > 1 and two[w[k - 2], w[k - 1]]:
+                context = held(two[w[k - 2], w[k - 1]])
+                p = min(1.0, max(min(held(three[w[k - 2], w[k - 1], x]), context) - off3, 0) / context + free(kept3, mass3, kind(w[k - 1])) * p)
+            once += lm.tenth(i) and k > 0 and two[w[k - 1], x] == 1
+            score += math.log10(p)
+        expected[(i, len(w), round(score, 6))] += 1
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in lm.score_documents(docs).collect())
+    assert once > 0 and [r[:2] for r in sorted(got.elements())] == [r[:2] for r in sorted(expected.elements())]
+    assert [r[2] for r in sorted(got.elements())] == pytest.approx([r[2] for r in sorted(expected.elements())], abs=2e-6)
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 
