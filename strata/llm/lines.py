@@ -23,10 +23,10 @@ from .chunks import Bucket, Chunk, answered, bucket_count, chunk_from, corpus_by
 from .components import connected_components
 from .settree import cluster_links
 from .shared import give_back, materialize
-from .textkit import LOWER, Sequences, mix, span_hashes
+from .textkit import LOWER, SPACE, Sequences, mix, span_hashes
 
-#: Characters of a shingle; shorter lines than MIN_CHARS always stay.
-SHINGLE, MIN_CHARS = 8, 24
+#: Characters of a shingle; lines of MIN_CHARS take part whatever ``min_chars`` says.
+SHINGLE, MIN_CHARS = 5, 24
 NUM, DEN = 75, 100
 #: Bins of the signature, bands and rows: a pair at the threshold shares a band with probability 0.96, at 0.8 with 0.99.
 BINS, BANDS, ROWS = 64, 12, 5
@@ -37,9 +37,9 @@ _FOUND = "chunk long, line long, n long, body binary, bands binary, first_doc lo
 
 
 class Lines:
-    """The lines of a chunk: byte ranges, document, number, hash of the lower-cased bytes; ``eligible`` marks long ones."""
+    """The lines of a chunk: byte ranges, document, number, hash of the lower-cased bytes; ``eligible`` marks those that take part."""
 
-    def __init__(self, chunk: Chunk):
+    def __init__(self, chunk: Chunk, min_chars: int = MIN_CHARS):
         self.data = LOWER[chunk.data]
         n = len(self.data)
         breaks = np.flatnonzero(self.data == 0x0A)
@@ -56,7 +56,9 @@ class Lines:
         self.number = np.arange(len(self.start)) - np.searchsorted(self.doc, self.doc)
         self.hash = span_hashes(self.data, self.start, np.maximum(self.start, self.end)) if len(self.start) else np.zeros(0, U)
         chars = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
-        self.eligible = chars[self.end] - chars[self.start] >= MIN_CHARS
+        seen = np.concatenate(([0], np.cumsum(~SPACE[self.data])))
+        self.chars = chars[self.end] - chars[self.start]
+        self.eligible = (self.chars >= MIN_CHARS) | (self.chars >= min_chars) & (seen[self.end] > seen[self.start])
         self.rows = np.flatnonzero(self.eligible)
 
     @cached_property
@@ -104,9 +106,13 @@ def filled_bins(signature: np.ndarray) -> np.ndarray:
     return np.where(full.any(1, keepdims=True), moved, signature)
 
 
+def with_shingles(lines: Lines) -> np.ndarray:
+    return np.flatnonzero(lines.chars[lines.distinct[1]] >= SHINGLE)
+
+
 def band_keys(lines: Lines) -> np.ndarray:
-    """A key for every distinct line and band."""
-    first = lines.distinct[1]
+    """A key for every band of the distinct lines that have shingles."""
+    first = lines.distinct[1][with_shingles(lines)]
     n = len(first)
     out = np.zeros((n, BANDS), U)
     for a in range(0, n, GROUP):
@@ -129,15 +135,15 @@ def _exact(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ U(0xA0761D6478BD642F))
 
 
-def _keys(chunk: Chunk) -> tuple[np.ndarray, ...]:
+def _keys(chunk: Chunk, min_chars: int) -> tuple[np.ndarray, ...]:
     """A chunk's sorted keys: the bands of its distinct lines, and the lines themselves. For each entry a 16-bit mark of
     its line, the line's occurrences, whether it is a line's own key, and the line's index among the distinct ones."""
-    lines = Lines(chunk)
+    lines = Lines(chunk, min_chars)
     unique, _, inverse = lines.distinct
-    n = len(unique)
+    n, near = len(unique), with_shingles(lines)
     keys = np.concatenate((band_keys(lines).ravel(), _exact(unique)))
-    line = np.concatenate((np.repeat(np.arange(n), BANDS), np.arange(n)))
-    own = np.concatenate((np.zeros(n * BANDS, np.uint8), np.ones(n, np.uint8)))
+    line = np.concatenate((np.repeat(near, BANDS), np.arange(n)))
+    own = np.concatenate((np.zeros(len(near) * BANDS, np.uint8), np.ones(n, np.uint8)))
     order = np.argsort(keys, kind="stable")
     line = line[order]
     times = np.minimum(np.bincount(inverse, minlength=n), 255).astype(np.uint8)
@@ -153,12 +159,12 @@ def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.where(own[bucket.starts].astype(bool), again, low != high)[group], [line, bucket.keys[group], own]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with near-repeated lines taken out of the texts, and columns ``_n_lines`` and ``_n_removed``.
 
-    Lines are what line feeds separate. Lines of at least MIN_CHARS characters link
-    when NUM/DEN or more of their character shingles (A-Z lower-cased) agree; of
-    each component the first in (doc_id, line number) stays. Kept lines are joined
+    Lines are what line feeds separate. Lines of at least min_chars characters (below
+    MIN_CHARS only if one is no space) link when they are equal (A-Z lower-cased) or
+    NUM/DEN or more of their character shingles agree; of each component the first in (doc_id, line number) stays. Kept lines are joined
     by line feeds, so a document without removals is unchanged. Empty texts stay;
     a null text becomes empty. A row without an id keeps its text and takes no part.
     Rows repeating an id and text count as one first line each; later copies lose
@@ -170,7 +176,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = bucket_count(corpus_bytes(chunks) / 12)
 
     def gather(chunk: Chunk, got: dict) -> pa.Table:
-        lines = Lines(chunk)
+        lines = Lines(chunk, min_chars)
         unique, first, inverse = lines.distinct
         told = [np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, np.int64), (2, U), (3, np.uint8))]
         near = told[2] == 0
@@ -190,7 +196,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             [x.split()[0] for x in _FOUND.split(", ")],
         )
 
-    answers = answered(keyed(chunks, buckets, _keys), _wanted)
+    answers = answered(keyed(chunks, buckets, lambda c: _keys(c, min_chars)), _wanted)
     found = materialize(rejoin(chunks, answers, buckets, gather, _FOUND), "repeated-lines")
     near = found.where("body is not null")
     sets = materialize(near.groupBy(F.col("line").alias("id")).agg(F.max("n").alias("n"), F.max("body").alias("tokens")), "near-lines")
@@ -209,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.concat_tables(out) if out else empty
 
     def _rebuilt(chunk: Chunk, told: pa.Table) -> pa.Table:
-        lines = Lines(chunk)
+        lines = Lines(chunk, min_chars)
         hashes = told.column("line").to_numpy().view(U)
         order = np.argsort(hashes)
         hashes = hashes[order]

@@ -139,7 +139,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without their near-repeated lines."""
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=1)
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

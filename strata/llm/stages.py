@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-repeated lines go; n_chars is counted again."""
-    done = lines.dedup_lines(docs)
+    done = lines.dedup_lines(docs, min_chars=1)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])

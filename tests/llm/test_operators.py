@@ -446,6 +446,13 @@ def test_lines(spark):
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
+def test_short_lines_and_single_characters(spark):
+    near = "single inner letters differ in this short line"
+    rows = [(1, f"menu\n \n\nok\n{near}"), (2, f"MENU\n \n\nno\n{near.replace('differ', 'diffor')}"), (3, "x\nx\nmenus")]
+    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (" \n\nno", 2), 3: ("x\nmenus", 1)}
+
+
 def test_line_recall_against_brute_force(spark):
     import random
 
