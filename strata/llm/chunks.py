@@ -180,13 +180,19 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
             yield b, slice(int(edges[b]), int(edges[b + 1]))
 
 
-def keyed(chunks: DataFrame, buckets: int, emit: Callable[[Chunk], tuple[np.ndarray, ...]]) -> DataFrame:
-    """Rows (bucket, chunk, body): ``emit`` gives a chunk's sorted distinct keys and their local values."""
+def keyed(chunks: DataFrame, buckets: int, emit: Callable[[Chunk], tuple[np.ndarray, ...]], own: int = 0) -> DataFrame:
+    """Rows (bucket, chunk, body): ``emit`` gives a chunk's sorted distinct keys and their local values.
+
+    With ``own``, its last so many arrays are no values: the chunk sends them to itself,
+    past the buckets (answers of bucket OWN), and spares computing them again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches):
             keys, *values = emit(chunk)
-            rows = [(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)]
+            values, kept = values[: len(values) - own], values[len(values) - own :]
+            rows = [(OWN - chunk.number % buckets, chunk.number, pack(*kept))] if own else []
+            rows += [(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)]
             yield packed_rows(rows)
         give_back()
 
@@ -228,8 +234,8 @@ def merged(number: int, chunk_numbers: list[int], bodies: list[bytes]) -> Bucket
     return Bucket(number, list(chunk_numbers), keys[starts], starts, owner, place, values)
 
 
-#: The chunk number of rows that tell about a bucket as a whole.
-SUMMARY = -1
+#: The chunk number of rows that tell about a bucket as a whole; buckets of this number and below carry what chunks send to themselves.
+SUMMARY, OWN = -1, -1
 
 
 def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]], summary: Callable[[Bucket], list[np.ndarray]] | None = None) -> DataFrame:
@@ -237,6 +243,8 @@ def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[
     ``summary`` adds a row about the whole bucket, its chunk number SUMMARY."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() <= OWN:
+            return pa.table({"chunk": table.column("chunk"), "bucket": pa.array([OWN] * table.num_rows, pa.int32()), "body": table.column("body")})
         got = merged(table.column("bucket")[0].as_py(), table.column("chunk").to_pylist(), table.column("body").to_pylist())
         told, values = answer(got)
         at = np.flatnonzero(told)

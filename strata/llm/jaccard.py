@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .chunks import Bucket, Chunk, answered, bucket_count, corpus_bytes, keyed, make_chunks, rejoin, spread
 from .components import connected_components
 from .settree import cluster_links
-from .shared import materialize
+from .shared import join_skewed, materialize
 from .textkit import Words, mix
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -116,8 +116,9 @@ def prefix_clusters(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)]), pa.int64())], ["id", "token"])
 
     entries = sets.select("id", "prefix", "tokens").mapInArrow(explode, "id long, token long")
-    hubs = entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("token", "hub")
-    edges = entries.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    entries = materialize(entries, "prefix-tokens")
+    hubs = materialize(entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("most"), F.count("*").alias("size")).where("hub < most").drop("most"), "prefix-hubs")
+    edges = join_skewed(entries, hubs, "token", "size").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
@@ -132,14 +133,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     """
     found = shared_sets(docs, size, num, den, id_col, text_col)
     members = found.where("set_a is not null")
-    reps = materialize(members.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "shingle-classes")
+    reps = materialize(members.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "shingle-classes")
     full = found.where("tokens is not null").withColumnRenamed("id", "rep").join(reps, ["set_a", "set_b", "rep"]).select(F.col("rep").alias("id"), "n", "prefix", "tokens").dropDuplicates(["id"])
     full = materialize(full, "shingle-reps")
-    links = cluster_links(full, materialize(prefix_clusters(full), "clusters"), num, den)
+    clusters = materialize(prefix_clusters(full), "clusters")
+    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.count("*").alias("size")), "cluster-sizes")
+    seen = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.max("m").alias("most")).first()
+    held = full.join(join_skewed(clusters, sizes, "cluster", "size"), "id").select("id", "n", "tokens", "cluster", "m")
+    links = cluster_links(held, seen["rows"], seen["most"], num, den)
     labels = connected_components(materialize(links, "links"))
-    reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    # classes of one document need no lookup by digest beyond this join; a hot class is one key whose rows AQE splits
-    return (
-        found.select("id", "n", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    )
+    reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"), "size")
+    # documents that cannot link need no lookup; a hot class is met by broadcast
+    reps = materialize(reps.select(F.struct("set_a", "set_b").alias("set"), "component", "size"), "class-components")
+    linked = join_skewed(members.select("id", "n", F.struct("set_a", "set_b").alias("set")), reps, "set", "size").select("id", "n", "component")
+    alone = found.where("set_a is null").select("id", "n", F.col("id").alias("component"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

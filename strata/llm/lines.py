@@ -3,10 +3,12 @@
 Lines are compared by their sets of character shingles. A one-permutation MinHash
 over 64 bins gives each distinct line its signature, bands of the signature are
 looked up corpus-wide (``chunks``), and only lines that share a band with a
-different line, or occur again word for word, leave their chunk. Lines sharing
-bands form clusters, exact Jaccard links them (``settree``), union-find joins the
-links, and of each component the first line in the order of (doc_id, line number)
-stays.
+different line, or occur again word for word, leave their chunk. Lines that share
+a band are compared by exact Jaccard (bands of the same lines once; large groups
+by ``settree``), union-find joins the links, and of each component the first line
+in the order of (doc_id, line number) stays. A band that many lines of a chunk
+share is one entry of its bucket. Two lines meet if their 32-bit marks differ or a
+third line shares the band: one pair of near lines in 2**32 may be missed.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .chunks import Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin
+from .chunks import OWN, Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin
 from .components import connected_components
 from .settree import cluster_links
-from .shared import give_back, materialize
+from .shared import give_back, join_skewed, materialize
 from .textkit import LOWER, SPACE, Sequences, mix, span_hashes
 
 #: Characters of a shingle; lines of MIN_CHARS take part whatever ``min_chars`` says.
@@ -32,8 +34,18 @@ NUM, DEN = 75, 100
 BINS, BANDS, ROWS = 64, 12, 5
 #: Lines sketched at a time: their arrays stay in a core's cache.
 GROUP = 1024
+#: Rows that share a task of comparisons when the groups of lines are small.
+BUNDLE = 8000
 U = np.uint64
-_FOUND = "chunk long, line long, n long, body binary, bands binary, first_doc long, first_no long"
+_FOUND = "chunk long, line long, body binary, clusters binary, sizes binary, most long, again boolean, first_doc long, first_no long"
+
+
+def _span_sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many are true in each span."""
+    out, full = np.zeros(len(start), np.int64), np.flatnonzero(end > start)
+    if len(full):
+        out[full] = np.add.reduceat(np.append(mask, False), np.stack((start[full], end[full]), 1).ravel(), dtype=np.int64)[::2]
+    return out
 
 
 class Lines:
@@ -45,7 +57,6 @@ class Lines:
         breaks = np.flatnonzero(self.data == 0x0A)
         doc_starts, doc_ends = chunk.offsets[:-1], chunk.offsets[1:]
         self.start = np.concatenate((doc_starts, breaks + 1))
-        order = np.argsort(self.start, kind="stable")
         # a line break at a document's end opens a last, empty line of that document
         owner = np.concatenate((np.arange(len(doc_starts)), np.searchsorted(doc_ends, breaks, "right")))
         order = np.lexsort((self.start, owner))
@@ -55,10 +66,10 @@ class Lines:
         self.end = np.where(last, doc_ends[self.doc] if len(doc_ends) else following, following)
         self.number = np.arange(len(self.start)) - np.searchsorted(self.doc, self.doc)
         self.hash = span_hashes(self.data, self.start, np.maximum(self.start, self.end)) if len(self.start) else np.zeros(0, U)
-        chars = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
-        seen = np.concatenate(([0], np.cumsum(~SPACE[self.data])))
-        self.chars = chars[self.end] - chars[self.start]
-        self.eligible = (self.chars >= MIN_CHARS) | (self.chars >= min_chars) & (seen[self.end] > seen[self.start])
+        self.chars = self.end - self.start - _span_sums((self.data & 0xC0) == 0x80, self.start, self.end)
+        self.eligible = self.chars >= max(min_chars, MIN_CHARS)
+        short = np.flatnonzero((self.chars >= min_chars) & ~self.eligible)
+        self.eligible[short] = (self.chars[short] >= MIN_CHARS) | (_span_sums(~SPACE[self.data], self.start[short], self.end[short]) > 0)
         self.rows = np.flatnonzero(self.eligible)
 
     @cached_property
@@ -91,9 +102,19 @@ def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashed[at], seq.document_of()[at]
 
 
-def line_tokens(body: bytes) -> np.ndarray:
-    """The sorted set of a line's shingles."""
-    return np.unique(shingle_hashes([body])[0])
+def line_tokens(bodies: list[bytes]) -> list[np.ndarray]:
+    """The sorted set of each line's shingles, by 48 bits of their hashes."""
+    out = []
+    for a in range(0, len(bodies), GROUP):
+        part = bodies[a : a + GROUP]
+        hashed, owner = shingle_hashes(part)
+        keys = np.sort(owner.astype(U) << U(48) | hashed >> U(16))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        edges = np.searchsorted(keys, np.arange(1, len(part), dtype=U) << U(48))
+        out += np.split(keys & U((1 << 48) - 1), edges)
+    return out
 
 
 def filled_bins(signature: np.ndarray) -> np.ndarray:
@@ -135,28 +156,57 @@ def _exact(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ U(0xA0761D6478BD642F))
 
 
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes) & U(0xFFFFFFFF)
+
+
 def _keys(chunk: Chunk, min_chars: int) -> tuple[np.ndarray, ...]:
-    """A chunk's sorted keys: the bands of its distinct lines, and the lines themselves. For each entry a 16-bit mark of
-    its line, the line's occurrences, whether it is a line's own key, and the line's index among the distinct ones."""
+    """A chunk's sorted distinct keys: the bands of its distinct lines, and the lines themselves. For each the least
+    32-bit mark of its lines and the span of marks, how many lines it has (a line's own key: occurrences), whether it is
+    a line's own, and the sum of the weights of its marks but the least. What stays here: the keys that several lines
+    share (one entry in their bucket), and those lines' indexes among the distinct ones."""
     lines = Lines(chunk, min_chars)
     unique, _, inverse = lines.distinct
-    n, near = len(unique), with_shingles(lines)
-    keys = np.concatenate((band_keys(lines).ravel(), _exact(unique)))
-    line = np.concatenate((np.repeat(near, BANDS), np.arange(n)))
-    own = np.concatenate((np.zeros(len(near) * BANDS, np.uint8), np.ones(n, np.uint8)))
+    near = with_shingles(lines)
+    marks = _marks(unique)
+    keys, line = band_keys(lines).ravel(), np.repeat(near, BANDS)
     order = np.argsort(keys, kind="stable")
-    line = line[order]
-    times = np.minimum(np.bincount(inverse, minlength=n), 255).astype(np.uint8)
-    return keys[order], (mix(unique) & U(0xFFFF)).astype(np.uint16)[line], times[line], own[order], line.astype(np.uint32)
+    keys, line = keys[order], line[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(keys)))
+    if len(starts):
+        mark = marks[line]
+        low, high = np.minimum.reduceat(mark, starts), np.maximum.reduceat(mark, starts)
+        weight = np.add.reduceat(mix(mark), starts) - mix(low)
+    else:
+        low = high = weight = np.zeros(0, U)
+    several = np.repeat(size > 1, size)
+    own = _exact(unique)
+    times = np.bincount(inverse, minlength=len(unique))
+    none = np.zeros(len(own), U)
+    every = np.concatenate((keys[starts], own))
+    order = np.argsort(every, kind="stable")
+    values = [
+        np.concatenate((low, none)).astype(np.uint32), np.concatenate((high - low, none)).astype(np.uint32), np.minimum(np.concatenate((size, times)), 65535).astype(np.uint16),
+        np.concatenate((np.zeros(len(starts), np.uint8), np.ones(len(own), np.uint8))), np.concatenate((weight, none)),
+    ]
+    return every[order], *(v[order] for v in values), keys[several], line[several].astype(np.uint32)
 
 
 def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tell about bands of different lines and lines that occur again: the line's index, its key, and which of both."""
-    mark, times, own, line = bucket.values
-    low, high = np.minimum.reduceat(mark, bucket.starts), np.maximum.reduceat(mark, bucket.starts)
-    again = np.add.reduceat(times.astype(np.int64), bucket.starts) > 1
+    """Tell about bands of different lines and lines that occur again: the key, the mark of its line here, which of both
+    it is, a number that bands of the same lines share, and how many lines (at most) they have."""
+    mark, span, count, own, weight = bucket.values
+    starts = bucket.starts
+    if not len(starts):
+        return np.zeros(0, bool), [np.zeros(0, t) for t in (U, np.uint32, np.uint8, U, np.int64)]
+    differ = np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark + span, starts)
+    total = np.add.reduceat(count.astype(np.int64), starts)
+    cluster = mix(np.add.reduceat(mix(mark.astype(U)) + weight, starts))
     group = bucket.group()
-    return np.where(own[bucket.starts].astype(bool), again, low != high)[group], [line, bucket.keys[group], own]
+    return np.where(own[starts].astype(bool), total > 1, differ)[group], [bucket.keys[group], mark, own, cluster[group], total[group]]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -172,40 +222,60 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col, "_n_lines", "_n_removed")]
     renamed = docs.select(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    chunks = make_chunks(renamed, id_col, text_col, carry=tuple(f"c{k}" for k in range(len(rest))), level=1)
+    chunks = make_chunks(renamed, id_col, text_col, carry=tuple(f"c{k}" for k in range(len(rest))), level=3)
     buckets = bucket_count(corpus_bytes(chunks) / 12)
 
     def gather(chunk: Chunk, got: dict) -> pa.Table:
         lines = Lines(chunk, min_chars)
         unique, first, inverse = lines.distinct
-        told = [np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, np.int64), (2, U), (3, np.uint8))]
-        near = told[2] == 0
-        order = np.argsort(told[0][near], kind="stable")
-        near_line, near_key = told[0][near][order], told[1][near][order]
-        edges = np.searchsorted(near_line, np.arange(len(unique) + 1))
-        out = np.unique(told[0])
+        shared_key, shared_line = got.pop(OWN, [np.zeros(0, U), np.zeros(0, np.uint32)])
+        key, mark, own, cluster, size = (np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, U), (2, U), (3, np.uint8), (4, U), (5, np.int64)))
+        exact = _exact(unique)
+        order = np.argsort(exact)
+        again = order[np.searchsorted(exact[order], key[own == 1])]
+        # (line, cluster, size) of bands: of one line here, by its mark, or of several, which the chunk kept
+        key, mark, cluster, size = (x[own == 0] for x in (key, mark, cluster, size))
+        many = np.isin(key, shared_key)
+        marks = _marks(unique)
+        by_mark = np.argsort(marks)
+        near = [(by_mark[x], cluster[~many][y], size[~many][y]) for x, y in [_matches(marks[by_mark], mark[~many])]]
+        near += [(shared_line[x], cluster[many][y], size[many][y]) for x, y in [_matches(shared_key, key[many])]]
+        line, cluster, size = (np.concatenate([n[k] for n in near]) for k in range(3))
+        order = np.lexsort((cluster, line))
+        line, cluster, size = line[order], cluster[order], size[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (cluster[1:] != cluster[:-1])
+        line, cluster, size = line[new], cluster[new], size[new]
+        out = np.unique(np.concatenate((again, line)))
+        edges = np.append(np.searchsorted(line, out), len(line))
+        ends = np.searchsorted(line, out, "right")
         # the first occurrence here, by (doc_id, line number)
         where = np.lexsort((lines.number[lines.rows], chunk.ids[lines.doc[lines.rows]], inverse))
         rows = lines.rows[where[np.searchsorted(inverse[where], out)]]
-        texts = [lines.text(first[k]) if edges[k] < edges[k + 1] else None for k in out]
+        spans = [slice(edges[k], ends[k]) for k in range(len(out))]
         return pa.table(
             [
-                pa.array(np.full(len(out), chunk.number, np.int64)), pa.array(unique[out].view(np.int64)), pa.array(np.zeros(len(out), np.int64)), pa.array(texts, pa.binary()),
-                pa.array([near_key[edges[k] : edges[k + 1]].tobytes() for k in out], pa.binary()), pa.array(chunk.ids[lines.doc[rows]]), pa.array(lines.number[rows].astype(np.int64)),
+                pa.array(np.full(len(out), chunk.number, np.int64)), pa.array(unique[out].view(np.int64)),
+                pa.array([lines.text(first[k]) if x.start < x.stop else None for k, x in zip(out, spans, strict=True)], pa.binary()),
+                pa.array([cluster[x].tobytes() for x in spans], pa.binary()), pa.array([size[x].tobytes() for x in spans], pa.binary()),
+                pa.array([int(size[x].max(initial=0)) for x in spans], pa.int64()), pa.array(np.isin(out, again)), pa.array(chunk.ids[lines.doc[rows]]), pa.array(lines.number[rows].astype(np.int64)),
             ],
             [x.split()[0] for x in _FOUND.split(", ")],
         )
 
-    answers = answered(keyed(chunks, buckets, lambda c: _keys(c, min_chars)), _wanted)
+    answers = answered(keyed(chunks, buckets, lambda c: _keys(c, min_chars), own=2), _wanted)
     found = materialize(rejoin(chunks, answers, buckets, gather, _FOUND), "repeated-lines")
     near = found.where("body is not null")
-    sets = materialize(near.groupBy(F.col("line").alias("id")).agg(F.max("n").alias("n"), F.max("body").alias("tokens")), "near-lines")
-    links = materialize(cluster_links(sets, _clusters(near), NUM, DEN, line_tokens), "line-links")
-    labels = connected_components(links)
-    placed = found.select("chunk", "line", "first_doc", "first_no").join(labels, found["line"] == labels["node"], "left")
-    placed = materialize(placed.select("chunk", "line", "first_doc", "first_no", F.coalesce("component", "line").alias("component")), "line-components")
-    keepers = placed.groupBy("component").agg(F.min(F.struct("first_doc", "first_no")).alias("keep"))
-    decided = placed.join(keepers, "component").select("chunk", "line", F.col("keep.first_doc").alias("keep_doc"), F.col("keep.first_no").alias("keep_no"))
+    seen = near.agg(F.coalesce(F.sum(F.octet_length("clusters") / 8), F.lit(0)).cast("long").alias("rows"), F.max("most").alias("most")).first()
+    links = materialize(cluster_links(_clustered(near), seen["rows"], seen["most"], NUM, DEN, line_tokens, BUNDLE), "line-links")
+    labels = materialize(connected_components(links), "line-labels")
+    # the first of each line, then of each component, wherever there are several; hot components are met by broadcast
+    first = found.groupBy("line").agg(F.min(F.struct("first_doc", "first_no")).alias("first"), F.count("*").alias("n"), F.bool_or("again").alias("again"))
+    first = first.join(labels, first["line"] == labels["node"], "left").where("again or n > 1 or component is not null")
+    first = materialize(first.select("line", "first", "n", F.coalesce("component", "line").alias("component")), "first-lines")
+    keepers = materialize(first.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("size")), "line-keepers")
+    kept_of = materialize(join_skewed(first.select("line", "n", "component"), keepers, "component", "size"), "kept-lines")
+    decided = join_skewed(found.select("chunk", "line"), kept_of.select("line", "n", F.col("keep.first_doc").alias("keep_doc"), F.col("keep.first_no").alias("keep_no")), "line", "n")
     kinds = [docs.schema[c] for c in rest]
     schema = StructType([StructField("id", LongType()), docs.schema[text_col], *[StructField(f"c{k}", f.dataType) for k, f in enumerate(kinds)], StructField("_n_lines", LongType()), StructField("_n_removed", LongType())])
 
@@ -250,16 +320,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.unionByName(alone)
 
 
-def _clusters(near: DataFrame) -> DataFrame:
-    """(id, cluster): lines connected by shared bands."""
+def _matches(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions (in sorted keys, in asked) that are equal."""
+    low, high = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
+    n = high - low
+    y = np.repeat(np.arange(len(asked)), n)
+    return np.arange(len(y)) - np.repeat(np.cumsum(n) - n - low, n), y
+
+
+def _clustered(near: DataFrame) -> DataFrame:
+    """(id, n, tokens, cluster, m): each distinct line once for every group of lines that share a band."""
+    sets = near.groupBy("line").agg(F.max(F.struct("body", "clusters", "sizes")).alias("s")).select("line", "s.*")
 
     def explode(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            bands = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(b) for b in bands])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]), pa.int64())], ["id", "band"])
-
-    entries = materialize(near.select("line", "bands").mapInArrow(explode, "id long, band long").distinct(), "line-bands")
-    hubs = entries.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("band", "hub")
-    edges = entries.join(hubs, "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    return materialize(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "line-clusters")
+            clusters = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            sizes = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
+            row = np.repeat(np.arange(batch.num_rows), [len(c) for c in clusters])
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(np.zeros(len(row), np.int64)), batch.column(1).take(pa.array(row)), pa.array(np.concatenate([*clusters, none])), pa.array(np.concatenate([*sizes, none]))],
+                ["id", "n", "tokens", "cluster", "m"],
+            )
+
+    return sets.mapInArrow(explode, "id long, n long, tokens binary, cluster long, m long")

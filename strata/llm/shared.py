@@ -12,12 +12,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +39,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds over one part in HOT of a table's rows is hot: there are at most HOT of them.
+HOT = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, a table of one row for each key that also says how many rows of the left
+    table the key has (at least about). Hot keys, HOT rows at most, are broadcast, so that they need no task of their
+    own; all others are shuffled. The column ``rows`` is dropped. ``right`` should be a written table: it is read three times."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    is_hot = F.col(rows) * HOT > total
+    hot, cold = right.where(is_hot).drop(rows), right.where(~is_hot).drop(rows)
+    usual = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).unionByName(usual)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
