@@ -5,18 +5,21 @@ a space after a visible character, say), each distinct segment is encoded once
 per worker, and ids are gathered per document.
 
 Packing. Pieces are range-sorted by falling length and ranked within their length
-class by a distributed scan; open sequences are kept as runs of equal gaps. A
-round takes the longest class left and sweeps the sorted gaps for the successor,
-the smallest gap that holds it; ranks settle which piece gets which sequence of
-the run, the gaps shrink, and what found none opens new sequences. Pieces of one
-length are interchangeable, so a round works on class counts: the plan has at
-most a few thousand ranges, bounded by the sequence length and not by the data,
-and is joined back to the ranked pieces.
+class by a distributed scan. From then on the state is two written tables: runs of
+unplaced pieces (length, ranks) and runs of sequences with equal gaps (gap, first
+sequence, number). A round range-sorts both together by size and sweeps the ranges
+side by side: walking up the sizes, every gap takes the longest piece below it that
+no smaller gap has taken (as often as that length fits), so each piece gets its
+successor gap and the ranks settle which piece goes to which sequence of a run.
+What a range leaves open meets in a sweep over the ranges' leftovers, the gaps
+shrink, and rounds go on until no piece is open. Pieces come in slabs of falling
+length, so that long ones choose first; as many sequences as all ids need are open
+from the start, and more are opened where a round places nothing. Runs are bounded
+by the sequence length, never by the data.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import zlib
@@ -224,46 +227,95 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return scanned.join(F.broadcast(before.drop("count")), ["length", "range"]).withColumn("rank", F.col("local") + F.col("before")).drop("range", "local", "before")
 
 
-def best_fit(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """The plan (piece length, first rank, last rank + 1, first sequence, offset) for so many pieces of each length."""
-    gaps: list[int] = []  # sorted sizes that have runs
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, number)
-    plan, sequences = [], 0
-
-    def put(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, number))
-
-    for size in sorted(counts, reverse=True):
-        rank, total = 0, counts[size]
-        while rank < total:
-            at = bisect.bisect_left(gaps, size)  # the successor
-            if at == len(gaps):
-                first, number, gap = sequences, -(-(total - rank) // max(1, length // size)), length
-                sequences += number
-            else:
-                gap = gaps[at]
-                first, number = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            use = min(number, total - rank)
-            plan.append((size, rank, rank + use, first, length - gap))
-            put(gap - size, first, use)
-            put(gap, first + use, number - use)
-            rank += use
-    return plan
+#: Runs of pieces (kind PIECES: ``low`` to ``high`` are ranks), of sequences (GAPS, or SHRUNK in this round), and placements
+#: (PLACED): ranks low to high go to sequences from ``first`` on, ``per`` to each, from ``offset`` on.
+_RUNS = "kind int, size long, low long, high long, per long, first long, number long, offset long"
+PIECES, GAPS, SHRUNK, PLACED = range(4)
+#: Ranges of a sweep, and the most rows of a plan that are broadcast.
+RANGES, PLAN_ROWS = 8, 1_000_000
+
+
+def sweep(rows: list[dict], length: int) -> list[dict]:
+    """One range of runs, sizes rising and pieces before gaps of their size: a gap takes the longest open piece, as often
+    as it fits. Returns placements, shrunk gaps, and what stays open."""
+    out: list[dict] = []
+    waiting: list[dict] = []
+    for row in rows:
+        if row["kind"] == PIECES:
+            waiting.append(dict(row))
+            continue
+        gap, first, number = row["size"], row["first"], row["number"]
+        while number and waiting:
+            top = waiting[-1]
+            count = top["high"] - top["low"]
+            per = min(gap // top["size"], count)
+            use = min(number, count // per)
+            out.append({"kind": PLACED, "size": top["size"], "low": top["low"], "high": top["low"] + per * use, "per": per, "first": first, "number": use, "offset": length - gap})
+            if gap > per * top["size"]:
+                out.append({"kind": SHRUNK, "size": gap - per * top["size"], "first": first, "number": use})
+            first, number, top["low"] = first + use, number - use, top["low"] + per * use
+            if top["low"] == top["high"]:
+                waiting.pop()
+        if number:
+            out.append({"kind": GAPS, "size": gap, "first": first, "number": number})
+    return out + waiting
+
+
+def one_round(runs: DataFrame, length: int) -> DataFrame:
+    """Sweeps of all ranges, then one over what they leave; written, as the next round starts from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        done = [r for r in rows if r["kind"] in (SHRUNK, PLACED)]
+        found = done + sweep([r for r in rows if r["kind"] in (PIECES, GAPS)], length)
+        names, kinds = [x.split()[0] for x in _RUNS.split(", ")], [pa.int32(), *[pa.int64()] * 7]
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    order = ["size", "kind", "low", "first"]
+    local = runs.repartitionByRange(RANGES, *order).sortWithinPartitions(*order).mapInArrow(run, _RUNS)
+    return materialize(local.repartition(1).sortWithinPartitions(*order).mapInArrow(run, _RUNS), "packing-round")
+
+
+def best_fit(counts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The placements of pieces, given (length, count): rows (length, low, high, per, first, offset)."""
+    spark = counts.sparkSession
+    none = F.lit(None).cast("long")
+    row = lambda **known: [F.lit(known["kind"]).cast("int").alias("kind"), *[known.get(n, none).cast("long").alias(n) for n in ("size", "low", "high", "per", "first", "number", "offset")]]
+    sequences = lambda first, number: spark.range(1).select(*row(kind=GAPS, size=F.lit(length), first=F.lit(first), number=F.lit(number)))
+    open_ = materialize(counts.select(*row(kind=PIECES, size=F.col("length"), low=F.lit(0), high=F.col("count"))), "packing-pieces")
+    ids = open_.agg(F.sum(F.col("size") * F.col("high"))).first()[0] or 0
+    opened = -(-ids // length)
+    gaps, placed = sequences(0, opened), []
+    slabs = [length, length // 2, length // 4, length // 8, 0]
+    for longest, shortest in zip(slabs, slabs[1:], strict=False):
+        runs = gaps.unionByName(open_.where((F.col("size") > shortest) & (F.col("size") <= longest)))
+        while True:
+            runs = one_round(runs, length)
+            placed.append(runs.where(F.col("kind") == PLACED))
+            left = F.col("kind") == PIECES
+            seen = runs.agg(F.count_if(F.col("kind") == PLACED).alias("placed"), F.sum(F.when(left, F.col("size") * (F.col("high") - F.col("low")))).alias("ids")).first()
+            gaps = runs.where(F.col("kind").isin(GAPS, SHRUNK)).withColumn("kind", F.lit(GAPS))
+            if not seen["ids"]:
+                break
+            runs = gaps.unionByName(runs.where(left))
+            if not seen["placed"]:
+                more = -(-seen["ids"] // length)
+                runs, opened = runs.unionByName(sequences(opened, more)), opened + more
+    plan = placed[0]
+    for more in placed[1:]:
+        plan = plan.unionByName(more)
+    return plan.select(F.col("size").alias("length"), "low", "high", "per", "first", "offset")
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; the input must be cheap to read twice."""
     placed = materialize(ranked(pieces), "ranks")
-    counts = {r["length"]: r["count"] for r in placed.groupBy("length").count().collect()}  # at most ``length`` rows
-    plan = pieces.sparkSession.createDataFrame(best_fit(counts, length), "length long, low long, high long, first long, offset long")
-    on = (placed["length"] == plan["length"]) & (placed["rank"] >= plan["low"]) & (placed["rank"] < plan["high"])
-    return placed.join(F.broadcast(plan), on).select(placed["*"], (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset").drop("rank")
+    plan = materialize(best_fit(placed.groupBy("length").count(), length).coalesce(1), "packing-plan")
+    if plan.count() <= PLAN_ROWS:
+        plan = F.broadcast(plan)
+    rank = F.col("rank") - F.col("low")
+    joined = placed.join(plan, "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return joined.select(*[placed[c] for c in placed.columns if c != "rank"], (F.col("first") + F.expr("(rank - low) div per")).alias("sequence_id"), (F.col("offset") + rank % F.col("per") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +64,10 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """A public tokenizer's file; the folder is a setting, never part of this repository."""
-    folder = os.environ.get("STRATA_TOKENIZERS", "/opt/tokenizers")
-    return f"{folder}/{name}"
+    """A public tokenizer's file, never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
