@@ -1,9 +1,9 @@
 """Canonical exact fingerprints: Unicode normalisation, case and whitespace folding, wide xxhash.
 
-Documents with equal digests form a bucket, and inside a bucket the canonical
-bytes are compared. Where they differ (a collision of 128 bits) the fingerprint
-of every text in that bucket is widened by a second digest, so equal
-fingerprints always mean equal canonical texts.
+Texts with equal digests form a bucket, and inside a bucket the canonical bytes
+are compared, those of edited texts too. Where they differ (a collision of 128
+bits) the fingerprint of every text in that bucket is widened by a second digest,
+so equal fingerprints always mean equal canonical texts.
 """
 
 from __future__ import annotations
@@ -12,17 +12,13 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts, small_batches
-
-#: Bits of the map that says which digests have several members: 1 MiB whatever the input.
-MAP_BITS = 1 << 23
+from .shared import join_skewed, materialize, parts, small_batches
 
 
 def canonical(text: str | None) -> bytes:
@@ -40,52 +36,61 @@ def digests(text: str | None) -> tuple[str, str]:
     return xxhash.xxh3_128_hexdigest(data), hashlib.sha256(data).hexdigest()[:32]
 
 
-def _bit(digest: str) -> int:
-    return int(digest[:12], 16) % MAP_BITS
+def raw_hash(text_col: str) -> Column:
+    """A hash that names a raw text when it is fetched again."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, second) of every row; a null text is the empty text. One pass, no shuffle."""
+    """(id, fingerprint, second, raw) of every row; a null text is the empty text. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [digests(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["id", "fingerprint", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), batch.column(2)], ["id", "fingerprint", "second", "raw"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"id {kind}, fingerprint string, second string")
+    return small_batches(docs.select(F.col(id_col), F.col(text_col), raw_hash(text_col))).mapInArrow(run, f"id {kind}, fingerprint string, second string, raw long")
 
 
-def collided(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Digests whose bucket holds different canonical bytes, by comparing those bytes.
-
-    ``found`` has a row (fingerprint) per fingerprinted text. Digests with
-    several members mark a bit map of fixed size; a pass over the documents sends
-    on only texts whose bit is set, copies collapse before the shuffle, and what
-    is left per digest are its distinct byte strings: usually one.
-    """
-    several = found.groupBy("fingerprint").count().where("count > 1")
-    at = F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("long") % MAP_BITS
-    marks = several.select(at.alias("at")).groupBy((F.col("at") / 8).cast("long").alias("byte"))
-    marks = marks.agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")).collect()  # MAP_BITS / 8 rows at most
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    if marks:
-        bits[[m["byte"] for m in marks]] = [m["bits"] for m in marks]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+def _canonical(texts: DataFrame) -> DataFrame:
+    """(fingerprint, bytes) of (text, following): of the text, or where there is a following one of the edited text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            keep = []
-            for t in batch.column(0):
-                data = canonical(t.as_py())
-                digest = xxhash.xxh3_128_hexdigest(data)
-                where = _bit(digest)
-                if held[where >> 3] >> (where & 7) & 1:
-                    keep.append((digest, data))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.binary())], ["fingerprint", "bytes"])
-
-    members = small_batches(docs.select(text_col)).mapInArrow(run, "fingerprint string, bytes binary")
+            data = [canonical(t if f is None else _edited(t or "", f)) for t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(d) for d in data], pa.string()), pa.array(data, pa.binary())], ["fingerprint", "bytes"])
+
+    return small_batches(texts.select("text", "following")).mapInArrow(run, "fingerprint string, bytes binary")
+
+
+def collided(docs: DataFrame, found: DataFrame, text_col: str = "text", edited: DataFrame | None = None) -> DataFrame:
+    """Digests whose bucket holds different canonical bytes, by comparing those bytes.
+
+    found: (fingerprint, raw) of every text; edited: (fingerprint, raw, next_raw) of
+    edited ones. Only texts in buckets of several members are fetched again (by
+    ``join_skewed``: a text with many copies is no hot key), copies collapse before
+    the shuffle, and what is left per digest are its distinct byte strings: usually one.
+    """
+    every = found.select("fingerprint")
+    if edited is not None:
+        every = every.unionByName(edited.select("fingerprint"))
+    several = materialize(every.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared-digests")
+    needed = found.join(several, "fingerprint", "left_semi").select("raw")
+    texts = docs.select(raw_hash(text_col).alias("raw"), F.col(text_col).alias("text"))
+    if edited is None:
+        pairs = None
+    else:
+        pairs = materialize(edited.join(several, "fingerprint", "left_semi").select("raw", "next_raw").distinct(), "shared-edited")
+        needed = needed.union(pairs.select("raw")).union(pairs.select("next_raw"))
+    wanted = materialize(needed.groupBy("raw").agg(F.count("*").alias("n")), "wanted-texts")
+    members = _canonical(join_skewed(texts, wanted, "raw", "n").select("text", F.lit(None).cast("string").alias("following")))
+    if pairs is not None:
+        # each raw text once: few texts are edited into what others are
+        fetched = pairs.select("raw").union(pairs.select(F.col("next_raw").alias("raw"))).groupBy("raw").agg(F.count("*").alias("n"))
+        once = materialize(join_skewed(texts, materialize(fetched, "edited-wanted"), "raw", "n").groupBy("raw").agg(F.max("text").alias("text")), "edited-texts")
+        after = once.select(F.col("raw").alias("next_raw"), F.coalesce("text", F.lit("")).alias("following"))
+        members = members.unionByName(_canonical(pairs.join(once, "raw").join(after, "next_raw")))
     return members.distinct().groupBy("fingerprint").count().where("count > 1").select("fingerprint")
 
 
@@ -106,14 +111,14 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     clash = collided(docs, found, text_col)
-    found = settled(found, clash, [("fingerprint", "second")]).drop("second")
-    groups = found.groupBy("fingerprint").agg(F.min("id").alias("group_id"))
-    return found.join(groups, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "group_id")
+    found = settled(found, clash, [("fingerprint", "second")]).drop("second", "raw")
+    groups = materialize(found.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("n")), "fingerprint-groups")
+    return join_skewed(found, groups, "fingerprint", "n").select(F.col("id").alias(id_col), "fingerprint", "group_id")
 
 
 # --- the half-replaced text of a document and its neighbour -----------------------------------------------------
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, second string, edited_fingerprint string, edited_second string, next_fingerprint string, next_second string, part long, at long, pending boolean"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, second string, edited_fingerprint string, edited_second string, next_fingerprint string, next_second string, raw long, next_raw long, part long, first boolean, pending boolean, edge_text string"
 
 
 def _edited(text: str, following: str) -> str:
@@ -121,15 +126,21 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _row(doc_id: int, text: str, own: tuple[str, str], other: tuple[int, str, tuple[str, str]] | None, part: int, at: int) -> tuple:
+#: A document on its way: id, text, digests, raw hash, and whether it is its range's first.
+_Doc = tuple[int | None, str, tuple[str, str], int, bool]
+
+
+def _row(own: _Doc, other: _Doc | None, part: int) -> tuple:
+    doc_id, text, pair, raw, first = own
     if other is None:
-        return (doc_id, len(text), None, *own, None, None, None, None, part, at, True)
+        return (doc_id, len(text), None, *pair, None, None, None, None, raw, None, part, first, True, text)
     edited = _edited(text, other[1])
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *own, *digests(edited), *other[2], part, at, False)
+    found = (hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *pair, *digests(edited), *other[2])
+    return (doc_id, len(text), *found, raw, other[3], part, first, False, text if first else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 7, pa.int64(), pa.int64(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 7, *[pa.int64()] * 3, pa.bool_(), pa.bool_(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _OUT.split(", ")])
 
 
@@ -139,58 +150,51 @@ def half_edited(docs: DataFrame) -> DataFrame:
     The next document is the one with the next smaller doc_id, after the last the
     first. One range partitioning by doc_id puts neighbours side by side, and
     each partition streams its rows holding one row back; only the last row of
-    every partition needs a row of another, and those (two per partition) meet in
-    a small join.
+    every partition needs a row of another, and those (two per partition, which
+    keep their texts) meet in a small join.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next (1.0 for equal fingerprints, else 0.0: an exact digest
-    knows no other likeness). Null texts are empty. Rows without a doc_id are left
-    out; of rows sharing a doc_id, one stays (its longest text, then the greatest).
-    Empty table: empty.
+    knows no other likeness). Null texts are empty. Every row comes out: rows that
+    share a doc_id follow each other in the order of a hash of their texts, rows
+    without one come last. Empty table: empty.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
-    ordered = small_batches(docs).repartitionByRange(max(8, parts(spark)), F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("raw", raw_hash("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("raw")]
+    ordered = small_batches(docs).repartitionByRange(max(8, parts(spark)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, at = TaskContext.get().partitionId(), None, 0
+        part, held, first = TaskContext.get().partitionId(), None, True
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, t, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = t.as_py()
-                new = (i, text, digests(text))
+                new = (i, text, digests(text), raw, first)
+                first = False
                 if held:
-                    rows.append(_row(*held, new, part, at))
-                    at += 1
+                    rows.append(_row(held, new, part))
                 held = new
             if rows:
                 yield _batch(rows)
         if held:
-            yield _batch([_row(*held, None, part, at)])
+            yield _batch([_row(held, None, part)])
 
     found = materialize(ordered.mapInArrow(run, _OUT), "half-edited")
-    # two rows for each partition: its first document and its last
-    ends = found.groupBy("part").agg(F.max("doc_id").alias("head"), F.min("doc_id").alias("doc_id")).orderBy(F.col("head").desc()).collect()
-    if not ends:
-        done = found
-    else:
-        pairs = spark.createDataFrame([(e["doc_id"], ends[(k + 1) % len(ends)]["head"]) for k, e in enumerate(ends)], "doc_id long, next_id long")
-        needed = F.broadcast(pairs.select("doc_id").union(pairs.select("next_id")).distinct())
-        texts = materialize(docs.join(needed, "doc_id"), "half-edited-ends")
-        joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id")
-
-        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [_row(i, a, digests(a), (n, b, digests(b)), -1, 0) for i, n, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-                yield _batch(rows)
+    used = [r["part"] for r in found.where("pending").select("part").orderBy("part").collect()]  # one row for each partition
+    pairs = spark.createDataFrame([(p, used[(k + 1) % len(used)]) for k, p in enumerate(used)], "part long, next_part long")
+    last = found.where("pending").select("part", "doc_id", F.col("edge_text").alias("text"), "raw", "first")
+    heads = found.where("first").select(F.col("part").alias("next_part"), F.col("edge_text").alias("next_text"), F.col("raw").alias("next_raw"))
+    joined = last.join(pairs, "part").join(heads, "next_part")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_row((i, a, digests(a), x, f), (None, b, digests(b), y, False), p) for i, a, x, f, b, y, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
-        rest = joined.select("doc_id", "next_id", "text", "next_text").mapInArrow(finish, _OUT)
-        done = found.where("not pending").unionByName(rest)
-    every = found.select("fingerprint").unionByName(found.where("not pending").select(F.col("edited_fingerprint").alias("fingerprint")))
-    clash = materialize(collided(docs, every), "half-edited-clash")
+    rest = joined.select("doc_id", "text", "raw", "first", "next_text", "next_raw", "part").mapInArrow(finish, _OUT)
+    done = found.where("not pending").unionByName(rest).drop("edge_text")
+    edited = done.select(F.col("edited_fingerprint").alias("fingerprint"), "raw", "next_raw")
+    clash = materialize(collided(docs, found.select("fingerprint", "raw"), "text", edited), "half-edited-clash")
     done = settled(done, clash, [("fingerprint", "second"), ("edited_fingerprint", "edited_second"), ("next_fingerprint", "next_second")])
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
     return done.select(
