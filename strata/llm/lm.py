@@ -2,11 +2,12 @@
 
 Counting covers all training documents. Words get exact counts by a corpus-wide
 lookup. Two- and three-word grams are summed in their buckets of the key space and
-quantised to 1 and half-powers of two from 2 on. Grams seen at least twice go into
-their bucket's segment of a Bloom filter: one of level q is inserted q times, as
-(gram, 1) ... (gram, q). A count is read back by probing (gram, 1), (gram, 2), ...
-until a probe fails. A gram seen once needs no place there: its own chunk knows
-it, and other chunks that have it (held-out texts) are told by its bucket.
+quantised downwards (1, 2, 3, then four steps for each doubling). Grams seen at
+least twice go into their bucket's segment of a Bloom filter: one of level q is
+inserted q times, as (gram, 1) ... (gram, q). A count is read back by probing
+(gram, 1), (gram, 2), ... until a probe fails. A gram seen once needs no place
+there: its own chunk knows it, and other chunks that have it (held-out texts) are
+told by its bucket.
 
 The filter is broadcast, so its size has a bound (``MAX_BITS``): within each
 segment the least count kept rises until the segment fits its share. What that
@@ -14,11 +15,12 @@ leaves out is not lost: a bucket knows what a chunk would read from the filter,
 and tells it the right level of every gram for which that is wrong (left out of
 the segment, or a false positive). So scores do not depend on the bound.
 
-Probabilities are interpolated with absolute discounting: a gram's count less the
-discount n1 / (n1 + 2 n2) (n1 and n2: grams of its length seen once and twice) over
-its context's, plus the share of the mass set free by discounts and quantising
-(measured over all data for each class of context frequency) times the shorter
-gram's probability, down to smoothed word frequencies.
+Probabilities are interpolated: with weight s a gram's count over its context's,
+with 1 - s the shorter gram's probability, down to smoothed word frequencies. s is
+one number for each class of context frequency, measured over all data: what
+absolute discounting leaves to seen grams. As counts are rounded down, and contexts
+of two words up, the counts of a context's grams never sum to more than the
+context's, so the probabilities after any context sum to 1 at most.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from .textkit import Sequences, Words, mix
 #: Bits of the whole filter at most (64 MiB), bits for an inserted entry, probes for one.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 29, 8, 4
 #: Classes of word frequency.
-CLASSES = 16
+CLASSES = 32
 #: Bits of a gram's hash that are kept beyond those that name its bucket.
 GRAM_BITS = 32
 ALPHA = 0.1
@@ -72,14 +74,22 @@ def training(chunk: Chunk, held_out: Callable[[int], bool]) -> np.ndarray:
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    """Quantised log count: 0 below 2, then half-powers of two (2, 3, 4, 6, 8, 12, ...)."""
-    exact = np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9).astype(np.int64) - 1
-    return np.where(count < 2, 0, exact)
+    """Quantised log count: 0 below 2, then 2, 3, and four steps for each doubling (4, 5, 6, 7, 8, 10, 12, ...)."""
+    count = np.asarray(count, np.int64)
+    octave = np.frexp(np.maximum(count, 4).astype(np.float64))[1].astype(np.int64) - 1
+    return np.where(count < 4, np.maximum(count - 1, 0), 3 + 4 * (octave - 2) + ((count - (1 << octave)) >> (octave - 2)))
 
 
 def count_of(q: np.ndarray) -> np.ndarray:
     """The count that stands for a level (the least of it)."""
-    return np.where(q > 0, np.ceil(np.exp2((q + 1) / 2.0) - 1e-9), 0.0)
+    q = np.asarray(q, np.int64)
+    octave, step = np.divmod(np.maximum(q, 3) - 3, 4)
+    return np.where(q < 3, np.where(q > 0, q + 1, 0), (4 + step) << octave).astype(np.float64)
+
+
+def ceiling(count: np.ndarray) -> np.ndarray:
+    """The largest count that is quantised to the given one."""
+    return np.where(count < 2, count, count_of(level(count) + 1) - 1)
 
 
 def quantised(count: np.ndarray) -> np.ndarray:
@@ -114,7 +124,7 @@ def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.nd
         total = int(q[counts >= least].sum())
     keep = counts >= least
     keys, q = keys[keep], q[keep]
-    bits = max(64, total * ENTRY_BITS + 7 >> 3 << 3)
+    bits = total * ENTRY_BITS
     out = np.zeros(bits, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
         own = keys[q >= j]
@@ -158,8 +168,8 @@ def _word_counts(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def classes(count: np.ndarray) -> np.ndarray:
-    """Classes of context frequency: powers of four, 1 and up."""
-    return np.clip((np.log2(np.maximum(count, 1)) / 2).astype(np.int64) + 1, 1, CLASSES - 1)
+    """Classes of context frequency: half-powers of two, 1 and up."""
+    return np.clip((2 * np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 1, CLASSES - 1)
 
 
 def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -216,8 +226,8 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         kind = classes(token_counts(chunk, got)).astype(np.uint8)
         (pairs, triples), keys, own, inverse = gram_windows(chunk, seq)
         tags, triple = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
-        # of a pair the classes of both words, of a triple that of the middle one
-        tags[inverse[: len(pairs)]] = kind[pairs] | kind[pairs + 1] << 4
+        # the class of the context's last word
+        tags[inverse[: len(pairs)]] = kind[pairs]
         tags[inverse[len(pairs) :]], triple[inverse[len(pairs) :]] = kind[triples + 1], 1
         return pa.Table.from_batches([packed_rows([(b, chunk.number, pack_keys(keys[k], own[k], tags[k], triple[k])) for b, k in by_bucket(keys, gram_buckets)])])
 
@@ -239,23 +249,18 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         counts, bits = settled(bucket)
         tags, triple = bucket.values[1][bucket.starts], bucket.values[2][bucket.starts].astype(bool)
         kept = quantised(counts)
-        first, second = tags & 15, tags >> 4
         rare = [np.array([(counts[own] == k).sum() for k in (1, 2)], np.float64) for own in (~triple, triple)]
-        sums = [np.bincount(x, weights=w, minlength=CLASSES) for x, w in (
-            (first[~triple], counts[~triple]), (first[~triple], kept[~triple]), (first[~triple], kept[~triple] > 0),
-            (second[~triple], kept[~triple]), (first[triple], kept[triple]), (first[triple], kept[triple] > 0),
-        )]
+        sums = [np.bincount(tags[own], weights=w[own], minlength=CLASSES) for own in (~triple, triple) for w in (kept, kept > 0)]
         return [bits, np.concatenate([*rare, *sums])]
 
     built = materialize(answered(rejoin(chunks, word_answers, word_buckets, grams, _KEYED), corrections, build), "gram-filter")
     gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
     parts_ = {r["bucket"]: unpack(r["body"]) for r in built.where(F.col("chunk") == SUMMARY).collect()}  # max_bits at most, and a few sums for each bucket
-    sums = sum((p[1] for p in parts_.values()), np.zeros(4 + 6 * CLASSES))
+    sums = sum((p[1] for p in parts_.values()), np.zeros(4 + 4 * CLASSES))
     off2, off3 = (float(once / (once + 2 * twice)) if once else 0.0 for once, twice in (sums[:2], sums[2:4]))
-    sums = sums[4:].reshape(6, CLASSES)
-    # share of a context's mass that its grams hold after the discount, by class of the context's (last) word
-    share2 = np.divide(sums[1] - off2 * sums[2], sums[0], out=np.zeros(CLASSES), where=sums[0] > 0).clip(0, 0.999)
-    share3 = np.divide(sums[4] - off3 * sums[5], sums[3], out=np.zeros(CLASSES), where=sums[3] > 0).clip(0, 0.999)
+    sums = sums[4:].reshape(4, CLASSES)
+    # weight of seen grams: what the discounts leave of their counts, by class of the context's last word
+    seen2, seen3 = (np.clip(1 - np.divide(off * number, mass, out=np.ones(CLASSES), where=mass > 0), 0, 0.999) for off, mass, number in ((off2, sums[0], sums[1]), (off3, sums[2], sums[3])))
     shared = spark.sparkContext.broadcast((gram_buckets, {b: p[0].tobytes() for b, p in parts_.items()}))
     floor = ALPHA / (total + ALPHA * (distinct + 1)) if total else 1.0
 
@@ -274,11 +279,11 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         two = np.zeros(len(c))
         two[pairs] = np.minimum(held[: len(pairs)], c[pairs])
         at = pairs[c[pairs] > 0]
-        p[at + 1] = np.minimum(1.0, np.maximum(two[at] - off2, 0) / c[at] + (1 - share2[kind[at]]) * p1[at + 1])
+        p[at + 1] = seen2[kind[at]] * two[at] / c[at] + (1 - seen2[kind[at]]) * p1[at + 1]
         ok = two[triples] > 0
         at = triples[ok]
-        three = np.minimum(held[len(pairs) :][ok], two[at])
-        p[at + 2] = np.minimum(1.0, np.maximum(three - off3, 0) / two[at] + (1 - share3[kind[at + 1]]) * p[at + 2])
+        context = ceiling(two[at])
+        p[at + 2] = seen3[kind[at + 1]] * np.minimum(held[len(pairs) :][ok], context) / context + (1 - seen3[kind[at + 1]]) * p[at + 2]
         owner = seq.document_of()
         n = len(chunk)
         add = lambda w: np.bincount(owner, weights=w, minlength=n)

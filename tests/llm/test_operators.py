@@ -2,12 +2,12 @@
 
 import hashlib
 import math
-import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from strata.llm.textkit import Words, string_buffers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def known(corpus):
@@ -84,7 +84,6 @@ def test_toxicity_without_labels_or_rows(docs, none):
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 def test_packing_is_whole_and_gapless(docs, corpus, none):
     from tokenizers import Tokenizer
 
@@ -118,20 +117,58 @@ def test_packing_is_whole_and_gapless(docs, corpus, none):
     assert packing.pack_documents(none, TOKENIZER).count() == 0
 
 
-def test_best_fit_plan_places_all_ranks():
-    counts = {1024: 3, 700: 5, 400: 4, 300: 9, 24: 40, 1: 100}
-    plan = packing.best_fit(counts)
+def by_hand(counts, length=1024):
+    """Sequences that best fit needs, one piece after another."""
+    import bisect
+
+    gaps, used = [], 0
+    for size in sorted(Counter(counts).elements(), reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        used += at == len(gaps)
+        gap = length if at == len(gaps) else gaps.pop(at)
+        bisect.insort(gaps, gap - size)
+    return used
+
+
+@pytest.mark.parametrize("counts", [{1024: 3, 700: 5, 400: 4, 300: 9, 24: 40, 1: 100}, {1: 5000}, {513: 40}, {k: 2 for k in range(1, 1025)}, {340: 31, 341: 31, 343: 31}])
+def test_rounds_place_all_ranks_about_as_well_as_best_fit(spark, counts):
+    plan = packing.best_fit(spark.createDataFrame(list(counts.items()), "length long, count long")).collect()
     for size, n in counts.items():
-        ranks = sorted(r for s, a, b, _, _ in plan if s == size for r in range(a, b))
+        ranks = sorted(r for p in plan if p["length"] == size for r in range(p["low"], p["high"]))
         assert ranks == list(range(n))
-    used = Counter()
     spans = {}
-    for size, a, b, first, offset in plan:
-        for k in range(b - a):
-            used[first + k] += size
-            spans.setdefault(first + k, []).append((offset, size))
-    assert max(used.values()) <= 1024
-    assert all(o == sum(s for x, s in v if x < o) for v in spans.values() for o, _ in v)
+    for p in plan:
+        for k in range(p["high"] - p["low"]):
+            spans.setdefault(p["first"] + k // p["per"], []).append((p["offset"] + k % p["per"] * p["length"], p["length"]))
+    for held in spans.values():
+        end = 0
+        for offset, size in sorted(held):
+            assert offset == end
+            end += size
+        assert end <= 1024
+    assert len(spans) <= by_hand(counts) * 1.01 + 1
+
+
+def test_sweeps_of_ranges_agree_with_one(spark):
+    """Runs that several ranges share meet in the second sweep: the placements are those of a single sweep."""
+    import random
+
+    rng = random.Random(5)
+    rows, first = [], 0
+    for size in rng.sample(range(1, 1025), 300):
+        if rng.random() < 0.5:
+            rows.append({"kind": packing.PIECES, "size": size, "low": 0, "high": rng.randrange(1, 60)})
+        else:
+            rows.append({"kind": packing.GAPS, "size": size, "first": first, "number": rng.randrange(1, 60)})
+            first += rows[-1]["number"]
+    names = [x.split()[0] for x in packing._RUNS.split(", ")]
+    got = packing.one_round(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], packing._RUNS), 1024).collect()
+    expected = packing.sweep(sorted(rows, key=lambda r: (r["size"], r["kind"])), 1024)
+
+    def placed(found):
+        return sorted((r["size"], r["low"] + k, r["first"] + k // r["per"]) for r in found if r["kind"] == packing.PLACED for k in range(r["high"] - r["low"]))
+
+    assert placed([r.asDict() for r in got]) == placed(expected)
 
 
 # --- 3 ------------------------------------------------------------------------------------------------------------
@@ -218,38 +255,40 @@ def test_lm_scores_against_brute_force(docs, corpus):
             two.update(zip(w, w[1:], strict=False))
             three.update(zip(w, w[1:], w[2:], strict=False))
 
+    steps = [1, 2, 3, *((4 + k) << j for j in range(30) for k in range(4)), math.inf]
+
     def held(n):
-        return 1 if n == 1 else math.ceil(2 ** (math.floor(2 * math.log2(n) + 1e-9) / 2) - 1e-9) if n else 0
+        return max((x for x in steps if x <= n), default=0)
+
+    def most(n):
+        return min(x for x in steps if x > n) - 1
 
     def kind(word):
-        return min(15, int(math.log2(max(1, one[word])) / 2) + 1)
+        return min(31, int(2 * math.log2(max(1, one[word]))) + 1)
 
     def off(counts):
         n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
         return n1 / (n1 + 2 * n2)
 
-    off2, off3 = off(two), off(three)
-    mass, kept, mass3, kept3 = Counter(), Counter(), Counter(), Counter()
-    for (a, b), c in two.items():
-        mass[kind(a)] += c
-        kept[kind(a)] += held(c) - off2
-        mass3[kind(b)] += held(c)
-    for (_, b, _), c in three.items():
-        kept3[kind(b)] += held(c) - off3
-
-    def free(part, whole, k):
-        return 1 - (min(max(part[k] / whole[k], 0), 0.999) if whole[k] else 0)
+    def weights(counts):
+        kept, number = Counter(), Counter()
+        for gram, c in counts.items():
+            kept[kind(gram[-2])] += held(c)
+            number[kind(gram[-2])] += 1
+        return {k: min(1 - off(counts) * number[k] / kept[k], 0.999) for k in kept}
 
+    seen2, seen3 = weights(two), weights(three)
     total, distinct, expected, once = sum(one.values()), len(one), Counter(), 0
     for i, w in texts:
         score = 0.0
         for k, x in enumerate(w):
             p = (one[x] + 0.1) / (total + 0.1 * (distinct + 1))
             if k and one[w[k - 1]]:
-                p = min(1.0, max(held(two[w[k - 1], x]) - off2, 0) / one[w[k - 1]] + free(kept, mass, kind(w[k - 1])) * p)
+                s = seen2.get(kind(w[k - 1]), 0)
+                p = s * held(two[w[k - 1], x]) / one[w[k - 1]] + (1 - s) * p
             if k > 1 and two[w[k - 2], w[k - 1]]:
-                context = held(two[w[k - 2], w[k - 1]])
-                p = min(1.0, max(min(held(three[w[k - 2], w[k - 1], x]), context) - off3, 0) / context + free(kept3, mass3, kind(w[k - 1])) * p)
+                s = seen3.get(kind(w[k - 1]), 0)
+                p = s * held(three[w[k - 2], w[k - 1], x]) / most(held(two[w[k - 2], w[k - 1]])) + (1 - s) * p
             once += lm.tenth(i) and k > 0 and two[w[k - 1], x] == 1
             score += math.log10(p)
         expected[(i, len(w), round(score, 6))] += 1
@@ -258,6 +297,26 @@ def test_lm_scores_against_brute_force(docs, corpus):
     assert [r[2] for r in sorted(got.elements())] == pytest.approx([r[2] for r in sorted(expected.elements())], abs=2e-6)
 
 
+def test_lm_probabilities_sum_to_one_at_most(spark):
+    """All texts of up to three words are given, so the sums over what follows each word, or pair, are known."""
+    import itertools
+
+    words = ["a", "b", "c", "d", "new"]
+    train = ["a b", "a b", "a b c", "a c", "b c d", "b a", "a b c", "d d d", "c a b"] + ["a d"] * 9 + [f"b u{k}" for k in range(16)] + ["c x1 y", "c x2 y"] * 8
+    texts = [" ".join(w) for n in range(4) for w in itertools.product(words, repeat=n)]
+    rows = [*enumerate(train), *((1000 + k, t) for k, t in enumerate(texts))]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: i >= 1000).collect()}
+    p = {t: 10 ** got[1000 + k] for k, t in enumerate(texts)}
+    assert sum(p.values()) < 1
+    count = Counter(w for t in train for w in [*t.split(), None])
+    total, distinct = sum(count.values()), len(count)
+    for first in words:
+        start = (count[first] + 0.1) / (total + 0.1 * (distinct + 1))
+        assert sum(v for t, v in p.items() if t.split()[:1] == [first]) <= start * (1 + 1e-9)
+    assert lm.count_of(lm.level(np.array([1, 2, 3, 4, 7, 9, 11, 1000]))).tolist() == [0, 2, 3, 4, 7, 8, 10, 896]
+    assert lm.ceiling(np.array([1.0, 2, 7, 8, 896])).tolist() == [1, 2, 7, 9, 1023]
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -395,24 +454,57 @@ def test_components_in_rounds(spark, monkeypatch):
 # --- 9 ------------------------------------------------------------------------------------------------------------
 
 
-def test_half_edited(docs, corpus, none):
-    got = {r["doc_id"]: r for r in fingerprint.half_edited(docs).collect()}
-    one = {}
-    for i, t in known(corpus):
-        one[i] = max(one.get(i, t), t, key=lambda x: (len(x), x))
-    order = sorted(one, reverse=True)
-    assert sorted(got) == sorted(one)
-    for k, i in enumerate(order):
-        text, after = one[i], one[order[(k + 1) % len(order)]]
+def half_edited_by_hand(rows):
+    """(id, characters, sha256 of the edited text, equal to edited, equal to next) of rows in their order."""
+    out = Counter()
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = got[i]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        same = fingerprint.canonical(text) == fingerprint.canonical(edited)
-        assert r["near_edited"] == float(same) and (r["fingerprint"] == r["edited_fingerprint"]) == same
-        assert r["near_next"] == float(fingerprint.canonical(text) == fingerprint.canonical(after))
-    assert got[300]["fingerprint"] == got[301]["fingerprint"] == got[-5]["fingerprint"] != got[201]["fingerprint"]
+        same, following = (float(fingerprint.canonical(text) == fingerprint.canonical(t)) for t in (edited, after))
+        out[(i, len(text), hashlib.sha256(edited.encode()).hexdigest(), same, following)] += 1
+    return out
+
+
+def test_half_edited(spark, docs, corpus, none):
+    got = fingerprint.half_edited(docs).collect()
+    # rows that share an id follow each other by the hash Spark gives their texts
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == half_edited_by_hand([(i, t or "") for i, t in rows])
+    assert all((r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1) for r in got)
+    one = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert one[300] == one[301] == one[-5] != one[201]
     assert fingerprint.half_edited(none).count() == 0
+    assert fingerprint.half_edited(docs.where("doc_id = 100")).first()["near_next"] == 1
+
+
+def test_edited_texts_are_compared_by_bytes(spark, monkeypatch):
+    """With a digest that makes all texts of one length collide, only equal bytes share a fingerprint, edited or not."""
+    from pyspark import cloudpickle
+
+    class Weak:
+        @staticmethod
+        def xxh3_128_hexdigest(data):
+            return f"{len(data):032x}"
+
+    monkeypatch.setattr(fingerprint, "xxhash", Weak)
+    cloudpickle.register_pickle_by_value(fingerprint)
+    try:
+        rows = [(9, "aaaa"), (8, "bbbb"), (7, "aabb"), (6, "cccc"), (5, "x"), (4, "ccc"), (3, "cccccc"), (2, "dd")]
+        got = fingerprint.half_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(fingerprint)
+    texts = dict(rows)
+    order = [i for i, _ in rows]
+    printed = {}
+    for r in got:
+        text = texts[r["doc_id"]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + texts[order[(order.index(r["doc_id"]) + 1) % len(order)]][:half]
+        for t, f in ((text, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert printed.setdefault(t, f) == f
+    assert len(set(printed.values())) == len(printed)
 
 
 def test_groups_and_collisions(spark, docs, corpus, monkeypatch):
