@@ -40,12 +40,9 @@ U = np.uint64
 _FOUND = "chunk long, line long, body binary, clusters binary, sizes binary, most long, again boolean, first_doc long, first_no long"
 
 
-def _span_sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """How many are true in each span."""
-    out, full = np.zeros(len(start), np.int64), np.flatnonzero(end > start)
-    if len(full):
-        out[full] = np.add.reduceat(np.append(mask, False), np.stack((start[full], end[full]), 1).ravel(), dtype=np.int64)[::2]
-    return out
+def _inside(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each span."""
+    return np.searchsorted(places, end) - np.searchsorted(places, start)
 
 
 class Lines:
@@ -66,10 +63,11 @@ class Lines:
         self.end = np.where(last, doc_ends[self.doc] if len(doc_ends) else following, following)
         self.number = np.arange(len(self.start)) - np.searchsorted(self.doc, self.doc)
         self.hash = span_hashes(self.data, self.start, np.maximum(self.start, self.end)) if len(self.start) else np.zeros(0, U)
-        self.chars = self.end - self.start - _span_sums((self.data & 0xC0) == 0x80, self.start, self.end)
+        self.chars = self.end - self.start - _inside(np.flatnonzero((self.data & 0xC0) == 0x80), self.start, self.end)
         self.eligible = self.chars >= max(min_chars, MIN_CHARS)
         short = np.flatnonzero((self.chars >= min_chars) & ~self.eligible)
-        self.eligible[short] = (self.chars[short] >= MIN_CHARS) | (_span_sums(~SPACE[self.data], self.start[short], self.end[short]) > 0)
+        start, end = self.start[short], self.end[short]
+        self.eligible[short] = (self.chars[short] >= MIN_CHARS) | (_inside(np.flatnonzero(SPACE[self.data]), start, end) < end - start)
         self.rows = np.flatnonzero(self.eligible)
 
     @cached_property
