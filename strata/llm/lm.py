@@ -5,7 +5,7 @@ lookup. Two- and three-word grams are summed in their buckets of the key space a
 quantised downwards (1, 2, 3, then four steps for each doubling). Grams seen at
 least twice go into their bucket's segment of a Bloom filter: one of level q is
 inserted q times, as (gram, 1) ... (gram, q). A count is read back by probing
-(gram, 1), (gram, 2), ... until a probe fails. A gram seen once needs no place
+levels 1, 2, 4, ... until one fails, then by halves. A gram seen once needs no place
 there: its own chunk knows it, and other chunks that have it (held-out texts) are
 told by its bucket.
 
@@ -39,6 +39,8 @@ from .textkit import Sequences, Words, mix
 
 #: Bits of the whole filter at most (64 MiB), bits for an inserted entry, probes for one.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 29, 8, 4
+#: Keys probed at a time: their arrays stay in a core's cache.
+AT_ONCE = 1 << 14
 #: Classes of word frequency.
 CLASSES = 32
 #: Bits of a gram's hash that are kept beyond those that name its bucket.
@@ -89,12 +91,21 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 def ceiling(count: np.ndarray) -> np.ndarray:
     """The largest count that is quantised to the given one."""
-    return np.where(count < 2, count, count_of(level(count) + 1) - 1)
+    values, which = np.unique(count, return_inverse=True)
+    return np.where(values < 2, values, count_of(level(values) + 1) - 1)[which]
+
+
+_SMALL = np.arange(1 << 12)
+_SMALL = np.where(_SMALL == 1, 1.0, count_of(level(_SMALL)))
 
 
 def quantised(count: np.ndarray) -> np.ndarray:
     """Counts as the model holds them: 1, then those of the filter's levels."""
-    return np.where(count == 1, 1.0, count_of(level(count)))
+    count = np.asarray(count, np.int64)
+    out = _SMALL[np.minimum(count, len(_SMALL) - 1)]
+    large = np.flatnonzero(count >= len(_SMALL))
+    out[large] = count_of(level(count[large]))
+    return out
 
 
 def read(probed: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -108,11 +119,19 @@ def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     return keys >> U(drop) << U(drop)
 
 
-def probes(keys: np.ndarray, q: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Bit positions of (key, level) in a segment of so many bits, one array for each probe."""
-    h = mix(keys + q.astype(U) * U(0x9E3779B97F4A7C15))
-    step = mix(h) | U(1)
-    return [((h + U(k) * step) % size).astype(np.int64) for k in range(PROBES)]
+def hashed(keys: np.ndarray, q: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, level): a start and a step for its probes."""
+    h = mix(keys + np.asarray(q).astype(U) * U(0x9E3779B97F4A7C15))
+    return h, h * U(0xC2B2AE3D27D4EB4F) | U(1)
+
+
+def place(h: np.ndarray, step: np.ndarray, k: int, bits: np.ndarray) -> np.ndarray:
+    """The bit of probe k in a segment of so many bits."""
+    at = h + U(k) * step
+    at >>= U(32)
+    at *= bits
+    at >>= U(32)
+    return at
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.ndarray, int]:
@@ -128,8 +147,9 @@ def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.nd
     out = np.zeros(bits, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
         own = keys[q >= j]
-        for at in probes(own, np.full(len(own), j), U(bits)):
-            out[at] = True
+        h, step = hashed(own, j)
+        for k in range(PROBES):
+            out[place(h, step, k, U(bits))] = True
     return np.packbits(out, bitorder="little"), least
 
 
@@ -140,26 +160,45 @@ class Filter:
         self.shift = U(64 - buckets.bit_length() + 1)
         sizes = np.array([len(segments.get(b, b"")) for b in range(buckets)], np.int64)
         self.bits = (sizes * 8).astype(U)
-        self.start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        self.start = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(U)
+        self.all = bool((sizes > 0).all())
         self.data = np.frombuffer(b"".join(segments.get(b, b"") for b in range(buckets)), np.uint8)
 
+    def holds(self, keys: np.ndarray, bucket: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether each (key, level) seems to be a member."""
+        alive = np.arange(len(keys)) if self.all else np.flatnonzero(self.bits[bucket] > 0)
+        h, step = hashed(keys[alive], q[alive])
+        bits, start = self.bits[bucket[alive]], self.start[bucket[alive]]
+        for k in range(PROBES):
+            at = place(h, step, k, bits)
+            hit = np.flatnonzero(self.data[start + (at >> U(3))] >> (at & U(7)).astype(np.uint8) & 1)
+            alive = alive[hit]
+            if k + 1 < PROBES:
+                h, step, bits, start = h[hit], step[hit], bits[hit], start[hit]
+        out = np.zeros(len(keys), bool)
+        out[alive] = True
+        return out
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of gram keys by repeated membership probes."""
-        q = np.zeros(len(keys), np.int64)
+        return np.concatenate([np.zeros(0), *(self._counts(keys[i : i + AT_ONCE]) for i in range(0, len(keys), AT_ONCE))])
+
+    def _counts(self, keys: np.ndarray) -> np.ndarray:
+        """Levels 1, 2, 4, ... until one fails, then by halves."""
+        low, high = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
         bucket = (keys >> self.shift).astype(np.int64)
-        alive = np.flatnonzero(self.bits[bucket] > 0)
-        j = 1
+        alive = np.arange(len(keys))
         while len(alive):
-            size, start = self.bits[bucket[alive]], self.start[bucket[alive]]
-            here = keys[alive]
-            for k, at in enumerate(probes(here, np.full(len(here), j), size)):
-                at = at if k == 0 else at[ok]
-                hit = (self.data[(start if k == 0 else start[ok]) + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                ok = np.flatnonzero(hit) if k == 0 else ok[hit]
-            alive = alive[ok]
-            q[alive] = j
-            j += 1
-        return count_of(q)
+            alive = alive[self.holds(keys[alive], bucket[alive], high[alive])]
+            low[alive] = high[alive]
+            high[alive] *= 2
+        alive = np.flatnonzero(high - low > 1)
+        while len(alive):
+            middle = (low[alive] + high[alive]) // 2
+            there = self.holds(keys[alive], bucket[alive], middle)
+            low[alive[there]], high[alive[~there]] = middle[there], middle[~there]
+            alive = alive[high[alive] - low[alive] > 1]
+        return count_of(low)
 
 
 def _word_counts(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -187,8 +226,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
     size = corpus_bytes(chunks)
     word_buckets, gram_buckets = bucket_count(size / 20), bucket_count(size / 3)
 
-    def local_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seq = tokens_of(chunk)
+    def local_words(chunk: Chunk, seq: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, inverse = np.unique(seq.hash, return_inverse=True)
         train = np.repeat(training(chunk, held_out), seq.counts())
         return keys, np.bincount(inverse[train], minlength=len(keys)).astype(np.int64), inverse
@@ -197,14 +235,14 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         total = bucket.per_key(np.add, 0)
         return [np.array([(total > 0).sum(), total.sum()], np.int64)]
 
-    words = materialize(answered(keyed(chunks, word_buckets, lambda c: local_words(c)[:2]), _word_counts, word_summary), "word-counts")
+    words = materialize(answered(keyed(chunks, word_buckets, lambda c: local_words(c, tokens_of(c))[:2]), _word_counts, word_summary), "word-counts")
     told = [unpack(r["body"])[0] for r in words.where(F.col("chunk") == SUMMARY).select("body").collect()]  # two numbers a bucket
     distinct, total = (int(sum(t[k] for t in told)) for k in (0, 1))
     word_answers = words.where(F.col("chunk") != SUMMARY)
 
-    def token_counts(chunk: Chunk, got: dict) -> np.ndarray:
+    def token_counts(chunk: Chunk, seq: Sequences, got: dict) -> np.ndarray:
         """The training count of each token."""
-        keys, counts, inverse = local_words(chunk)
+        keys, counts, inverse = local_words(chunk, seq)
         places, (told_counts,) = spread(keys, got, word_buckets, [np.zeros(0, np.int64)])
         counts[places] = told_counts
         return counts[inverse]
@@ -223,7 +261,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     def grams(chunk: Chunk, got: dict) -> pa.Table:
         seq = tokens_of(chunk)
-        kind = classes(token_counts(chunk, got)).astype(np.uint8)
+        kind = classes(token_counts(chunk, seq, got)).astype(np.uint8)
         (pairs, triples), keys, own, inverse = gram_windows(chunk, seq)
         tags, triple = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
         # the class of the context's last word
@@ -266,7 +304,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     def finish(chunk: Chunk, got: dict) -> pa.Table:
         seq = tokens_of(chunk)
-        c = token_counts(chunk, {b: x for b, x in got.items() if b < word_buckets})
+        c = token_counts(chunk, seq, {b: x for b, x in got.items() if b < word_buckets})
         kind = classes(c)
         c = c.astype(np.float64)
         p1 = (c / ALPHA + 1) * floor if total else np.ones(len(c))
