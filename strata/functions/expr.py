@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import StructType
 
 # --- columns that may be absent ---------------------------------------------------------------------------------
 
@@ -156,8 +156,10 @@ def rate_category(c: Column) -> Column:
 
 
 def surrogate_key(*parts: Column, separator: str = "||") -> Column:
-    """SHA-256 of the parts; a NULL part differs from an empty one and parts cannot run into each other unnoticed."""
-    return F.sha2(F.concat_ws(separator, *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
+    """SHA-256 of the parts. A NULL part differs from an empty one; characters of the separator inside a part are
+    escaped, so parts cannot run into each other."""
+    plain = lambda c: F.regexp_replace(c.cast("string"), r"([\\|])", r"\\$1")
+    return F.sha2(F.concat_ws(separator, *[F.coalesce(plain(p), F.lit("\u0000")) for p in parts]), 256)
 
 
 def change_hash(*parts: Column) -> Column:
@@ -183,26 +185,31 @@ def non_blank(c: Column) -> Column:
 
 
 def in_range(c: Column, low: object = None, high: object = None) -> Column:
-    """Within the limits; a NULL passes, as range rules only count violations."""
-    fails = F.lit(False)
+    """Within the limits; a NULL passes, as range rules only count violations. Plain comparisons, so scans can prune by them."""
+    out = F.lit(True)
     if low is not None:
-        fails = fails | F.coalesce(c < low, F.lit(False))
+        out = (c >= low) | c.isNull()
     if high is not None:
-        fails = fails | F.coalesce(c > high, F.lit(False))
-    return ~fails
+        upper = (c <= high) | c.isNull()
+        out = upper if low is None else out & upper
+    return out
 
 
 def member(c: Column, values: Sequence[object], null: bool = False) -> Column:
-    return F.coalesce(c.isin(*values), F.lit(null))
+    return c.isin(*values) | c.isNull() if null else c.isin(*values) & c.isNotNull()
 
 
 def not_member(c: Column, values: Sequence[object], null: bool = True) -> Column:
     """NULL counts as outside the set unless told otherwise (a plain negation would drop it)."""
-    return F.coalesce(~c.isin(*values), F.lit(null))
+    return ~c.isin(*values) | c.isNull() if null else ~c.isin(*values) & c.isNotNull()
 
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+        if df.schema[k].dataType.typeName() in ("float", "double"):
+            df = df.where(~F.isnan(k))
+    return df
 
 
 #: How far back each kind of source may lie, in hours.
@@ -215,8 +222,9 @@ def fresh(df: DataFrame, column: str, as_of: Column, hours: float) -> DataFrame:
 
 def lookback_split(df: DataFrame, column: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """(history, window): rows before the cutoff or without a date, and the others."""
-    inside = F.coalesce(F.to_date(column) >= cutoff, F.lit(False))
-    return df.where(~inside), df.where(inside)
+    dated = df.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+    c = F.col(column) if dated else F.to_date(column)  # a raw date or time prunes row groups
+    return df.where((c < cutoff) | c.isNull()), df.where(c >= cutoff)
 
 
 def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
@@ -227,7 +235,3 @@ def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
 def secured(df: DataFrame, rule: str | None, masks: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows a rule lets through, with columns masked."""
     return (df.where(F.expr(rule)) if rule else df).withColumns(dict(masks or {}))
-
-
-def cast_or_null(c: Column, kind: DataType | str) -> Column:
-    return c.try_cast(kind)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +115,3 @@ def anonymize(df: DataFrame, sensitivity: Mapping[str, str], salt: str = "") ->
         else:
             new[c] = F.floor(F.col(c) / 100) * 100 if numeric else mask_partial(F.col(c))
     return df.withColumns(new)
-
-
-def any_pii(c: Column) -> Column:
-    return reduce(lambda a, b: a | b, [c.rlike(p) for p in PATTERNS.values()])

@@ -11,7 +11,7 @@ from ..functions.expr import banded, canonical_text, date_parts, filled, surroga
 from ..operators.currency import in_usd, usd_rates
 from ..operators.history import OPEN_END
 from ..operators.quality import assert_row_drop
-from ..operators.relational import latest, newest
+from ..operators.relational import join_dimension, latest, newest, small
 
 # --- silver -----------------------------------------------------------------------------------------------------
 
@@ -88,6 +88,13 @@ def type2_dimension(df: DataFrame, key: str, start: str, name: str) -> DataFrame
     return once.withColumns({"effective_from": F.col(start), "effective_to": F.coalesce(end.cast("timestamp"), F.lit(OPEN_END).cast("timestamp")), "is_current": end.isNull(), name: surrogate_key(F.col(key), F.date_format(start, "yyyy-MM-dd"))}).drop(start)
 
 
+def with_member(df: DataFrame, dimension: DataFrame, key: str, name: str, missing: str = "-1") -> DataFrame:
+    """The surrogate key of the current version of each row's member, ``missing`` where there is none. A dimension of at
+    most a counted size is broadcast."""
+    current = dimension.where("is_current").select(F.col(key), F.col(name))
+    return join_dimension(df, small(current), [key]).withColumn(name, F.coalesce(name, F.lit(missing)))
+
+
 def date_dimension(df: DataFrame, date: str, least_days: int = 730) -> DataFrame:
     """Every day of a fact's range, at least so many; the range joins in as one row, nothing is collected."""
     span = df.agg(F.min(date).alias("a"), F.max(date).alias("b")).where("a is not null")

@@ -85,6 +85,12 @@ def _(spark, d):
     return H.change_analysis(status_history(spark, d), ["customer_id"])
 
 
+@query("h10_versions_by_reason", sql("sales", _VERSIONS + " SELECT CASE WHEN version = 1 THEN 'first version' ELSE 'status to ' || status END AS reason, count(*) AS versions, count(DISTINCT customer_id) AS keys FROM h GROUP BY 1"))
+def _(spark, d):
+    why = F.when(F.col("version") == 1, "first version").otherwise(F.concat(F.lit("status to "), F.col("status")))
+    return status_history(spark, d).groupBy(why.alias("reason")).agg(F.count("*").alias("versions"), F.count_distinct("customer_id").alias("keys"))
+
+
 @query("s09_above_high_water_mark", sql("sales", "SELECT order_id, order_date FROM sales WHERE order_date > DATE '2001-06-01'"))
 def _(spark, d):
     return H.above_mark(sales(spark, d), "order_date", F.lit("2001-06-01").cast("date")).select("order_id", "order_date")
@@ -224,6 +230,39 @@ def _(spark, d):
     return M.fact_order_events(behaviour(spark, d), customers(spark, d), sales(spark, d)).select("event_id", "customer_key", "last_order_date", "orders")
 
 
+def members(spark, d, column, name):
+    """A type-2 dimension of the members that orders name: a version for each order date."""
+    return M.type2_dimension(sales(spark, d).where(f"{column} is not null").select(column, "order_date"), column, "order_date", name)
+
+
+_KEY = "sha256({0} || '||' || strftime(max(order_date), '%Y-%m-%d'))"
+_CURRENT = f", c AS (SELECT customer_id, {_KEY.format('customer_id')} AS customer_sk FROM sales GROUP BY 1), p AS (SELECT product_id, {_KEY.format('product_id')} AS product_sk FROM sales WHERE product_id IS NOT NULL GROUP BY 1)"
+
+
+@query("j02_current_members", sql("sales", _CURRENT + " SELECT c_custkey AS customer_id, coalesce(customer_sk, '-1') AS customer_sk FROM customer LEFT JOIN c ON c_custkey = customer_id"))
+def _(spark, d):
+    return M.with_member(customers(spark, d).select("customer_id"), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
+
+
+@query("m01_fact_orders_with_member_keys", sql("sales fx rates usd", _CURRENT + " SELECT order_id, coalesce(customer_sk, '-1') AS customer_sk, coalesce(product_sk, '-1') AS product_sk, round(amount_usd, 6) AS amount_usd FROM usd LEFT JOIN c USING (customer_id) LEFT JOIN p USING (product_id)"))
+def _(spark, d):
+    out = M.with_member(facts(spark, d), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
+    return M.with_member(out, members(spark, d, "product_id", "product_sk"), "product_id", "product_sk").select("order_id", "customer_sk", "product_sk", *r6("amount_usd"))
+
+
+@query("m02_fact_behaviour_with_member_keys", sql("behaviour sales", _CURRENT + " SELECT event_id, coalesce(customer_sk, '-1') AS customer_sk, event_type, amount FROM behaviour LEFT JOIN c USING (customer_id)"))
+def _(spark, d):
+    return M.with_member(behaviour(spark, d), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk").select("event_id", "customer_sk", "event_type", "amount")
+
+
+@query("m04_fact_sales_with_member_keys", sql("sales", _CURRENT + " SELECT l_orderkey AS order_id, l_linenumber AS line, coalesce(customer_sk, '-1') AS customer_sk, coalesce(product_sk, '-1') AS product_sk, CAST(strftime(order_date, '%Y%m%d') AS INTEGER) AS date_key, l_quantity AS quantity FROM lineitem JOIN sales ON l_orderkey = order_id LEFT JOIN c ON sales.customer_id = c.customer_id LEFT JOIN p ON l_partkey = p.product_id"))
+def _(spark, d):
+    o = sales(spark, d).select("order_id", "customer_id", F.date_format("order_date", "yyyyMMdd").cast("int").alias("date_key"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"))
+    out = M.with_member(li.join(o, "order_id"), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
+    return M.with_member(out, members(spark, d, "product_id", "product_sk"), "product_id", "product_sk").select("order_id", "line", "customer_sk", "product_sk", "date_key", "quantity")
+
+
 _360 = ", o AS (SELECT customer_id, sum(amount_usd) AS rev, count(DISTINCT order_id) AS n, max(order_date) AS l FROM usd GROUP BY 1), e AS (SELECT customer_id, count(DISTINCT session_id) AS s, count(*) AS n FROM behaviour GROUP BY 1) SELECT customer_id, country, segment, round(coalesce(rev, 0), 2) AS revenue_usd, coalesce(o.n, 0) AS orders, l AS last_order, coalesce(s, 0) AS sessions, coalesce(e.n, 0) AS events, round(coalesce(rev, 0) * 1.5, 2) AS lifetime_value_usd FROM customers LEFT JOIN o USING (customer_id) LEFT JOIN e USING (customer_id)"
 
 
@@ -290,6 +329,9 @@ report("q18_bad_amounts", "sales", " SELECT count(*) AS n, sum(CASE WHEN total_a
 report("q19_invalid_status", "sales", " SELECT status, count(*) AS n FROM sales WHERE status NOT IN ('F', 'O') GROUP BY status ")
 report("q20_table_spans", "sales behaviour", " SELECT 'sales' AS table_name, count(*) AS n, min(order_date) AS low, max(order_date) AS high FROM sales UNION ALL SELECT 'behaviour', count(*), min(event_date), max(event_date) FROM behaviour ")
 report("q21_last_week", "behaviour", " SELECT event_date, count(*) AS n FROM behaviour WHERE event_date >= DATE '2024-01-31' - INTERVAL 7 DAYS GROUP BY event_date ")
+report("q10_leads_by_status", "sales", " SELECT lower(priority) AS lead_status, count(*) AS n FROM sales GROUP BY lower(priority) ")
+report("q17_duplicate_order_ids", "sales", " SELECT order_id, count(*) AS n FROM (SELECT order_id FROM sales UNION ALL SELECT order_id FROM sales WHERE product_id % 7 = 0) t GROUP BY order_id HAVING count(*) > 1 ")
+report("q23_status_with_revenue", "sales", " SELECT status, count(*) AS n, round(sum(total_amount), 2) AS revenue, round(avg(total_amount), 4) AS mean FROM sales GROUP BY status ")
 report("q24_currency_usage", "sales", " SELECT currency, count(*) AS orders, count(DISTINCT customer_id) AS customers FROM sales GROUP BY currency ")
 
 

@@ -235,10 +235,25 @@ def _(spark, d):
     return behaviour(spark, d).join(last, "customer_id", "left").select("event_id", "order_id", "status")
 
 
-@query("d02_product_dimension", sql("products", "SELECT product_id, sha256(product_id || '||' || '2024-01-01') AS product_key, category, true AS is_current FROM products"))
+_VERSIONED = "SELECT {0} AS {1}, sha256({0} || '||' || strftime(order_date, '%Y-%m-%d')) AS {2}, order_date AS effective_from, lead(order_date) OVER (PARTITION BY {0} ORDER BY order_date) IS NULL AS is_current FROM (SELECT DISTINCT {0}, order_date FROM sales WHERE {0} IS NOT NULL)"
+
+
+@query("d02_product_dimension", sql("sales products", ", v AS (" + _VERSIONED.format("product_id", "product_id", "product_key") + ") SELECT v.*, category FROM v JOIN products USING (product_id)"))
+def _(spark, d):
+    seen = sales(spark, d).select("product_id", "order_date").join(products(spark, d).select("product_id", "category"), "product_id")
+    return M.type2_dimension(seen, "product_id", "order_date", "product_key").select("product_id", "product_key", "effective_from", "is_current", "category")
+
+
+@query("d03_account_dimension", sql("sales", ", v AS (" + _VERSIONED.format("customer_id", "account_id", "account_key") + ") SELECT v.*, lower(c_mktsegment) AS industry FROM v JOIN customer ON c_custkey = account_id"))
+def _(spark, d):
+    seen = sales(spark, d).select(F.col("customer_id").cast("string").alias("account_id"), "order_date").join(accounts(spark, d).select("account_id", "industry"), "account_id")
+    return M.type2_dimension(seen, "account_id", "order_date", "account_key").select(F.col("account_id").cast("long").alias("account_id"), "account_key", "effective_from", "is_current", "industry")
+
+
+@query("d04_contact_versions", "WITH v AS (SELECT DISTINCT l_suppkey AS contact_id, date_trunc('month', l_shipdate)::DATE AS start FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT contact_id, sha256(contact_id || '||' || strftime(start, '%Y-%m-%d')) AS contact_key, start AS effective_from, lead(start) OVER (PARTITION BY contact_id ORDER BY start) IS NULL AS is_current FROM v")
 def _(spark, d):
-    p = products(spark, d).withColumn("start", F.lit("2024-01-01").cast("date"))
-    return M.type2_dimension(p, "product_id", "start", "product_key").select("product_id", "product_key", "category", "is_current")
+    seen = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("contact_id"), F.trunc("l_shipdate", "month").alias("start")).join(contacts(spark, d).select("contact_id"), "contact_id")
+    return M.type2_dimension(seen, "contact_id", "start", "contact_key").select(F.col("contact_id").cast("long").alias("contact_id"), "contact_key", "effective_from", "is_current")
 
 
 @query("d08_type1_dimension", sql("customers", "SELECT customer_id, customer_name, coalesce(region, 'unknown') AS region FROM customers"))

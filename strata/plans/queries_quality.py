@@ -157,7 +157,12 @@ def _(spark, d):
     return K.join_integrity(facts(spark, d), products(spark, d), "product_key", "product_id").withColumn("joined_share", F.round("joined_share", 6))
 
 
-@query("c29_whole_row_duplicates", "SELECT count(*) AS row_count, count(DISTINCT (lang, source)) AS distinct_rows, count(*) - count(DISTINCT (lang, source)) AS duplicates FROM documents")
+@query("c29_whole_row_duplicates", "SELECT (SELECT count(*) FROM documents) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS distinct_rows, (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicates")
+def _(spark, d):
+    return K.whole_duplicates(table(spark, d, "documents"))
+
+
+@query("c29_repeated_kinds", "SELECT count(*) AS row_count, count(DISTINCT (lang, source)) AS distinct_rows, count(*) - count(DISTINCT (lang, source)) AS duplicates FROM documents")
 def _(spark, d):
     return K.whole_duplicates(table(spark, d, "documents").select("lang", "source"))
 

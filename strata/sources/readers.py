@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.expr import coalesced, parsed_date, with_missing
+from ..functions.expr import coalesced, parsed_date
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None, skip_corrupt: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
         return found
     try:
         return reader.parquet(path)
-    except AnalysisException:
+    except (AnalysisException, SparkRuntimeException):  # conflicting partition directories
         return every()
 
 
@@ -37,9 +37,11 @@ def read_any(spark: SparkSession, path: str, schema: StructType, formats: Sequen
             df = (reader.option("header", True) if kind == "csv" else reader).load(path)
             if not df.isEmpty():
                 return df
-        except Exception as e:  # noqa: BLE001  any reader may fail in its own way on another format's files
+        except Exception as e:  # noqa: BLE001  a reader on another format's files fails in its own way; an outage is raised
             if "PATH_NOT_FOUND" in str(e):
                 break
+            if not any(k in str(e) for k in ("FAILED_READ_FILE", "CANNOT_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "MALFORMED", "Malformed", "not a Parquet file")):
+                raise
     return spark.createDataFrame([], schema)
 
 
@@ -104,7 +106,3 @@ def with_ingestion(df: DataFrame, batch_id: str, source: str, table: str, run_da
 
 def newest_value(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.max(ts).alias("newest"))
-
-
-def padded(df: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
-    return with_missing(df, wanted)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,17 +44,32 @@ def merge_table(spark: SparkSession, source: DataFrame, target: str, out: str, k
 
 
 def append_checked(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> int:
-    """Append a batch without repeated keys; rows before and after must add up. Returns the rows added."""
-    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+    """Append a batch without repeated keys: staged, checked there, then appended; rows before and after must add up.
+    Returns the rows added."""
+    staging = work_path(spark, "append")
+    df.write.parquet(staging)
+    staged = spark.read.schema(df.schema).parquet(staging)
+    if not staged.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError(f"keys {list(keys)} repeat in the batch")
     before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    added = df.count()
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    added = staged.count()
+    staged.write.mode("append").partitionBy(*partition_by).parquet(path)
     if spark.read.parquet(path).count() != before + added:
         raise ValueError("rows before and after the append do not add up")
     return added
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path of this run alone in the folder that the cluster names in spark.checkpoint.dir."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/strata/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
