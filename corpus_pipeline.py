@@ -16,7 +16,7 @@ STAGES = [
     ("best_fit_packing", stages.pack),
 ]
 
-#: The learned scores, fuzzy lines and token ids are beyond SQL; tests hold each stage against brute force.
+#: The learned scores, fuzzy lines and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
