@@ -30,14 +30,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by shingle similarity the one with the smallest id stays (of rows repeating it, one)."""
+    """Of documents connected by shingle similarity the one with the smallest id stays. Of rows that repeat an id and its
+    text one stays (the least by a hash of all columns); rows of one id with different texts all stay."""
     names = docs.columns
     found = jaccard.jaccard_components(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    repeated = known.groupBy("doc_id").count().where("count > 1")
+    repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
-        known = known.dropDuplicates(["doc_id"])
+        columns = [F.col(f"`{c}`") for c in names]
+        again = known.join(repeated, "doc_id", "left_semi").select(F.struct(*columns).alias("_all"), F.xxhash64("text").alias("_text"), F.xxhash64(*columns).alias("_row"))
+        one = again.groupBy("_all.doc_id", "_text").agg(F.min_by("_all", "_row").alias("_all")).select("_all.*")
+        known = known.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(one)
     return known.select(*[F.col(f"`{c}`") for c in names]).unionByName(docs.where("doc_id is null"))
 
 
