@@ -1,16 +1,20 @@
 """Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
 A unit vector o is rotated and kept as the signs of its coordinates (the code x)
-with the factor <x, o>. For another vector q, rotated and quantised to 8 bits,
-<x, q> / <x, o> estimates <o, q> without bias, with a confidence bound that only
-depends on the factor and the dimension. Pairs meet in buckets of leading bits of
-further rotations; those whose upper bounds (both ways) reach the threshold are
-recomputed exactly in double precision.
-
-Equal vectors are one class and stand in no pair with each other. The number of
-bits of a bucket key grows with the logarithm of the number of classes, so
-buckets keep their size; the number of tables follows from the wanted recall at
-the threshold itself. Buckets above ``BLOCK`` are dealt over pairs of blocks.
+with the factor <x, o>. For another rotated vector q, <x, q> / <x, o> estimates
+<o, q> without bias, with a confidence bound that only depends on the factor and
+the dimension. Vectors meet in buckets of leading bits of further rotations; of a
+bucket's pairs, those whose upper bounds (both ways) reach the threshold are
+recomputed exactly in double precision, in the same task.
+
+No pair leaves its task. Two vectors that share several buckets are compared in
+the one of the first table they share, which their keys tell, so a task can count
+links by vector and thin them to a forest: a bucket gives at most one row for
+each of its vectors, however many of them link. Equal vectors are one class and
+stand in no pair with each other. The number of bits of a bucket key grows with
+the logarithm of the number of classes, so buckets keep their size; the number of
+tables follows from the wanted recall at the threshold itself. Buckets above
+``BLOCK`` are dealt over pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,14 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import materialize, parts
+from .components import connected_components, forest
+from .shared import join_skewed, materialize, parts
 
 THRESHOLD, RECALL = 0.9, 0.98
 #: Width of the confidence bound, in standard deviations of the estimate's error.
 EPSILON = 4.5
-#: Vectors of a bucket that one task compares; members a bucket has on average.
-BLOCK, OCCUPANCY = 2048, 8
+#: Vectors of a bucket that one task compares; members a bucket has on average: comparing them is cheap beside sending a
+#: vector to another table, and larger buckets need fewer tables.
+BLOCK, OCCUPANCY = 1024, 256
+#: Rows a task holds on average; buckets above BLOCK that are told to all tasks (beyond that: a join).
+TASK_ROWS, TOLD = 1 << 16, 100_000
 SEED = 11
 
 
@@ -79,9 +86,21 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def narrow(vector: np.ndarray) -> bytes:
+    """The vector as float32 where that loses nothing, else as float64."""
+    with np.errstate(over="ignore"):
+        small = vector.astype(np.float32)
+    return small.tobytes() if (small == vector).all() else vector.tobytes()
+
+
+def widened(data: list[bytes], dim: int) -> np.ndarray:
+    """Rows of float64, from what ``narrow`` gave."""
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in data])
+
+
 def coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for every class and table: key, code, correction factor, and the rotated vector in 8 bits."""
-    schema = "table int, dim int, key long, rep long, code binary, factor float, query binary, scale float"
+    """A row for every class: vector, code, correction factor, its bucket in each table, and all these keys as packed bits."""
+    schema = "rep long, dim int, members long, vector binary, code binary, factor float, keys array<long>, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, list[np.ndarray]] = {}
@@ -89,99 +108,103 @@ def coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = unit(np.stack([np.frombuffer(batch.column(2)[int(k)].as_py(), np.float64) for k in at]))
+                full = np.stack([np.frombuffer(batch.column(3)[int(k)].as_py(), np.float64) for k in at])
+                x = unit(full)
                 if dim not in turned:
                     turned[dim] = rotations(int(dim), 1 + -(-bits * tables // int(dim)))
                 first, *others = turned[dim]
                 r = x @ first
-                positive = r > 0
-                code = np.packbits(positive, axis=1)
                 factor = np.abs(r).sum(1) / math.sqrt(dim)
-                scale = np.abs(r).max(1) / 127
-                query = np.rint(r / scale[:, None]).astype(np.int8)
-                signs = np.concatenate([x @ o > 0 for o in others], 1)
-                weights = 1 << np.arange(bits, dtype=np.int64)
-                ids = batch.column(0).take(pa.array(at))
-                codes, queries = [c.tobytes() for c in code], [q.tobytes() for q in query]
-                for t in range(tables):
-                    key = signs[:, t * bits : (t + 1) * bits] @ weights
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), ids, pa.array(codes, pa.binary()), pa.array(factor.astype(np.float32)), pa.array(queries, pa.binary()), pa.array(scale.astype(np.float32))],
-                        [c.split()[0] for c in schema.split(", ")],
-                    )
-
-    return reps.select("rep", "dim", "vector").mapInArrow(run, schema)
+                signs = np.concatenate([x @ o > 0 for o in others], 1)[:, : bits * tables]
+                keys = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), batch.column(2).take(pa.array(at)), pa.array([narrow(v) for v in full], pa.binary()),
+                        pa.array([c.tobytes() for c in np.packbits(r > 0, axis=1)], pa.binary()), pa.array(factor.astype(np.float32)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1))),
+                        pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary()),
+                    ],
+                    [c.split()[0] for c in schema.split(", ")],
+                )
+
+    return reps.select("rep", "dim", "members", "vector").mapInArrow(run, schema)
 
 
 def promising(code: np.ndarray, factor: np.ndarray, query: np.ndarray, threshold: float) -> np.ndarray:
     """Matrix of pairs whose confidence intervals, each way, reach the threshold.
 
     The error of an estimate scales with the sine between the vectors; of pairs
-    that count it is at most the sine at the threshold. 0.02 covers the 8 bits.
+    that count it is at most the sine at the threshold. 0.001 covers single precision.
     """
     dim = query.shape[1]
     estimate = (code @ query.T) / math.sqrt(dim) / factor[:, None]
     sine = math.sqrt(max(0.0, 1 - threshold**2))
-    bound = EPSILON * sine * np.sqrt((1 - factor**2).clip(0) / factor**2) / math.sqrt(max(1, dim - 1)) + 0.02
+    bound = EPSILON * sine * np.sqrt((1 - factor**2).clip(0) / factor**2) / math.sqrt(max(1, dim - 1)) + 0.001
     return (estimate + bound[:, None] >= threshold) & (estimate.T + bound[None, :] >= threshold)
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a bucket and may reach the threshold."""
-    key = ["table", "dim", "key"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1")
-    held = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines in double precision of rows a and b of x, 100,000 pairs at a time. Powers of two keep squares in range."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    out = [np.einsum("ij,ij->i", x[a[k : k + 100_000]], x[b[k : k + 100_000]]) for k in range(0, len(a), 100_000)]
+    return np.concatenate([np.zeros(0), *out]) / (norm[a] * norm[b])
+
+
+def linked(codes: DataFrame, bits: int, tables: int, rows: int, threshold: float) -> DataFrame:
+    """(rep, root, others) for every bucket a class has links in: the smallest class these reach, and the vectors behind
+    its links. A link of two classes counts in one bucket only. ``rows`` is the number of classes."""
+    spark, key = codes.sparkSession, ["table", "dim", "key"]
+    sent = codes.select("rep", "dim", "members", "vector", "code", "factor", "signature", F.posexplode("keys").alias("table", "key"))
+    big = materialize(codes.select("dim", F.posexplode("keys").alias("table", "key")).groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "vector-buckets")
+    held = sent.join(F.broadcast(big) if big.count() <= TOLD else big, key, "left").withColumn("blocks", F.ceil(F.coalesce("m", F.lit(1)) / BLOCK).cast("int"))
     held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     held = held.withColumn("group", F.xxhash64(*key, "low", "high"))
-    width = parts(rows.sparkSession) * 4
-    held = held.select("group", "own", "low", "high", "rep", "code", "factor", "query", "scale", F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(width))).alias("task"))
+    width = max(parts(spark), -(-rows * tables // TASK_ROWS))
+    held = held.select("group", "table", "dim", "own", "low", "high", "rep", "members", "vector", "code", "factor", "signature", F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(width))).alias("task"))
+    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        group = table.column("group").to_numpy()
-        order = np.argsort(group, kind="stable")
-        rep, own, low, high = (table.column(c).to_numpy() for c in ("rep", "own", "low", "high"))
-        factor, scale = table.column("factor").to_numpy().astype(np.float64), table.column("scale").to_numpy()
-        code, query = table.column("code").to_pylist(), table.column("query").to_pylist()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        group, number, dims, own, low, high, rep, members, factor = (table.column(c).to_numpy() for c in ("group", "table", "dim", "own", "low", "high", "rep", "members", "factor"))
+        vector, code, signature = (table.column(c).to_pylist() for c in ("vector", "code", "signature"))
+        order = np.lexsort((dims, number, group))
+        new = (np.diff(group[order]) != 0) | (np.diff(number[order]) != 0) | (np.diff(dims[order]) != 0)
+        turned: dict[int, np.ndarray] = {}
+        found = [(np.zeros(0, np.int64),) * 3]
+        for at in np.split(order, np.flatnonzero(new) + 1):
             if len(at) < 2:
                 continue
-            for part in _of_one_dim(at, query):
-                q = np.stack([np.frombuffer(query[k], np.int8) for k in part]).astype(np.float32) * scale[part, None]
-                bits = np.unpackbits(np.stack([np.frombuffer(code[k], np.uint8) for k in part]), axis=1)[:, : q.shape[1]]
-                fits = np.triu(promising(bits.astype(np.float32) * 2 - 1, factor[part], q, threshold), 1)
-                if low[part[0]] != high[part[0]]:
-                    fits &= own[part][:, None] != own[part][None, :]
-                x, y = np.nonzero(fits)
-                a.append(np.minimum(rep[part][x], rep[part][y]))
-                b.append(np.maximum(rep[part][x], rep[part][y]))
-        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return held.groupBy("task").applyInArrow(run, "a long, b long").distinct()
-
-
-def _of_one_dim(at: np.ndarray, query: list[bytes]) -> list[np.ndarray]:
-    size = np.array([len(query[k]) for k in at])
-    return [at[size == s] for s in np.unique(size)]
-
-
-def exact(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose cosine in double precision reaches the threshold."""
-    left = reps.select(F.col("rep").alias("a"), F.col("vector").alias("x"))
-    right = reps.select(F.col("rep").alias("b"), F.col("vector").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+            dim, t = int(dims[at[0]]), int(number[at[0]])
+            if dim not in turned:
+                turned[dim] = rotations(dim, 1)[0]
+            x = widened([vector[k] for k in at], dim)
+            query = (unit(x) @ turned[dim]).astype(np.float32)
+            signs = np.unpackbits(np.stack([np.frombuffer(code[k], np.uint8) for k in at]), axis=1)[:, :dim].astype(np.float32) * 2 - 1
+            fits = np.triu(promising(signs, factor[at].astype(np.float32), query, threshold), 1)
+            if low[at[0]] != high[at[0]]:
+                fits &= own[at][:, None] != own[at][None, :]
+            a, b = np.nonzero(fits)
+            packed = np.stack([np.frombuffer(signature[k], np.uint8) for k in at])
+            keys = np.unpackbits(packed, axis=1)[:, : bits * tables].reshape(len(at), tables, bits) @ weights
+            for k in range(t + 1):  # this is the first table the two share
+                meet = (keys[a, k] == keys[b, k]) == (k == t)
+                a, b = a[meet], b[meet]
+            near = cosines(x, a, b) >= threshold
+            a, b = a[near], b[near]
+            if not len(a):
                 continue
-            x = [np.frombuffer(v.as_py(), np.float64) for v in batch.column(2)]
-            y = [np.frombuffer(v.as_py(), np.float64) for v in batch.column(3)]
-            cos = np.array([float(p @ q) / (math.sqrt(float(p @ p)) * math.sqrt(float(q @ q))) if len(p) == len(q) else -1.0 for p, q in zip(x, y, strict=True)])
-            yield batch.select(["a", "b"]).append_column("cosine", pa.array(cos)).filter(pa.array(cos >= threshold))
+            own_rep, weight = rep[at], members[at]
+            others = np.bincount(a, weight[b], len(at)).astype(np.int64) + np.bincount(b, weight[a], len(at)).astype(np.int64)
+            nodes = np.sort(own_rep[others > 0])
+            root = nodes.copy()
+            far, least = forest(own_rep[a], own_rep[b])
+            root[np.searchsorted(nodes, far)] = least
+            by = np.argsort(own_rep)
+            found.append((nodes, root, others[by][others[by] > 0]))
+        return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip(("rep", "root", "others"), zip(*found, strict=True), strict=True)})
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double")
+    return held.groupBy("task").applyInArrow(run, "rep long, root long, others long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -193,17 +216,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     links. Rows repeating an id count as vectors of their own. Empty table: empty.
     """
     found = materialize(usable(vectors, id_col, vector_col), "vectors")
-    reps = materialize(found.groupBy("digest", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.max("vector").alias("vector")), "vector-classes")
-    bits, tables = tables_for(reps.count(), threshold)
-    pairs = materialize(candidates(coded(reps, bits, tables), threshold), "vector-pairs")
-    links = materialize(exact(pairs, reps, threshold), "vector-links")
-    size = reps.select(F.col("rep").alias("b"), "members")
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(size, "b").groupBy("a").agg(F.sum("members").alias("others"))
-    labels = connected_components(links.select("a", "b"))
-    classes = reps.join(others, reps["rep"] == others["a"], "left").join(labels, reps["rep"] == labels["node"], "left")
-    classes = classes.select("digest", "dim", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    told = found.select("vec_id", "digest", "dim").join(classes, ["digest", "dim"]).select("vec_id", "n_links", "component")
+    reps = found.groupBy("digest", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("members"), F.max("vector").alias("vector"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")  # ids may repeat, class numbers do not
+    rows = reps.count()
+    bits, tables = tables_for(rows, threshold)
+    codes = materialize(coded(reps, bits, tables), "vector-codes")
+    links = materialize(linked(codes, bits, tables, rows, threshold), "vector-links")
+    others = links.groupBy("rep").agg(F.sum("others").alias("others"))
+    labels = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    labels = materialize(labels.join(reps.select("rep", "least"), "rep"), "vector-labels")
+    heads = materialize(labels.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("n")), "vector-heads")
+    headed = join_skewed(labels.select("rep", "component"), heads, "component", "n").select("rep", "head")
+    classes = reps.join(others, "rep", "left").join(headed, "rep", "left")
+    classes = classes.select("digest", "dim", "members", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("head", "least").alias("component"))
+    told = join_skewed(found.select("vec_id", F.struct("digest", "dim").alias("class")), materialize(classes.select(F.struct("digest", "dim").alias("class"), "members", "n_links", "component"), "vector-answers"), "class", "members")
+    told = told.select("vec_id", "n_links", "component")
     rest = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"))
     rest = rest.join(told.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     return told.unionByName(rest).select(F.col("vec_id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -390,6 +391,40 @@ def test_vectors_against_brute_force(spark):
     assert got[399]["component_id"] == 0 and ann.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_recall_by_bands_of_cosine(spark):
+    rng = np.random.default_rng(9)
+    x = ann.unit(rng.standard_normal((10_000, 48)))
+    low = np.repeat([0.901, 0.92, 0.95], 1000)
+    cosine = low + rng.random(3000) * 0.018
+    away = rng.standard_normal((3000, 48))
+    away = ann.unit(away - (away * x[:3000]).sum(1, keepdims=True) * x[:3000])
+    x[5000:8000] = cosine[:, None] * x[:3000] + np.sqrt(1 - cosine**2)[:, None] * away
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(10_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in ann.near_duplicates(df).collect()}
+    for band in (0.901, 0.92, 0.95):
+        pairs = np.flatnonzero(low == band)
+        assert np.mean([got[5000 + k]["component_id"] == k and got[k]["n_links"] == 1 for k in pairs]) >= 0.95
+    assert sum(r["n_links"] for r in got.values()) <= 6000
+
+
+def test_vectors_dense_groups_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 16))
+    x[:500] = x[0] + 0.05 * rng.standard_normal((500, 16))  # one group, all linked, over many blocks
+    x[500:520] = x[499]
+    ids = np.arange(700)
+    ids[690:] = 600  # an id of several vectors
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    rows = ann.near_duplicates(df).collect()
+    assert sorted(r["vec_id"] for r in rows) == sorted(ids.tolist())
+    assert {(r["n_links"], r["component_id"]) for r in rows if r["vec_id"] < 520} == {(519, 0)}
+    assert [tuple(r) for r in rows if r["vec_id"] == 600] == [(600, 0, 600, True)] * 11
+    codes = ann.coded(df.where("vec_id < 500").select(F.col("vec_id").alias("rep"), F.lit(16).alias("dim"), F.lit(1).cast("long").alias("members"), F.lit(x[0].tobytes()).alias("vector")), 6, 4)
+    found = ann.linked(codes, 6, 4, 500, 0.9)
+    assert found.agg(F.sum("others")).first()[0] == 500 * 499 and found.count() <= 500 * 16
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     dim = 64
