@@ -39,6 +39,8 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"\w+")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 HIDDEN = re.compile(r"[^\W_]+(?:[*@$!|._\-#]+[^\W_]+)+|[^\W\d_]+[0134578]+[^\W\d_]+")
+#: Never part of an obfuscated word's first or last character.
+EDGE = ".,;:?!\"'()[]{}-*"
 NAMES = ["insults", "learned", "begun", "log_learned", "log_begun", "distinct", "near_you", "you", "capitals", "shouted", "punctuation", "exclamations", "obfuscated", "hidden_hits", "log_words"]
 #: How far, in words, a second-person word counts as near.
 NEAR = 6
@@ -48,6 +50,18 @@ def beginnings(word: str) -> tuple[str, ...]:
     return (word[:4], word[:5], word[:6]) if len(word) > 6 else (word[:4], word[:5]) if len(word) > 5 else (word[:4],) if len(word) > 4 else ()
 
 
+def obfuscated(pieces: list[str]) -> list[str]:
+    """What HIDDEN finds in a text, given its pieces between spaces: its matches hold no space and begin and end with a
+    letter or digit, so the edges of a piece do not matter, and pieces of letters alone hold none."""
+    found = []
+    for piece in pieces:
+        if not piece.isalpha():
+            core = piece.strip(EDGE)
+            if not core.isalpha():
+                found += HIDDEN.findall(core)
+    return found
+
+
 def features(text: str, words: frozenset[str], begun: frozenset[str]) -> list[float]:
     """The dense features of one whole text; an empty text gives zeros."""
     tokens = WORD.findall(text.lower())
@@ -58,13 +72,14 @@ def features(text: str, words: frozenset[str], begun: frozenset[str]) -> list[fl
     at = [k for k, t in enumerate(tokens) if t in words]
     starts = [t for t in tokens if t[:5] in begun or t[:4] in begun or t[:6] in begun]
     near = sum(1 for k in at if not YOU.isdisjoint(tokens[max(0, k - NEAR) : k + NEAR + 1]))
-    hidden = HIDDEN.findall(text)
+    pieces = text.split()
+    hidden = obfuscated(pieces)
     opened = [re.sub(r"[\W_]+", "", h.lower().translate(LEET)) for h in hidden]
     letters = max(1, len(text))
     return [
         fixed / n, len(at) / n, len(starts) / n, math.log1p(len(at)), math.log1p(len(starts)), float(len({tokens[k] for k in at})), near / n,
         sum(t in YOU for t in tokens) / n, len(CAPITAL.findall(text)) / letters,
-        sum(len(w) > 2 and w.isupper() for w in text.split()) / n, sum(text.count(c) for c in ".,;:?\"'") / letters, text.count("!") / letters,
+        sum(len(w) > 2 and w.isupper() for w in pieces) / n, sum(text.count(c) for c in ".,;:?\"'") / letters, text.count("!") / letters,
         len(hidden) / n, sum(o in words or o in INSULTS or o[:5] in begun for o in opened) / n, math.log1p(n),
     ]
 

@@ -82,6 +82,14 @@ def test_toxicity_without_labels_or_rows(docs, none):
     assert toxicity.features("", frozenset(), frozenset()) == [0.0] * len(toxicity.NAMES)
 
 
+def test_obfuscated_words_are_those_of_the_pattern():
+    rng = np.random.default_rng(3)
+    signs = list("aZé世01357_*@$!|.-#,;:?'\"()[]\n \t\u00a0\x1c\u0660²")
+    for k in range(3000):
+        text = "".join(rng.choice(signs, rng.integers(0, 60)))
+        assert toxicity.obfuscated(text.split()) == toxicity.HIDDEN.findall(text)
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
