@@ -13,6 +13,13 @@ the corpus:
 A key has one entry per chunk however often it occurs, so a key that a third of
 all rows share is spread over the chunks and costs its bucket one entry per chunk.
 The number of buckets follows the measured size of the corpus, never a constant.
+
+Chunks times buckets grows with the square of the corpus. Above DIRECT buckets keys
+therefore take two hops: a chunk parts its keys by as many *ways* as the root of the
+number of buckets, each way of a bundle of chunks (as many as ways) is merged and
+dealt on to its buckets, and answers go back the same two hops. A chunk then costs
+rows in proportion to that root, each hop's task holds about as many keys as a chunk,
+and a lookup gives the same answers either way.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from .shared import give_back, materialize, small_batches
 
 #: Text bytes of a chunk (one longer document makes a chunk of its own) and keys of a bucket.
 CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 1_500_000
+#: Buckets up to which a chunk writes to each of them itself.
+DIRECT = 4096
 CHUNK_SCHEMA = "chunk long, n_docs int, n_bytes long, ids binary, sizes binary, body binary, rest binary"
 _KEYED = "bucket int, chunk long, body binary"
 _ANSWER = "chunk long, bucket int, body binary"
@@ -170,17 +179,30 @@ def bucket_count(expected_keys: float) -> int:
     return 1 << max(3, int(np.ceil(np.log2(max(1.0, expected_keys / BUCKET_KEYS)))))
 
 
+def way_count(buckets: int) -> int:
+    """By how many leading values a chunk parts its keys: the buckets, or above DIRECT of them the root of their number."""
+    return buckets if buckets <= DIRECT else 1 << (buckets.bit_length() // 2)
+
+
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """The slices of sorted keys for each bucket (the leading bits) that has any."""
+    if not len(keys):
+        return
     shift = 64 - int(buckets).bit_length() + 1
-    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=U) << U(shift)) if buckets > 1 else np.zeros(0, np.int64)
+    low, high = (int(keys[k]) >> shift for k in (0, -1))
+    edges = np.searchsorted(keys, np.arange(low + 1, high + 1, dtype=U) << U(shift)) if high > low else np.zeros(0, np.int64)
     edges = np.concatenate(([0], edges, [len(keys)]))
-    for b in range(buckets):
+    for b in range(high - low + 1):
         if edges[b] < edges[b + 1]:
-            yield b, slice(int(edges[b]), int(edges[b + 1]))
+            yield low + b, slice(int(edges[b]), int(edges[b + 1]))
+
 
+def key_rows(number: int, ways: int, keys: np.ndarray, values: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+    """What a chunk (or bundle) of this number sends: a row for each way that has any of its sorted keys."""
+    return [(b, number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, ways)]
 
-def keyed(chunks: DataFrame, buckets: int, emit: Callable[[Chunk], tuple[np.ndarray, ...]], own: int = 0) -> DataFrame:
+
+def keyed(chunks: DataFrame, ways: int, emit: Callable[[Chunk], tuple[np.ndarray, ...]], own: int = 0) -> DataFrame:
     """Rows (bucket, chunk, body): ``emit`` gives a chunk's sorted distinct keys and their local values.
 
     With ``own``, its last so many arrays are no values: the chunk sends them to itself,
@@ -191,9 +213,8 @@ def keyed(chunks: DataFrame, buckets: int, emit: Callable[[Chunk], tuple[np.ndar
         for chunk in chunks_of(batches):
             keys, *values = emit(chunk)
             values, kept = values[: len(values) - own], values[len(values) - own :]
-            rows = [(OWN - chunk.number % buckets, chunk.number, pack(*kept))] if own else []
-            rows += [(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)]
-            yield packed_rows(rows)
+            rows = [(OWN - chunk.number % ways, chunk.number, pack(*kept))] if own else []
+            yield packed_rows(rows + key_rows(chunk.number, ways, keys, values))
         give_back()
 
     return chunks.select("chunk", "ids", "sizes", "body").mapInArrow(run, _KEYED)
@@ -238,36 +259,87 @@ def merged(number: int, chunk_numbers: list[int], bodies: list[bytes]) -> Bucket
 SUMMARY, OWN = -1, -1
 
 
-def answered(rows: DataFrame, answer: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]], summary: Callable[[Bucket], list[np.ndarray]] | None = None) -> DataFrame:
-    """(chunk, bucket, body): ``answer`` gives a mask of a bucket's entries to tell about and per-entry values.
-    ``summary`` adds a row about the whole bucket, its chunk number SUMMARY."""
+def answered(
+    rows: DataFrame, chunks: DataFrame, buckets: int, ways: int, answer: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]], summary: Callable[[Bucket], list[np.ndarray]] | None = None
+) -> DataFrame:
+    """(chunk, bucket, body): ``answer`` gives a mask of a bucket's entries to tell about and per-entry values; they come
+    back by the way (column bucket) their keys took. ``summary`` adds a row about the whole bucket, its chunk number SUMMARY."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() <= OWN:
+        number = table.column("bucket")[0].as_py()
+        if number <= OWN:
             return pa.table({"chunk": table.column("chunk"), "bucket": pa.array([OWN] * table.num_rows, pa.int32()), "body": table.column("body")})
-        got = merged(table.column("bucket")[0].as_py(), table.column("chunk").to_pylist(), table.column("body").to_pylist())
+        got = merged(number, table.column("chunk").to_pylist(), table.column("body").to_pylist())
+        senders, sender, back = got.chunks, got.owner, [got.place.astype(np.int64)]
+        if ways < buckets:  # the senders are bundles: their entries tell chunk and place
+            chunk, place, *got.values = got.values
+            numbers, got.owner = np.unique(chunk, return_inverse=True)
+            got.chunks, got.place, back = numbers.tolist(), place, [chunk, place]
         told, values = answer(got)
         at = np.flatnonzero(told)
-        at = at[np.argsort(got.owner[at], kind="stable")]
-        edges = np.searchsorted(got.owner[at], np.arange(len(got.chunks) + 1))
+        at = at[np.argsort(sender[at], kind="stable")]  # entries are in the order of their keys, so places rise
+        edges = np.searchsorted(sender[at], np.arange(len(senders) + 1))
         out = [(SUMMARY, got.number, pack(*summary(got)))] if summary else []
-        for c, number in enumerate(got.chunks):
+        for c, sent_by in enumerate(senders):
             mine = at[edges[c] : edges[c + 1]]
             if len(mine):
-                mine = mine[np.argsort(got.place[mine])]
-                out.append((number, got.number, pack(got.place[mine].astype(np.int64), *(v[mine] for v in values))))
-        del got, told, values, at
+                out.append((sent_by, got.number * ways // buckets, pack(*(v[mine] for v in back), *(v[mine] for v in values))))
+        del got, told, values, at, back
+        give_back()
+        return _answers(out)
+
+    if ways == buckets:
+        return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
+    return _handed_back(_dealt(rows, chunks.count(), buckets, ways).groupBy("bucket").applyInArrow(run, _ANSWER))
+
+
+def _answers(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _dealt(rows: DataFrame, n_chunks: int, buckets: int, ways: int) -> DataFrame:
+    """The second hop: of each way, the rows of a bundle of chunks go on as one row for each bucket, its entries with chunk and place."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        way, bundle = (k.as_py() for k in key)
+        if way <= OWN:
+            return table.select(["bucket", "chunk", "body"])
+        got = merged(way, table.column("chunk").to_pylist(), table.column("body").to_pylist())
+        chunk = np.array(got.chunks, np.int64)[got.owner]
+        out = key_rows(bundle, buckets, got.keys[got.group()], [chunk, got.place.astype(np.int64), *got.values])
+        del got
+        give_back()
+        return pa.Table.from_batches([packed_rows(out)])
+
+    bundles = max(1, -(-n_chunks // ways))
+    return rows.withColumn("bundle", F.pmod(F.xxhash64("chunk"), F.lit(bundles))).groupBy("bucket", "bundle").applyInArrow(run, _KEYED)
+
+
+def _handed_back(answers: DataFrame) -> DataFrame:
+    """The first hop back: what the buckets of a way told a bundle, one row for each of its chunks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        way, bundle = (k.as_py() for k in key)
+        if way <= OWN or bundle == SUMMARY:
+            return table.select(["chunk", "bucket", "body"])
+        chunk, place, *values = (np.concatenate(v) for v in zip(*(unpack(b) for b in table.column("body").to_pylist()), strict=True))
+        order = np.lexsort((place, chunk))
+        edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            mine = order[a:b]
+            out.append((int(chunk[mine[0]]), way, pack(place[mine], *(v[mine] for v in values))))
         give_back()
-        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([r[1] for r in out], pa.int32()), "body": pa.array([r[2] for r in out], pa.binary())})
+        return _answers(out)
 
-    return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
+    return answers.groupBy("bucket", "chunk").applyInArrow(run, _ANSWER)
 
 
-def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..., pa.Table], schema: str | StructType, carried: bool = False) -> DataFrame:
+def rejoin(chunks: DataFrame, answers: DataFrame, run: Callable[..., pa.Table], schema: str | StructType, carried: bool = False) -> DataFrame:
     """Bring every chunk together with its answers.
 
-    ``run(chunk, answers)`` gets the answers as a dict from bucket to its arrays
-    (places in the chunk's key list of that bucket, then the values).
+    ``run(chunk, answers)`` gets the answers as a dict from way to its arrays
+    (places in the chunk's key list of that way, then the values).
     """
 
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -282,10 +354,10 @@ def rejoin(chunks: DataFrame, answers: DataFrame, buckets: int, run: Callable[..
     return left.cogroup(answers.groupBy("chunk")).applyInArrow(go, schema)
 
 
-def spread(keys: np.ndarray, got: dict[int, list[np.ndarray]], buckets: int, empty: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+def spread(keys: np.ndarray, got: dict[int, list[np.ndarray]], ways: int, empty: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions in the chunk's sorted keys that were answered, and the answers."""
     places, values = [np.zeros(0, np.int64)], [[e] for e in empty]
-    for b, s in by_bucket(keys, buckets):
+    for b, s in by_bucket(keys, ways):
         if b in got:
             places.append(got[b][0] + s.start)
             for k, v in enumerate(got[b][1:]):

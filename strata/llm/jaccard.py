@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Bucket, Chunk, answered, bucket_count, corpus_bytes, keyed, make_chunks, rejoin, spread
+from .chunks import Bucket, Chunk, answered, bucket_count, corpus_bytes, keyed, make_chunks, rejoin, spread, way_count
 from .components import connected_components
 from .settree import cluster_links
 from .shared import join_skewed, materialize
@@ -62,6 +62,7 @@ def shared_sets(docs: DataFrame, size: int, num: int, den: int, id_col: str, tex
     rising frequency once per chunk; for all others these are null."""
     chunks = make_chunks(docs, id_col, text_col)
     buckets = bucket_count(corpus_bytes(chunks) / 5)
+    ways = way_count(buckets)
 
     def emit(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         keys, _ = shingles(Words(chunk.data, chunk.offsets, lower=True), size)
@@ -71,7 +72,7 @@ def shared_sets(docs: DataFrame, size: int, num: int, den: int, id_col: str, tex
     def gather(chunk: Chunk, got: dict) -> pa.Table:
         keys, owner = shingles(Words(chunk.data, chunk.offsets, lower=True), size)
         starts = np.flatnonzero(_groups(keys))
-        places, (df,) = spread(keys[starts], got, buckets, [np.zeros(0, np.int64)])
+        places, (df,) = spread(keys[starts], got, ways, [np.zeros(0, np.int64)])
         per_key = np.ones(len(starts), np.int64)
         per_key[places] = df
         per_entry = np.repeat(per_key, np.diff(np.append(starts, len(keys))))
@@ -101,8 +102,8 @@ def shared_sets(docs: DataFrame, size: int, num: int, den: int, id_col: str, tex
             [x.split()[0] for x in _OUT.split(", ")],
         )
 
-    answers = answered(keyed(chunks, buckets, emit), _frequency)
-    return materialize(rejoin(chunks, answers, buckets, gather, _OUT), "shingle-sets")
+    answers = answered(keyed(chunks, ways, emit), chunks, buckets, ways, _frequency)
+    return materialize(rejoin(chunks, answers, gather, _OUT), "shingle-sets")
 
 
 def prefix_clusters(sets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .chunks import OWN, Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin
+from .chunks import OWN, Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin, way_count
 from .components import connected_components
 from .settree import cluster_links
 from .shared import give_back, join_skewed, materialize
@@ -222,6 +222,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     renamed = docs.select(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
     chunks = make_chunks(renamed, id_col, text_col, carry=tuple(f"c{k}" for k in range(len(rest))), level=3)
     buckets = bucket_count(corpus_bytes(chunks) / 12)
+    ways = way_count(buckets)
 
     def gather(chunk: Chunk, got: dict) -> pa.Table:
         lines = Lines(chunk, min_chars)
@@ -261,8 +262,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             [x.split()[0] for x in _FOUND.split(", ")],
         )
 
-    answers = answered(keyed(chunks, buckets, lambda c: _keys(c, min_chars), own=2), _wanted)
-    found = materialize(rejoin(chunks, answers, buckets, gather, _FOUND), "repeated-lines")
+    answers = answered(keyed(chunks, ways, lambda c: _keys(c, min_chars), own=2), chunks, buckets, ways, _wanted)
+    found = materialize(rejoin(chunks, answers, gather, _FOUND), "repeated-lines")
     near = found.where("body is not null")
     seen = near.agg(F.coalesce(F.sum(F.octet_length("clusters") / 8), F.lit(0)).cast("long").alias("rows"), F.max("most").alias("most")).first()
     links = materialize(cluster_links(_clustered(near), seen["rows"], seen["most"], NUM, DEN, line_tokens, BUNDLE), "line-links")

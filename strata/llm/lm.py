@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import _KEYED, SUMMARY, Bucket, Chunk, answered, bucket_count, by_bucket, corpus_bytes, keyed, make_chunks, pack_keys, packed_rows, rejoin, spread, unpack
+from .chunks import _KEYED, SUMMARY, Bucket, Chunk, answered, bucket_count, corpus_bytes, key_rows, keyed, make_chunks, packed_rows, rejoin, spread, unpack, way_count
 from .shared import materialize
 from .textkit import Sequences, Words, mix
 
@@ -225,6 +225,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
     chunks = make_chunks(docs, id_col, text_col, LM_CHUNK)
     size = corpus_bytes(chunks)
     word_buckets, gram_buckets = bucket_count(size / 20), bucket_count(size / 3)
+    word_ways, gram_ways = way_count(word_buckets), way_count(gram_buckets)
 
     def local_words(chunk: Chunk, seq: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, inverse = np.unique(seq.hash, return_inverse=True)
@@ -235,7 +236,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         total = bucket.per_key(np.add, 0)
         return [np.array([(total > 0).sum(), total.sum()], np.int64)]
 
-    words = materialize(answered(keyed(chunks, word_buckets, lambda c: local_words(c, tokens_of(c))[:2]), _word_counts, word_summary), "word-counts")
+    words = materialize(answered(keyed(chunks, word_ways, lambda c: local_words(c, tokens_of(c))[:2]), chunks, word_buckets, word_ways, _word_counts, word_summary), "word-counts")
     told = [unpack(r["body"])[0] for r in words.where(F.col("chunk") == SUMMARY).select("body").collect()]  # two numbers a bucket
     distinct, total = (int(sum(t[k] for t in told)) for k in (0, 1))
     word_answers = words.where(F.col("chunk") != SUMMARY)
@@ -243,7 +244,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
     def token_counts(chunk: Chunk, seq: Sequences, got: dict) -> np.ndarray:
         """The training count of each token."""
         keys, counts, inverse = local_words(chunk, seq)
-        places, (told_counts,) = spread(keys, got, word_buckets, [np.zeros(0, np.int64)])
+        places, (told_counts,) = spread(keys, got, word_ways, [np.zeros(0, np.int64)])
         counts[places] = told_counts
         return counts[inverse]
 
@@ -267,7 +268,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         # the class of the context's last word
         tags[inverse[: len(pairs)]] = kind[pairs]
         tags[inverse[len(pairs) :]], triple[inverse[len(pairs) :]] = kind[triples + 1], 1
-        return pa.Table.from_batches([packed_rows([(b, chunk.number, pack_keys(keys[k], own[k], tags[k], triple[k])) for b, k in by_bucket(keys, gram_buckets)])])
+        return pa.Table.from_batches([packed_rows(key_rows(chunk.number, gram_ways, keys, [own, tags, triple]))])
 
     def settled(bucket: Bucket) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of a bucket's grams, and its segment."""
@@ -291,7 +292,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         sums = [np.bincount(tags[own], weights=w[own], minlength=CLASSES) for own in (~triple, triple) for w in (kept, kept > 0)]
         return [bits, np.concatenate([*rare, *sums])]
 
-    built = materialize(answered(rejoin(chunks, word_answers, word_buckets, grams, _KEYED), corrections, build), "gram-filter")
+    built = materialize(answered(rejoin(chunks, word_answers, grams, _KEYED), chunks, gram_buckets, gram_ways, corrections, build), "gram-filter")
     gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
     parts_ = {r["bucket"]: unpack(r["body"]) for r in built.where(F.col("chunk") == SUMMARY).collect()}  # max_bits at most, and a few sums for each bucket
     sums = sum((p[1] for p in parts_.values()), np.zeros(4 + 4 * CLASSES))
@@ -310,7 +311,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         p1 = (c / ALPHA + 1) * floor if total else np.ones(len(c))
         (pairs, triples), keys, own, inverse = gram_windows(chunk, seq)
         held = read(_filter(shared).counts(keys), own)
-        places, (right,) = spread(keys, {b - word_buckets: x for b, x in got.items() if b >= word_buckets}, gram_buckets, [np.zeros(0, np.int64)])
+        places, (right,) = spread(keys, {b - word_buckets: x for b, x in got.items() if b >= word_buckets}, gram_ways, [np.zeros(0, np.int64)])
         held[places] = right
         held = held[inverse]
         p = p1.copy()
@@ -330,7 +331,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
             [x.split()[0] for x in _SCORES.split(", ")],
         )
 
-    scored = rejoin(chunks, word_answers.unionByName(gram_answers), word_buckets, finish, _SCORES)
+    scored = rejoin(chunks, word_answers.unionByName(gram_answers), finish, _SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import _KEYED, Bucket, Chunk, answered, bucket_count, by_bucket, corpus_bytes, keyed, make_chunks, pack_keys, packed_rows, rejoin
+from .chunks import _KEYED, Bucket, Chunk, answered, bucket_count, corpus_bytes, key_rows, keyed, make_chunks, packed_rows, rejoin, way_count
 from .shared import materialize
 from .textkit import Words
 
@@ -111,6 +111,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     chunks = make_chunks(docs, id_col, text_col)
     buckets = bucket_count(corpus_bytes(chunks) / 5)
+    ways = way_count(buckets)
     sizes = lengths(window)
 
     def words_of(chunk: Chunk) -> Words:
@@ -127,9 +128,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         local = _entries if len(sizes) == 1 else _counted
         return local(hashed[at], chunk.ids[words.document_of()[at]])
 
-    rows = keyed(chunks, buckets, first)
+    rows = keyed(chunks, ways, first)
     for level in range(1, len(sizes)):
-        answers = answered(rows, _repeated)
+        answers = answered(rows, chunks, buckets, ways, _repeated)
         short, long = sizes[level - 1], sizes[level]
 
         def extend(chunk: Chunk, got: dict, level: int = level, short: int = short, long: int = long) -> pa.Table:
@@ -149,10 +150,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             longer, _ = words.windows(long)
             local = _entries if long == window else _counted
             keys, *values = local(longer[starts], chunk.ids[words.document_of()[starts]])
-            return pa.Table.from_batches([packed_rows([(b, chunk.number, pack_keys(keys[s], *(v[s] for v in values))) for b, s in by_bucket(keys, buckets)])])
+            return pa.Table.from_batches([packed_rows(key_rows(chunk.number, ways, keys, values))])
 
-        rows = rejoin(chunks, answers, buckets, extend, _KEYED)
-    final = materialize(answered(rows, _in_several), "repeated-windows")
+        rows = rejoin(chunks, answers, extend, _KEYED)
+    final = materialize(answered(rows, chunks, buckets, ways, _in_several), "repeated-windows")
 
     def finish(chunk: Chunk, got: dict) -> pa.Table:
         words = words_of(chunk)
@@ -172,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         removed = np.bincount(owner[gone], minlength=len(n))
         return pa.table([pa.array(chunk.ids), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(list(kept_texts(words, gone)), pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rejoin(chunks, final, buckets, finish, _OUT)
+    return rejoin(chunks, final, finish, _OUT)
 
 
 def kept_texts(words: Words, gone: np.ndarray) -> Iterator[str]:
