@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import relational as R
 from .model import behaviour, customers, products, sales, sql, table
-from .registry import query
+from .registry import QUERIES, query
 
 # --- projections and predicates ---------------------------------------------------------------------------------
 
@@ -249,6 +249,15 @@ def _(spark, d):
     return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("orders"), F.approx_count_distinct("l_partkey", 0.01).alias("products"))
 
 
+@query("a13_estimates_within_tolerance", "SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS products, true AS orders_close, true AS products_close FROM lineitem")
+def _(spark, d):
+    lines = table(spark, d, "lineitem")
+    exact = lines.select("l_orderkey").distinct().agg(F.count("*").alias("orders")).join(lines.select("l_partkey").distinct().agg(F.count("*").alias("products")))
+    about = QUERIES["a13_approximate_distinct"](spark, d).select(F.col("orders").alias("o"), F.col("products").alias("p"))
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(F.lit(1.0), 0.05 * F.col(y))  # noqa: E731  five times the stated deviation
+    return exact.join(about).select("orders", "products", close("o", "orders").alias("orders_close"), close("p", "products").alias("products_close"))
+
+
 @query("a17_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
@@ -315,6 +324,16 @@ def _(spark, d):
     return R.sampled(sales(spark, d), 0.1, 7, "order_id").select("order_id", "customer_id")
 
 
+@query("t06_sample_share", sql("sales", "SELECT count(DISTINCT order_id) AS orders, true AS near_a_tenth, 0::BIGINT AS outside_the_larger FROM sales"))
+def _(spark, d):
+    small, all_ = (x.select("order_id").distinct() for x in (QUERIES["t06_seeded_sample"](spark, d), sales(spark, d)))
+    larger = R.sampled(sales(spark, d), 0.2, 7, "order_id").select("order_id").distinct()
+    outside = small.join(larger, "order_id", "left_anti").agg(F.count("*").alias("outside_the_larger"))
+    share = all_.agg(F.count("*").alias("orders")).join(small.agg(F.count("*").alias("n")))
+    near = F.abs(F.col("n") - 0.1 * F.col("orders")) <= 2 * F.sqrt(F.col("orders"))  # over six deviations
+    return share.join(outside).select("orders", near.alias("near_a_tenth"), "outside_the_larger")
+
+
 @query("u01_union_by_name", "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
 def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))

@@ -14,7 +14,7 @@ from ..sources import readers as S
 from . import crm, marts as M
 from .model import behaviour, customers, fx, products, sales, sql, table
 from .queries_model import facts, r2
-from .registry import query
+from .registry import QUERIES, query
 
 # --- projections ----------------------------------------------------------------------------------------------------
 
@@ -111,6 +111,12 @@ def _(spark, d):
     return c.select("c_custkey", X.row_key(c).alias("row_key"))
 
 
+@query("p27_row_keys_tell_rows_apart", "SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS keys, 64 AS shortest, 64 AS longest FROM customer")
+def _(spark, d):
+    keys = QUERIES["p27_row_keys"](spark, d).groupBy("row_key").agg(F.count("*").alias("n"))
+    return keys.agg(F.sum("n").alias("row_count"), F.count("*").alias("keys"), F.min(F.length("row_key")).alias("shortest"), F.max(F.length("row_key")).alias("longest"))
+
+
 # --- filters, joins, windows, sets ----------------------------------------------------------------------------------
 
 

@@ -152,6 +152,17 @@ def _(spark, d):
     return K.fingerprint(table(spark, d, "orders"))
 
 
+@query("c24_fingerprint_of_changes", "SELECT count(*) AS row_count, true AS same_in_another_order, true AS differs_after_a_change FROM orders")
+def _(spark, d):
+    orders = table(spark, d, "orders")
+    again = K.fingerprint(orders.repartition("o_custkey")).toDF("n1", "x1", "s1")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    edited = orders.join(F.broadcast(last)).withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.col("last"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("last")
+    changed = K.fingerprint(edited).toDF("n2", "x2", "s2")
+    same = (F.col("row_count") == F.col("n1")) & (F.col("hash_xor") == F.col("x1")) & (F.col("hash_sum") == F.col("s1"))
+    return K.fingerprint(orders).join(again).join(changed).select("row_count", same.alias("same_in_another_order"), ((F.col("hash_xor") != F.col("x2")) & (F.col("hash_sum") != F.col("s2"))).alias("differs_after_a_change"))
+
+
 @query("c26_join_integrity", sql("sales", "SELECT count(*) AS facts, 0::BIGINT AS unmatched, count(*) FILTER (product_id IS NULL) AS unknown, round(1 - count(*) FILTER (product_id IS NULL) / count(*)::DOUBLE, 6) AS joined_share FROM sales"))
 def _(spark, d):
     return K.join_integrity(facts(spark, d), products(spark, d), "product_key", "product_id").withColumn("joined_share", F.round("joined_share", 6))

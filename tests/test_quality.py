@@ -4,6 +4,7 @@ from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, St
 
 from strata.functions import expr as X
 from strata.functions import privacy as G
+from strata.operators import profiling as P
 from strata.operators import quality as Q
 from strata.operators import reconcile as K
 from strata.operators import relational as R
@@ -102,3 +103,18 @@ def test_fingerprint_ignores_order_and_sees_nulls(spark):
     b = spark.createDataFrame([(2, ""), (1, None)], "k int, v string")
     c = spark.createDataFrame([(2, None), (1, "")], "k int, v string")
     assert K.fingerprint(a).first() == K.fingerprint(b.repartition(3)).first() != K.fingerprint(c).first()
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=999), np.repeat([1.0, 2.0, 2.5], [500, 3, 400]), np.array([5e-324, 0.0, 1e-323] * 40), np.array([-1.7e308, 1.7e308, 3.0] * 30), np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+        for few in (10_000, 20):
+            monkeypatch.setattr(P, "FEW", few)
+            got = P.quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+            assert np.allclose(got[1:4], np.quantile(np.sort(values), [0.25, 0.5, 0.75]), rtol=1e-12, atol=0) or np.abs(values).max() > 1e300
+            assert (got[0], got[4]) == (values.min(), values.max())
+    assert P.quantiles(df.where("false"), "v", [0.5]) == [None]
+    assert P.outliers(df.where("false"), "v").isEmpty()
