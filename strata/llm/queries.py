@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, jaccard, lines, lm, mixing, packing, substring, toxicity, warc
+from . import ann, audit, conversations, fingerprint, jaccard, lines, lm, mixing, packing, quality, substring, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,50 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all ``documents`` in each of their 120 orders, by source."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END) AS mask
+  FROM words LEFT JOIN marks USING (doc_id)),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(c, bit)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c) JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+steps AS (SELECT filter_order, step, any_value(l.bit) AS f, coalesce(sum(p.bit), 0) AS b
+          FROM o, range(1, 6) r(step) JOIN l ON l.c = filter_order[step] LEFT JOIN l p ON strpos(filter_order, p.c) < step GROUP BY filter_order, step),
+n AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, mask)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+       CAST(sum(CASE WHEN mask & CAST(f + b AS INT) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN mask & f <> 0 AND mask & CAST(b AS INT) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN mask & f <> 0 AND mask & CAST(b AS INT) <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN mask = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN mask & f <> 0 AND mask & CAST(b AS INT) = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN mask & f <> 0 AND mask & CAST(b AS INT) = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN mask & f <> 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+FROM n, steps GROUP BY part, filter_order, step
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``; a third of the labels stays unseen."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All damaged ``conversations``: their faults, and the cheapest repair of each."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -150,8 +194,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op4_lm_scoring": op4_lm_scoring, "op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op5_warc": op5_warc, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint, "op10_line_dedup": op10_line_dedup, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op4_lm_scoring": op4_lm_scoring, "op2_best_fit_packing": op2_best_fit_packing, "op3_substring_dedup": op3_substring_dedup, "op5_warc": op5_warc, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_mix_sources": op6_mix_sources, "op9_fingerprint": op9_fingerprint, "op10_line_dedup": op10_line_dedup, "op11_filter_audit": op11_filter_audit, "op12_quality": op12_quality, "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_mix_sources": OP6_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_mix_sources": OP6_SQL, "op11_filter_audit": OP11_SQL}
