@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = materialize(small_batches(once.select("doc_id", "label", "text")).mapInArrow(measured, kinds), "quality-sample")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
     prior = (totals["p"] / totals["n"]) if totals["n"] else 0.5
-    if not 0 < prior < 1:
+    if not totals["n"] or not 0 < prior < 1:
         return QualityModel(None, float(prior))
     edges = [np.unique(e) for e in sample.approxQuantile(NAMES, [k / BINS for k in range(1, BINS)], 0.001)]
 
