@@ -7,15 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a table is broadcast on request; beyond it the planner decides.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table is broadcast on request, by the planner's own statistics; beyond it the planner decides.
+BROADCAST_BYTES = 64 << 20
 
 # --- joins ------------------------------------------------------------------------------------------------------
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint only if its rows are counted to be few (reading at most ``most`` + 1 of them)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def size_in_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; nothing is run. Where it knows too little the estimate is large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint only if its estimated size is small. No job is run to find out: a table whose size
+    cannot be told in advance is joined as adaptive execution then decides."""
+    return F.broadcast(df) if size_in_bytes(df) <= most else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str] | Column, how: str = "left") -> DataFrame:
@@ -30,6 +36,71 @@ def assert_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dim
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], order: Sequence[str] = (), split: str | None = None) -> DataFrame:
+    """``left`` with ``columns`` of the last ``right`` row of its keys at or before its time, NULL where there is none.
+
+    Both sides are stacked and sorted once by keys and time; the last row of the right side is carried along, so no pair of
+    rows is formed (a join on a time inequality would form all earlier ones). Right rows of one time are told apart by
+    ``order``, the greatest wins. Rows without a time, or with a NULL key, find nothing.
+
+    ``split`` (a unit of date_trunc: year, month, day ...) deals the rows of a key over its periods: the last right row of
+    every period is carried over the periods first, one row each, so a key that a third of all rows share has no task of
+    its own. The answer is the same."""
+    names, t = left.columns, "_time"
+    value = F.struct(*[F.col(f"`{c}`") for c in columns])
+    rank = F.struct(*[F.col(f"`{c}`") for c in order]) if order else F.struct(F.lit(0))
+    key = [F.col(f"`{k}`") for k in keys]
+    kind = (left.schema[left_time].dataType, right.schema[right_time].dataType)
+    as_time = "timestamp" if any(k.simpleString().startswith(("timestamp", "date")) for k in kind) else kind[0]
+    a = left.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(f"`{left_time}`").cast(as_time).alias(t), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    b = right.where(F.col(f"`{right_time}`").isNotNull()).select(*[k.alias(f"_k{i}") for i, k in enumerate(key)], F.col(f"`{right_time}`").cast(as_time).alias(t), F.lit(0).alias("_side"), value.alias("_value"), rank.alias("_order"))
+    for i in range(len(keys)):
+        b = b.where(F.col(f"_k{i}").isNotNull())
+    both, by = a.unionByName(b, allowMissingColumns=True), [f"_k{i}" for i in range(len(keys))]
+    carry = None
+    if split:
+        both, by = both.withColumn("_period", F.date_trunc(split, t)), [*by, "_period"]
+        last = F.max_by(F.col("_value"), F.when(F.col("_side") == 0, F.struct(t, "_order")))
+        per = both.where(F.col(t).isNotNull()).groupBy(*by).agg(last.alias("_last"))
+        earlier = Window.partitionBy(*by[:-1]).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+        carry = per.select(*[F.col(c).alias(f"_c{c}") for c in by], F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    until = Window.partitionBy(*by).orderBy(F.col(t).asc_nulls_first(), "_side", F.col("_order").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(until)).where("_side = 1")
+    if carry is not None:
+        on = [F.col(c).eqNullSafe(F.col(f"_c{c}")) for c in by]
+        found = found.join(carry, on, "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[F.col(f"_found.`{c}`").alias(c) for c in columns])
+
+
+#: A key is hot when it holds over one part in HOT of the rows: there are at most HOT of them.
+HOT = 1000
+
+
+def join_spread(fact: DataFrame, dim: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """inner, left, right or full outer join on ``key`` in which hot keys of ``fact`` are dealt over ``salts`` tasks each.
+
+    Hot keys are counted first, by an aggregate that combines before its shuffle. Their fact rows get a salt by a
+    hash of their values (so a repeated task deals them alike) and their dimension rows, HOT keys' at most, are repeated
+    for each salt; all other rows are joined as usual. The result is the same: a hot key has facts, so none of its
+    dimension rows is without a match, and repeated dimension rows meet disjoint facts. Rows equal in every column share a
+    salt."""
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"{how} joins are not spread")
+    counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    hot = [r[0] for r in counts.join(F.broadcast(total)).where(F.col("_n") * HOT > F.col("_all")).where(F.col("_n") >= HOT).select(key).limit(HOT).collect()]
+    if not hot:
+        return fact.join(dim, key, how)
+    is_hot = F.col(key).isin(hot)
+    cold = lambda df: df.where(~is_hot | F.col(key).isNull())
+    values = [F.col(f"`{f.name}`") for f in fact.schema if "map<" not in f.dataType.simpleString()]
+    salted = fact.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(salts)).cast("int"))
+    repeated = dim.where(is_hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    inner = "left" if how in ("left", "full") else "inner"
+    spread = salted.join(repeated, [key, "_salt"], inner).drop("_salt")
+    return cold(fact).join(cold(dim), key, how).unionByName(spread)
+
+
 def with_parent(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
     return child.join(parent.select(*keys), list(keys), "left_semi")
 

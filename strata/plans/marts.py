@@ -11,7 +11,7 @@ from ..functions.expr import banded, canonical_text, date_parts, filled, surroga
 from ..operators.currency import in_usd, usd_rates
 from ..operators.history import OPEN_END
 from ..operators.quality import assert_row_drop
-from ..operators.relational import join_dimension, latest, newest, small
+from ..operators.relational import as_of, join_dimension, latest, newest, small
 
 # --- silver -----------------------------------------------------------------------------------------------------
 
@@ -95,6 +95,15 @@ def with_member(df: DataFrame, dimension: DataFrame, key: str, name: str, missin
     return join_dimension(df, small(current), [key]).withColumn(name, F.coalesce(name, F.lit(missing)))
 
 
+def with_member_at(df: DataFrame, dimension: DataFrame, key: str, name: str, time: str, missing: str = "-1") -> DataFrame:
+    """The surrogate key of the version of each row's member that was valid at the row's time: the last that had begun
+    by then, unless it had ended. ``missing`` where there is none (before the first version as well)."""
+    versions = dimension.select(F.col(key), F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), F.col(name))
+    found = as_of(df, versions, [key], time, "_from", ["_to", name])
+    valid = F.col("_to").isNull() | (F.col(time) < F.col("_to"))
+    return found.withColumn(name, F.coalesce(F.when(valid, F.col(name)), F.lit(missing))).drop("_to")
+
+
 def date_dimension(df: DataFrame, date: str, least_days: int = 730) -> DataFrame:
     """Every day of a fact's range, at least so many; the range joins in as one row, nothing is collected."""
     span = df.agg(F.min(date).alias("a"), F.max(date).alias("b")).where("a is not null")
@@ -140,16 +149,25 @@ def fact_orders(orders: DataFrame, customer_dim: DataFrame, product_dim: DataFra
     )
 
 
-def fact_order_events(events: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Events with their customer's key and the customer's last order before the event's customer key is used elsewhere."""
-    last = orders.groupBy("customer_id").agg(F.max("order_date").alias("last_order_date"), F.count("*").alias("orders"))
-    keyed = events.join(customers.select("customer_id", F.col("customer_id").alias("customer_key")), "customer_id", "left").join(last, "customer_id", "left")
-    return keyed.withColumns({"customer_key": F.coalesce("customer_key", F.lit(-1)), "orders": F.coalesce("orders", F.lit(0))})
+def fact_order_events(events: DataFrame, customer_dim: DataFrame, orders: DataFrame, rates: DataFrame) -> DataFrame:
+    """Events with the key of the customer version valid at the event (-1 where there is none), the amount in dollars at
+    the last rate known by then (as it is without one), and the order context as of the event: the customer's last order
+    at or before it, that order's number, and the days since. No later order is seen.
+
+    Customers hold few rows each; currencies are few and so hold many, which is why rates are carried by month."""
+    count = F.row_number().over(Window.partitionBy("customer_id").orderBy("order_date", "order_id"))
+    past = orders.where("order_date is not null").select("customer_id", F.col("order_id").alias("last_order_id"), F.col("order_date").alias("last_order_date"), count.alias("order_number"))
+    out = as_of(events, past, ["customer_id"], "event_ts", "last_order_date", ["last_order_id", "last_order_date", "order_number"], order=["last_order_id"])
+    out = with_member_at(out, customer_dim, "customer_id", "customer_sk", "event_ts")
+    out = as_of(out, rates, ["currency"], "event_ts", "rate_date", ["usd_rate"], split="month")
+    usd = F.when(F.col("currency") == "USD", F.col("amount")).otherwise(F.col("amount") * F.coalesce("usd_rate", F.lit(1.0)))
+    return out.withColumns({"amount_usd": usd, "days_since_order": F.datediff("event_ts", "last_order_date"), "orders_before": F.coalesce("order_number", F.lit(0))}).drop("usd_rate", "order_number")
 
 
 def order_metrics(facts: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """Facts hold an order once (the silver step sees to it), so orders are counted without a distinct."""
     return facts.groupBy(*keys).agg(
-        F.sum("amount_usd").alias("revenue_usd"), F.count_distinct("order_id").alias("orders"), F.avg("amount_usd").alias("avg_order_usd"),
+        F.sum("amount_usd").alias("revenue_usd"), F.count("order_id").alias("orders"), F.avg("amount_usd").alias("avg_order_usd"),
         F.max("order_date").alias("last_order"), F.min("order_date").alias("first_order"),
     )
 
@@ -172,7 +190,10 @@ def customer_360(customers: DataFrame, facts: DataFrame | None, events: DataFram
 
 
 def product_performance(products: DataFrame, facts: DataFrame) -> DataFrame:
-    sold = facts.groupBy("product_id").agg(F.sum("quantity").alias("units"), F.sum("amount_usd").alias("revenue_usd"), F.count_distinct("order_id").alias("orders"), F.count_distinct("customer_id").alias("buyers"))
+    """Sales of each product; facts hold an order once. Buyers are counted by a first aggregate of (product, customer), so
+    nothing is expanded for a distinct count."""
+    pairs = facts.groupBy("product_id", "customer_id").agg(F.sum("quantity").alias("units"), F.sum("amount_usd").alias("revenue_usd"), F.count("order_id").alias("orders"))
+    sold = pairs.groupBy("product_id").agg(F.sum("units").alias("units"), F.sum("revenue_usd").alias("revenue_usd"), F.sum("orders").alias("orders"), F.count("customer_id").alias("buyers"))
     out = products.join(sold, "product_id", "left").fillna(0, ["units", "revenue_usd", "orders", "buyers"])
     return out.withColumn("is_active", F.col("orders") > 0)
 

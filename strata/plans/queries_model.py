@@ -8,7 +8,7 @@ from ..operators import currency as C
 from ..operators import history as H
 from ..operators import relational as R
 from . import marts as M
-from .model import behaviour, customers, fx, products, sales, sql, table
+from .model import behaviour, currency_of, customers, fx, products, sales, sql, table
 from .registry import query
 
 r2 = lambda *names: [F.round(n, 2).alias(n) for n in names]
@@ -225,11 +225,6 @@ def _(spark, d):
     return facts(spark, d).select("order_id", "customer_key", "product_key", *r6("amount_usd"), "date_key", "year", "month")
 
 
-@query("m02_fact_order_events", sql("behaviour sales", ", o AS (SELECT customer_id, max(order_date) AS last_order_date, count(*) AS orders FROM sales GROUP BY 1) SELECT event_id, CASE WHEN customer_id IN (SELECT c_custkey FROM customer) THEN customer_id ELSE -1 END AS customer_key, last_order_date, coalesce(orders, 0) AS orders FROM behaviour LEFT JOIN o USING (customer_id)"))
-def _(spark, d):
-    return M.fact_order_events(behaviour(spark, d), customers(spark, d), sales(spark, d)).select("event_id", "customer_key", "last_order_date", "orders")
-
-
 def members(spark, d, column, name):
     """A type-2 dimension of the members that orders name: a version for each order date."""
     return M.type2_dimension(sales(spark, d).where(f"{column} is not null").select(column, "order_date"), column, "order_date", name)
@@ -239,6 +234,27 @@ _KEY = "sha256({0} || '||' || strftime(max(order_date), '%Y-%m-%d'))"
 _CURRENT = f", c AS (SELECT customer_id, {_KEY.format('customer_id')} AS customer_sk FROM sales GROUP BY 1), p AS (SELECT product_id, {_KEY.format('product_id')} AS product_sk FROM sales WHERE product_id IS NOT NULL GROUP BY 1)"
 
 
+_EVENTS = """
+, rated AS (SELECT rate_date, currency, usd_rate FROM rates),
+e AS (SELECT event_id, customer_id, amount, event_ts - INTERVAL 9125 DAY AS event_ts, CASE event_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'JPY' END AS currency FROM behaviour),
+o AS (SELECT customer_id, order_date, max(order_id) AS last_order_id, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS n FROM sales) GROUP BY 1, 2),
+v AS (SELECT customer_id, order_date AS since, sha256(customer_id || '||' || strftime(order_date, '%Y-%m-%d')) AS customer_sk FROM (SELECT DISTINCT customer_id, order_date FROM sales)),
+x AS (SELECT e.*, last_order_id, o.order_date AS last_order_date, n FROM e ASOF LEFT JOIN o ON e.customer_id = o.customer_id AND e.event_ts >= o.order_date),
+y AS (SELECT x.*, customer_sk FROM x ASOF LEFT JOIN v ON x.customer_id = v.customer_id AND x.event_ts >= v.since)
+SELECT event_id, coalesce(customer_sk, '-1') AS customer_sk, last_order_id, last_order_date, coalesce(n, 0) AS orders_before, date_diff('day', last_order_date, CAST(event_ts AS DATE)) AS days_since_order,
+       round(CASE WHEN y.currency = 'USD' THEN amount ELSE amount * coalesce(usd_rate, 1.0) END, 6) AS amount_usd
+FROM y ASOF LEFT JOIN rated ON y.currency = rated.currency AND y.event_ts >= rated.rate_date
+"""
+
+
+@query("m02_fact_order_events", sql("behaviour sales fx rates", _EVENTS))
+def _(spark, d):
+    """All events, moved 25 years back into the years of the orders, in four currencies."""
+    e = behaviour(spark, d).withColumns({"event_ts": F.expr("event_ts - interval 9125 days"), "currency": currency_of("event_id")})
+    out = M.fact_order_events(e, members(spark, d, "customer_id", "customer_sk"), sales(spark, d).select("order_id", "customer_id", "order_date"), C.usd_rates(fx(spark, d)))
+    return out.select("event_id", "customer_sk", "last_order_id", "last_order_date", "orders_before", "days_since_order", *r6("amount_usd"))
+
+
 @query("j02_current_members", sql("sales", _CURRENT + " SELECT c_custkey AS customer_id, coalesce(customer_sk, '-1') AS customer_sk FROM customer LEFT JOIN c ON c_custkey = customer_id"))
 def _(spark, d):
     return M.with_member(customers(spark, d).select("customer_id"), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")

@@ -98,6 +98,29 @@ def read_jdbc(spark: SparkSession, url: str, query: str, names: Mapping[str, str
     return df.select(*[F.col(a).alias(b) for a, b in names.items()]) if names else df
 
 
+def measured_bounds(spark: SparkSession, url: str, query: str, column: str, parts: int, **options: str) -> list[int]:
+    """Values of an integer key that cut a query's rows into ``parts`` of like size, measured in the database: it sorts and
+    numbers the keys and returns every n-th; ``parts`` - 1 numbers at most cross the connection."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    total = reader.option("query", f"SELECT COUNT({column}) AS N FROM ({query}) q").load().first()[0]
+    step = max(1, -(-total // parts))
+    numbered = f"SELECT ROW_NUMBER() OVER () AS RN, {column} AS K FROM (SELECT {column} FROM ({query}) q WHERE {column} IS NOT NULL ORDER BY {column}) s"
+    found = reader.option("query", f"SELECT K FROM ({numbered}) n WHERE MOD(RN, {step}) = 0 AND RN < {max(total, 1)}").load()
+    return sorted({int(r[0]) for r in found.collect()})
+
+
+def read_jdbc_even(spark: SparkSession, url: str, query: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A query read in parallel by ranges of ``column`` that hold like numbers of rows, however its values are spread;
+    rows without a key are a part of their own. Each range is a predicate that the database evaluates."""
+    bounds = measured_bounds(spark, url, query, column, parts, **options)
+    tests = [f"{column} IS NULL"]
+    for k in range(len(bounds) + 1):
+        low = [f"{column} > {bounds[k - 1]}"] if k else []
+        high = [f"{column} <= {bounds[k]}"] if k < len(bounds) else []
+        tests.append(" AND ".join([*low, *high]) or f"{column} IS NOT NULL")
+    return spark.read.jdbc(url, f"({query}) q", predicates=tests, properties=dict(options))
+
+
 def with_ingestion(df: DataFrame, batch_id: str, source: str, table: str, run_date: Column, at: Column) -> DataFrame:
     """Ingestion columns; those already there stay."""
     new = {"_ingested_at": at, "_batch_id": F.lit(batch_id), "_source": F.lit(source), "_table": F.lit(table), "_run_date": run_date}
