@@ -15,16 +15,23 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = True) -> DataFrame:
-    """(column_name, row_count, nulls, distinct, min, max, mean): one aggregate for all columns."""
+    """(column_name, row_count, nulls, distinct, min, max, mean): one aggregate for all columns. Exact distinct counts come
+    from a second one over (column, hash of the value) pairs, which combine before their shuffle."""
     columns, numbers = list(columns or df.columns), set(numeric_columns(df))
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     cells = []
     for k, c in enumerate(columns):
         x = F.col(c)
-        cells += [F.count_if(x.isNull()).alias(f"nulls{k}"), distinct(x).alias(f"distinct{k}"), F.min(x).cast("string").alias(f"min{k}"), F.max(x).cast("string").alias(f"max{k}"), (F.avg(x) if c in numbers else F.lit(None).cast("double")).alias(f"mean{k}")]
+        cells += [F.count_if(x.isNull()).alias(f"nulls{k}"), (F.approx_count_distinct(x) if approximate else F.lit(0).cast("long")).alias(f"distinct{k}"), F.min(x).cast("string").alias(f"min{k}"), F.max(x).cast("string").alias(f"max{k}"), (F.avg(x) if c in numbers else F.lit(None).cast("double")).alias(f"mean{k}")]
     one = df.agg(F.count("*").alias("row_count"), *cells)
     rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}{k}").alias(n) for n in ("nulls", "distinct", "min", "max", "mean")]) for k, c in enumerate(columns)]
-    return one.select("row_count", F.explode(F.array(*rows)).alias("r")).select("r.column_name", "row_count", "r.nulls", "r.distinct", "r.min", "r.max", "r.mean")
+    out = one.select("row_count", F.explode(F.array(*rows)).alias("r")).select("r.column_name", "row_count", "r.nulls", "r.distinct", "r.min", "r.max", "r.mean")
+    if approximate:
+        return out
+    text = lambda c: F.col(c).cast("string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(c).isNotNull(), F.xxhash64(text(c))).alias("a"), F.xxhash64(F.lit(17), text(c)).alias("b")) for k, c in enumerate(columns)]))
+    values = df.select(pairs.alias("p")).select("p.*").where("a is not null").groupBy("k", "a", "b").agg(F.lit(1).alias("_one")).groupBy("k").agg(F.count("*").alias("_distinct"))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1)
+    return out.join(F.broadcast(values.select(names.alias("column_name"), "_distinct")), "column_name", "left").withColumn("distinct", F.coalesce("_distinct", F.lit(0))).drop("_distinct")  # a row a column
 
 
 def statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:

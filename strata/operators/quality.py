@@ -46,24 +46,47 @@ class Rule:
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None, as_of: Column | None = None) -> DataFrame:
-    """(rule, target, severity, failed, total) for every rule."""
-    row_rules = [r for r in rules if r.failing(as_of) is not None]
-    counts = df.agg(F.count("*").alias("total"), *[F.count_if(r.failing(as_of)).alias(f"f{k}") for k, r in enumerate(row_rules)])
-    cells = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.target).alias("target"), F.lit(r.severity).alias("severity"), F.col(f"f{k}").alias("failed")) for k, r in enumerate(row_rules)]
-    out = counts.select(F.explode(F.array(*cells)).alias("c"), "total").select("c.*", "total") if cells else None
+    """(rule, target, severity, failed, total) for every rule. Row rules and references are counted by one aggregate over
+    the table, joined to the distinct keys of its parents; each uniqueness rule is a grouping of its own."""
+    one_pass, marked, cells = [r for r in rules if r.kind != "unique"], df, []
+    for k, r in enumerate(one_pass):
+        if r.kind == "reference":
+            keys = (parents or {})[r.parent].select(F.col(r.parent_key).alias(f"_parent{k}")).distinct()
+            marked = marked.join(keys, marked[r.target] == keys[f"_parent{k}"], "left")
+    for k, r in enumerate(one_pass):
+        fails = F.col(f"_parent{k}").isNull() if r.kind == "reference" else r.failing(as_of)
+        cells.append(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.target).alias("target"), F.lit(r.severity).alias("severity"), F.count_if(fails).alias("failed")))
+    out = marked.agg(F.array(*cells).alias("c"), F.count("*").alias("total")).select(F.explode("c").alias("c"), "total").select("c.*", "total") if cells else None
     for r in rules:
         if r.kind == "unique":
             keys = [k.strip() for k in r.target.split(",")]
             one = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count") - 1)), F.lit(0)).alias("failed"), F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-        elif r.kind == "reference":
-            one = orphans(df, (parents or {})[r.parent], r.target, r.parent_key).agg(F.count("*").alias("failed")).join(F.broadcast(df.agg(F.count("*").alias("total"))))
-        else:
-            continue
-        one = one.select(F.lit(r.kind).alias("rule"), F.lit(r.target).alias("target"), F.lit(r.severity).alias("severity"), "failed", "total")
-        out = one if out is None else out.unionByName(one)
+            one = one.select(F.lit(r.kind).alias("rule"), F.lit(r.target).alias("target"), F.lit(r.severity).alias("severity"), "failed", "total")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
+def accuracy_and_timeliness(df: DataFrame, rules: Sequence[Rule], ts: str, as_of: Column, most_hours: float = 24.0) -> DataFrame:
+    """(dimension, name, violations, total, score): the share of rows that keep each range or pattern rule, below and above
+    a range told apart, and the share of rows at most so many hours old; one aggregate. An empty table scores 0.
+
+    Times may be timestamps, dates or text; rows without a readable time are not timely, and NULLs break no rule."""
+    cells, total = [], F.count(F.lit(1))
+    row = lambda dimension, name, bad: F.struct(F.lit(dimension).alias("dimension"), F.lit(name).alias("name"), bad.alias("violations"), total.alias("total"), F.coalesce(F.try_divide(total - bad, total), F.lit(0.0)).alias("score"))
+    for r in rules:
+        if r.kind not in ("range", "pattern"):
+            raise ValueError(f"{r.kind} is no rule of accuracy")
+        cells.append(row("accuracy", f"{r.kind}:{r.target}", F.count_if(r.failing())))
+        for bound, name in ((r.low, "below"), (r.high, "above")):
+            if r.kind == "range" and bound is not None:
+                past = F.col(r.target) < bound if name == "below" else F.col(r.target) > bound
+                cells.append(row("accuracy", f"{name}:{r.target}", F.count_if(past)))
+    at = F.try_to_timestamp(F.col(ts).cast("string")) if df.schema[ts].dataType.simpleString() == "string" else F.col(ts).cast("timestamp")
+    late = F.coalesce(F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at) > F.lit(int(most_hours * 3_600_000_000)), F.lit(True))
+    cells.append(row("timeliness", f"{ts}:{most_hours:g}h", F.count_if(late)))
+    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 @dataclass(frozen=True)
 class Contract:
     required: Sequence[str]

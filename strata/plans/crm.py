@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import canonical_text, coalesced, digits, filled, parsed_date, resolve
 from ..operators.relational import latest, newest
+from .marts import with_member
 
 
 def _text(df: DataFrame, *names: str, case: str = "keep") -> Column:
@@ -43,14 +44,12 @@ def opportunities_silver(df: DataFrame) -> DataFrame:
     return latest(out.where("opportunity_id is not null"), ["opportunity_id"], newest("close_date"))
 
 
-def contact_dimension(contacts: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Contacts with their account's key, -1 where there is none."""
-    keys = accounts.select("account_id", F.col("account_id").alias("account_key"))
-    return contacts.join(keys, "account_id", "left").withColumn("account_key", F.coalesce(F.col("account_key").cast("long"), F.lit(-1)))
+def contact_dimension(contacts: DataFrame, account_dim: DataFrame) -> DataFrame:
+    """Contacts with the hashed key of their account's current version, -1 where there is none."""
+    return with_member(contacts, account_dim, "account_id", "account_key")
 
 
-def fact_opportunity(opportunities: DataFrame, accounts: DataFrame, contacts: DataFrame) -> DataFrame:
-    a = accounts.select("account_id", F.col("account_id").cast("long").alias("account_key"))
-    c = contacts.select("contact_id", F.col("contact_id").cast("long").alias("contact_key"))
-    out = opportunities.join(a, "account_id", "left").join(c, "contact_id", "left")
-    return out.withColumns({"account_key": F.coalesce("account_key", F.lit(-1)), "contact_key": F.coalesce("contact_key", F.lit(-1)), "close_year": F.year("close_date"), "close_month": F.month("close_date")})
+def fact_opportunity(opportunities: DataFrame, account_dim: DataFrame, contact_dim: DataFrame) -> DataFrame:
+    """Opportunities with the hashed keys of the account's and contact's current versions (-1 where there is none)."""
+    out = with_member(with_member(opportunities, account_dim, "account_id", "account_key"), contact_dim, "contact_id", "contact_key")
+    return out.withColumns({"close_date_key": F.date_format("close_date", "yyyyMMdd").cast("int"), "close_year": F.year("close_date"), "close_month": F.month("close_date")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..operators.currency import in_usd, usd_rates
 from ..operators.history import OPEN_END
 from ..operators.quality import assert_row_drop
 from ..operators.relational import as_of, join_dimension, latest, newest, small
+from ..sources.writers import Bounds, load_observed
 
 # --- silver -----------------------------------------------------------------------------------------------------
 
@@ -36,7 +37,8 @@ def orders_silver(df: DataFrame, customers: DataFrame | None = None) -> DataFram
 
 
 def checked_silver(before: DataFrame, after: DataFrame, key: str, max_drop: float) -> DataFrame:
-    """``after``, or an error for an empty input, NULL keys, or too many dropped rows; two counting jobs in all."""
+    """``after``, or an error for an empty input, NULL keys, or too many dropped rows: for frames that are not written, by
+    two counting jobs. ``load_silver`` counts while it writes."""
     b = before.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
     if not b["n"]:
         raise ValueError("the input is empty")
@@ -46,6 +48,13 @@ def checked_silver(before: DataFrame, after: DataFrame, key: str, max_drop: floa
     return after
 
 
+def load_silver(source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, key: str, max_drop: float, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Clean a table into ``path``; an empty input, NULL keys or too many dropped rows raise before it is touched. What is
+    counted is observed by the job that writes the rows, so no counting job runs."""
+    load_observed(source, transform, path, [key], Bounds(least_rows=1, most_dropped=max_drop), partition_by=partition_by)
+    return source.sparkSession.read.parquet(path)
+
+
 def behaviour_silver(df: DataFrame) -> DataFrame:
     out = df.select("event_id", "customer_id", F.lower(F.trim("event_type")).alias("event_type"), F.greatest(F.coalesce(F.col("amount"), F.lit(0.0)), F.lit(0.0)).alias("amount"), "event_ts", F.coalesce(F.col("event_date"), F.to_date("event_ts")).alias("event_date"), "session_id")
     return latest(out.where("event_id is not null"), ["event_id"], newest("event_ts"))
@@ -81,10 +90,15 @@ def enriched_customers(customers: DataFrame, contacts: DataFrame, events: DataFr
 # --- dimensions ---------------------------------------------------------------------------------------------------
 
 
-def type2_dimension(df: DataFrame, key: str, start: str, name: str) -> DataFrame:
-    """Versions by start; the surrogate key is a hash of key and start, the open end a far date."""
-    once = df.dropDuplicates([key, start])
-    end = F.lead(start).over(Window.partitionBy(key).orderBy(start))
+def type2_dimension(df: DataFrame, key: str, start: str, name: str, tracked: Sequence[str] = ()) -> DataFrame:
+    """Versions by start; the surrogate key is a hash of key and start, the open end a far date. With ``tracked``
+    attributes only rows that change one of them (NULLs count as values) begin a version, so the dimension grows with
+    changes and not with the rows seen."""
+    once, order = df.dropDuplicates([key, start]), Window.partitionBy(key).orderBy(start)
+    if tracked:
+        state = F.struct(*[F.col(c) for c in tracked])
+        once = once.withColumn("_before", F.lag(state).over(order)).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before")
+    end = F.lead(start).over(order)
     return once.withColumns({"effective_from": F.col(start), "effective_to": F.coalesce(end.cast("timestamp"), F.lit(OPEN_END).cast("timestamp")), "is_current": end.isNull(), name: surrogate_key(F.col(key), F.date_format(start, "yyyy-MM-dd"))}).drop(start)
 
 

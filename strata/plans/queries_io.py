@@ -202,9 +202,9 @@ def _(spark, d):
     return spark.read.parquet(lanes(spark, d)[0]).select("key", "offset", "user_id", "event_type", "value")
 
 
-@query("st09_stream_dead_letters", "SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 50 = 0 THEN 'undecodable' ELSE 'missing event_type' END AS reason FROM events WHERE event_id % 50 = 0 OR event_type = 'error' OR event_type IS NULL")
+@query("st09_stream_dead_letters", "SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 50 = 0 THEN 'undecodable' ELSE 'missing event_type' END AS reason, true AS failure_time FROM events WHERE event_id % 50 = 0 OR event_type = 'error' OR event_type IS NULL")
 def _(spark, d):
-    return spark.read.parquet(lanes(spark, d)[1]).select("key", F.col("_reason").alias("reason"))
+    return spark.read.parquet(lanes(spark, d)[1]).select("key", F.col("_reason").alias("reason"), (F.col("_failed_at") <= F.current_timestamp()).alias("failure_time"))
 
 
 @query("st07_stream_append", "SELECT event_id, event_type, DATE '2024-01-02' AS _proc_date FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import currency as C
 from ..operators import history as H
 from ..operators import relational as R
+from ..sources import writers as W
 from . import marts as M
 from .model import behaviour, currency_of, customers, fx, products, sales, sql, table
 from .registry import query
@@ -143,8 +144,7 @@ def _(spark, d):
 
 @query("b01_customers_silver", sql("customers", "SELECT customer_id, customer_name, upper(country) AS country, region, lower(segment) AS segment, balance FROM customers"))
 def _(spark, d):
-    c = customers(spark, d)
-    return M.checked_silver(c, M.customers_silver(c), "customer_id", 0.1)
+    return M.load_silver(customers(spark, d), M.customers_silver, W.work_path(spark, "customers-silver"), "customer_id", 0.1)
 
 
 @query("b02_behaviour_silver", sql("behaviour", "SELECT event_id, customer_id, event_type, amount, event_date, session_id FROM behaviour"))
@@ -345,9 +345,9 @@ report("q18_bad_amounts", "sales", " SELECT count(*) AS n, sum(CASE WHEN total_a
 report("q19_invalid_status", "sales", " SELECT status, count(*) AS n FROM sales WHERE status NOT IN ('F', 'O') GROUP BY status ")
 report("q20_table_spans", "sales behaviour", " SELECT 'sales' AS table_name, count(*) AS n, min(order_date) AS low, max(order_date) AS high FROM sales UNION ALL SELECT 'behaviour', count(*), min(event_date), max(event_date) FROM behaviour ")
 report("q21_last_week", "behaviour", " SELECT event_date, count(*) AS n FROM behaviour WHERE event_date >= DATE '2024-01-31' - INTERVAL 7 DAYS GROUP BY event_date ")
-report("q10_leads_by_status", "sales", " SELECT lower(priority) AS lead_status, count(*) AS n FROM sales GROUP BY lower(priority) ")
+report("q10_leads_by_status", "sales", " SELECT priority AS status, count(*) AS lead_count, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS percentage FROM sales GROUP BY priority ORDER BY lead_count DESC ")
 report("q17_duplicate_order_ids", "sales", " SELECT order_id, count(*) AS n FROM (SELECT order_id FROM sales UNION ALL SELECT order_id FROM sales WHERE product_id % 7 = 0) t GROUP BY order_id HAVING count(*) > 1 ")
-report("q23_status_with_revenue", "sales", " SELECT status, count(*) AS n, round(sum(total_amount), 2) AS revenue, round(avg(total_amount), 4) AS mean FROM sales GROUP BY status ")
+report("q23_status_with_revenue", "sales", " SELECT status, count(*) AS order_count, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS percentage, round(sum(total_amount), 2) AS total_revenue FROM sales WHERE total_amount IS NOT NULL GROUP BY status ORDER BY order_count DESC ")
 report("q24_currency_usage", "sales", " SELECT currency, count(*) AS orders, count(DISTINCT customer_id) AS customers FROM sales GROUP BY currency ")
 
 

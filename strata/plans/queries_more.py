@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import expr as X
+from ..functions import privacy as G
+from ..operators import currency as C
 from ..operators import history as H
 from ..operators import profiling as P
 from ..operators import quality as Q
@@ -69,14 +72,30 @@ def _(spark, d):
     return opportunities(spark, d)
 
 
-@query("d04_contact_dimension", "SELECT s_suppkey AS contact_id, CASE WHEN s_suppkey * 2 IN (SELECT c_custkey FROM customer) THEN s_suppkey * 2 ELSE -1 END AS account_key FROM supplier")
+def account_dim(spark, d):
+    """Accounts by the day they were created; all have one version here."""
+    return M.type2_dimension(accounts(spark, d), "account_id", "created_date", "account_key")
+
+
+def contact_dim(spark, d):
+    return M.type2_dimension(contacts(spark, d), "contact_id", "created_date", "contact_key")
+
+
+_ACCOUNT_KEY, _CONTACT_KEY = "sha256({0} || '||2024-01-01')", "sha256({0} || '||2024-02-03')"
+
+
+@query("d04_contact_dimension", f"SELECT s_suppkey AS contact_id, CASE WHEN s_suppkey * 2 IN (SELECT c_custkey FROM customer) THEN {_ACCOUNT_KEY.format('(s_suppkey * 2)')} ELSE '-1' END AS account_key FROM supplier")
 def _(spark, d):
-    return crm.contact_dimension(contacts(spark, d), accounts(spark, d)).select("contact_id", "account_key")
+    return crm.contact_dimension(contacts(spark, d), account_dim(spark, d)).select("contact_id", "account_key")
 
 
-@query("m03_fact_opportunity", "SELECT o_orderkey AS opportunity_id, o_custkey AS account_key, CASE WHEN o_orderkey % 1000 IN (SELECT s_suppkey FROM supplier) THEN o_orderkey % 1000 ELSE -1 END AS contact_key, o_totalprice AS amount, year(o_orderdate) AS close_year, month(o_orderdate) AS close_month FROM orders")
+@query(
+    "m03_fact_opportunity",
+    f"SELECT o_orderkey AS opportunity_id, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN {_ACCOUNT_KEY.format('o_custkey')} ELSE '-1' END AS account_key, CASE WHEN o_orderkey % 1000 IN (SELECT s_suppkey FROM supplier) THEN {_CONTACT_KEY.format('(o_orderkey % 1000)')} ELSE '-1' END AS contact_key,"
+    " o_totalprice AS amount, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS close_date_key, year(o_orderdate) AS close_year, month(o_orderdate) AS close_month FROM orders",
+)
 def _(spark, d):
-    return crm.fact_opportunity(opportunities(spark, d), accounts(spark, d), contacts(spark, d)).select("opportunity_id", "account_key", "contact_key", "amount", "close_year", "close_month")
+    return crm.fact_opportunity(opportunities(spark, d), account_dim(spark, d), contact_dim(spark, d)).select("opportunity_id", "account_key", "contact_key", "amount", "close_date_key", "close_year", "close_month")
 
 
 @query("p13_fx_projection", sql("fx", "SELECT rate_date, base_ccy, quote_ccy, rate, CAST(NULL AS VARCHAR) AS source FROM fx WHERE day(rate_date) <> 13"))
@@ -281,7 +300,10 @@ def _(spark, d):
 # --- quality --------------------------------------------------------------------------------------------------------
 
 
-@query("c03_schema_check", "SELECT 'o_orderdate' AS column_name, 'mismatched' AS fault FROM (SELECT count(*) FROM orders) UNION ALL SELECT 'o_comment', 'missing' FROM (SELECT count(*) FROM orders)")
+_WANTED = "(VALUES ('o_orderkey', 'BIGINT'), ('o_custkey', 'BIGINT'), ('o_orderstatus', 'VARCHAR'), ('o_totalprice', 'DOUBLE'), ('o_orderdate', 'VARCHAR'), ('o_orderpriority', 'VARCHAR'), ('o_comment', 'VARCHAR')) w(c, t)"
+
+
+@query("c03_schema_check", f"SELECT c AS column_name, CASE WHEN column_name IS NULL THEN 'missing' ELSE 'mismatched' END AS fault FROM {_WANTED} LEFT JOIN (DESCRIBE orders) s ON c = column_name WHERE column_type IS DISTINCT FROM t")
 def _(spark, d):
     o = table(spark, d, "orders")
     wanted = StructType([*[StructField(f.name, StringType() if f.name == "o_orderdate" else f.dataType) for f in o.schema], StructField("o_comment", StringType())])
@@ -332,3 +354,102 @@ def _(spark, d):
 @query("c19_outlier_counts", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a) AS is_outlier, count(*) AS n FROM lineitem, q GROUP BY 1")
 def _(spark, d):
     return P.outliers(table(spark, d, "lineitem"), "l_extendedprice").groupBy("is_outlier").agg(F.count("*").alias("n"))
+
+
+# --- dimensions whose attributes change ---------------------------------------------------------------------------
+
+_CHANGED = (
+    "s AS (SELECT {key} AS {id}, {start} AS start, {value} AS {name} FROM {source} GROUP BY 1, 2), m AS (SELECT *, row_number() OVER w AS n, lag({name}) OVER w AS before FROM s WINDOW w AS (PARTITION BY {id} ORDER BY start)),"
+    " c AS (SELECT * FROM m WHERE n = 1 OR {name} IS DISTINCT FROM before) SELECT {id}, sha256({id} || '||' || strftime(start, '%Y-%m-%d')) AS {key_name}, {name}, start AS effective_from, lead(start) OVER (PARTITION BY {id} ORDER BY start)::DATE AS effective_to, lead(start) OVER (PARTITION BY {id} ORDER BY start) IS NULL AS is_current FROM c"
+)
+
+
+def changing(df, key, start, key_name, name):
+    """Versions of one tracked attribute; the open end shows as NULL."""
+    out = M.type2_dimension(df, key, start, key_name, tracked=[name])
+    return out.select(key, key_name, name, "effective_from", F.when(~F.col("is_current"), F.to_date("effective_to")).alias("effective_to"), "is_current")
+
+
+@query("d02_product_versions_on_change", sql("sales", ", " + _CHANGED.format(key="product_id", id="product_id", start="order_date", value="max(CASE WHEN quantity > 100 THEN 'bulk' ELSE 'retail' END)", name="demand", source="sales WHERE product_id IS NOT NULL", key_name="product_key")))
+def _(spark, d):
+    """A version of a product wherever the size of its orders changes class."""
+    seen = sales(spark, d).where("product_id is not null").groupBy("product_id", "order_date").agg(F.max(F.when(F.col("quantity") > 100, "bulk").otherwise("retail")).alias("demand"))
+    return changing(seen, "product_id", "order_date", "product_key", "demand")
+
+
+@query("d03_account_versions_on_change", sql("sales", ", " + _CHANGED.format(key="customer_id", id="account_id", start="order_date", value="max(priority)", name="service", source="sales", key_name="account_key")))
+def _(spark, d):
+    """A version of an account wherever the priority of its orders changes."""
+    seen = sales(spark, d).groupBy(F.col("customer_id").alias("account_id"), "order_date").agg(F.max("priority").alias("service"))
+    return changing(seen, "account_id", "order_date", "account_key", "service")
+
+
+@query("d04_contact_versions_on_change", "WITH " + _CHANGED.format(key="l_suppkey", id="contact_id", start="date_trunc('month', l_shipdate)::DATE", value="CASE WHEN max(l_quantity) > 45 THEN NULL ELSE max(l_returnflag) END", name="standing", source="lineitem", key_name="contact_key"))
+def _(spark, d):
+    """A version of a contact wherever its months change standing, which may be NULL."""
+    month = F.trunc("l_shipdate", "month")
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("contact_id"), month.alias("start")).agg(F.when(F.max("l_quantity") <= 45, F.max("l_returnflag")).alias("standing"))
+    return changing(seen, "contact_id", "start", "contact_key", "standing")
+
+
+@query("d08_type1_with_defaults", "SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 4 = 0 OR c_mktsegment = 'BUILDING' THEN 'unknown' ELSE lower(c_mktsegment) END AS segment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS balance FROM customer")
+def _(spark, d):
+    """Attributes that are missing, blank or below zero get their defaults."""
+    c = table(spark, d, "customer")
+    raw = F.when(F.col("c_custkey") % 4 == 0, None).when(F.col("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment"))
+    return c.select(F.col("c_custkey").alias("customer_id"), X.filled(F.lower(F.trim(raw)), "unknown").alias("segment"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("balance"))
+
+
+# --- faults that are there ----------------------------------------------------------------------------------------
+
+
+@query(
+    "h04_planted_history_faults",
+    sql("sales", ", s AS (SELECT DISTINCT customer_id, order_date FROM sales), h AS (SELECT customer_id, order_date, lead(order_date) OVER (PARTITION BY customer_id ORDER BY order_date) AS until, row_number() OVER (PARTITION BY customer_id ORDER BY order_date) AS n FROM s),"
+        " p AS (SELECT CASE WHEN customer_id % 97 = 5 THEN NULL ELSE customer_id END AS k, order_date AS a, CASE WHEN customer_id % 10 = 3 AND n = 1 AND until IS NOT NULL THEN until + 1 WHEN customer_id % 10 = 4 AND n = 1 AND until IS NOT NULL THEN order_date - 1 ELSE until END AS b, until IS NULL AND customer_id % 10 <> 6 OR customer_id % 10 = 7 AS current FROM h),"
+        " q AS (SELECT *, coalesce(b, DATE '9999-12-31') AS e, lead(a) OVER (PARTITION BY k ORDER BY a, b NULLS LAST) AS next FROM p), r AS (SELECT k, count(*) FILTER (current) AS c, count(*) FILTER (next < e) AS o, count(*) FILTER (e < a) AS i, count(*) FILTER (current AND b IS NOT NULL) AS cc FROM q GROUP BY k)"
+        " SELECT count(*) FILTER (c <> 1) AS keys_without_one_current, sum(cc)::BIGINT AS closed_current, sum(o)::BIGINT AS overlaps, sum(i)::BIGINT AS inverted, count(*) FILTER (k IS NULL) AS null_keys FROM r"),
+)
+def _(spark, d):
+    """All customers' order days as versions, with overlaps, inverted ends, missing and doubled current flags and NULL keys."""
+    k = F.col("customer_id")
+    w = Window.partitionBy("customer_id").orderBy("order_date")
+    h = sales(spark, d).select("customer_id", "order_date").distinct().withColumns({"until": F.lead("order_date").over(w), "n": F.row_number().over(w)})
+    first = (F.col("n") == 1) & F.col("until").isNotNull()
+    planted = h.select(
+        F.when(k % 97 != 5, k).alias("customer_id"), F.col("order_date").alias("effective_from"), F.when((k % 10 == 3) & first, F.date_add("until", 1)).when((k % 10 == 4) & first, F.date_sub("order_date", 1)).otherwise(F.col("until")).alias("effective_to"),
+        ((F.col("until").isNull() & (k % 10 != 6)) | (k % 10 == 7)).alias("is_current"),
+    )
+    return H.history_faults(planted, ["customer_id"])
+
+
+@query(
+    "x04_planted_rate_faults",
+    sql("fx", ", p AS (SELECT rate_date, CASE WHEN day(rate_date) = 7 THEN NULL ELSE base_ccy END AS base_ccy, quote_ccy, CASE WHEN day(rate_date) = 8 THEN -rate WHEN day(rate_date) = 9 THEN NULL ELSE rate END AS rate FROM fx UNION ALL SELECT rate_date, base_ccy, quote_ccy, rate FROM fx WHERE day(rate_date) = 10),"
+        " g AS (SELECT count(*) AS n, count(*) FILTER (rate IS NULL OR rate <= 0) AS bad, rate_date IS NULL OR base_ccy IS NULL OR quote_ccy IS NULL AS no_key FROM p GROUP BY rate_date, base_ccy, quote_ccy)"
+        " SELECT coalesce(sum(n) FILTER (no_key), 0)::BIGINT AS null_keys, coalesce(sum(bad), 0)::BIGINT AS bad_rates, count(*) FILTER (n > 1) AS repeated_keys FROM g"),
+)
+def _(spark, d):
+    """All rates, some without a currency, below zero, missing or twice."""
+    f, day = fx(spark, d), F.dayofmonth("rate_date")
+    planted = f.select("rate_date", F.when(day != 7, F.col("base_ccy")).alias("base_ccy"), "quote_ccy", F.when(day == 8, -F.col("rate")).when(day != 9, F.col("rate")).alias("rate"))
+    return C.rate_faults(planted.unionByName(f.where(day == 10).select(*planted.columns)))
+
+
+@query(
+    "c13_accuracy_and_timeliness",
+    "WITH t AS (SELECT count(*) AS n, count(*) FILTER (value < 10) AS low, count(*) FILTER (value > 90) AS high, count(*) FILTER (NOT regexp_matches(event_type, '^(view|click)$')) AS pattern, count(*) FILTER (ts < TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR) AS late FROM events)"
+    " SELECT dimension, name, violations, n AS total, round((n - violations) / n::DOUBLE, 6) AS score FROM (SELECT 'accuracy' AS dimension, 'range:value' AS name, low + high AS violations, n FROM t UNION ALL SELECT 'accuracy', 'below:value', low, n FROM t UNION ALL SELECT 'accuracy', 'above:value', high, n FROM t"
+    " UNION ALL SELECT 'accuracy', 'pattern:event_type', pattern, n FROM t UNION ALL SELECT 'timeliness', 'ts:72h', late, n FROM t)",
+)
+def _(spark, d):
+    rules = [Q.Rule("range", "value", low=10, high=90), Q.Rule("pattern", "event_type", text="^(view|click)$")]
+    out = Q.accuracy_and_timeliness(table(spark, d, "events"), rules, "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), 72)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("g04_card_masking", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '****' ELSE '****-****-****-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS card FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey")
+    card = F.when(k % 9 == 0, F.lit("1234")).otherwise(F.concat(F.lit("4000 1234-5678 "), F.lpad((k % 10000).cast("string"), 4, "0")))
+    return G.masked(table(spark, d, "customer").select("c_custkey", card.alias("card")), {"card": "card"})

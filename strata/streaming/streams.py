@@ -55,12 +55,13 @@ def deduplicated(df: DataFrame, keys: Sequence[str], event_time: str, delay: str
 
 
 def write_lanes(df: DataFrame, required: Sequence[str], valid_path: str, dead_path: str, checkpoint: str, processing_date: Column, interval: str | None = None) -> StreamingQuery:
-    """Both lanes from one read. Each batch overwrites its own slice, so a replayed batch adds nothing."""
+    """Both lanes from one read. Each batch overwrites its own slice, so a replayed batch adds nothing. Dead letters carry the
+    reason and the time at which their batch found them."""
 
     def both(batch: DataFrame, number: int) -> None:
         batch = batch.withColumns({"_batch": F.lit(number), "_proc_date": processing_date}).persist()
         bad = invalid(required)
-        lanes = ((batch.where(~bad).drop("_raw", "_undecodable"), valid_path), (batch.where(bad).withColumn("_reason", reason(required)).select("key", "topic", "partition", "offset", "timestamp", "_raw", "_reason", "_batch", "_proc_date"), dead_path))
+        lanes = ((batch.where(~bad).drop("_raw", "_undecodable"), valid_path), (batch.where(bad).withColumns({"_reason": reason(required), "_failed_at": F.current_timestamp()}).select("key", "topic", "partition", "offset", "timestamp", "_raw", "_reason", "_failed_at", "_batch", "_proc_date"), dead_path))
         for rows, path in lanes:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_proc_date", "_batch").parquet(path)
         batch.unpersist()

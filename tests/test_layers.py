@@ -163,6 +163,16 @@ def test_a_load_counts_in_the_job_that_writes(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").columns == ["id", "v"]
 
 
+def test_silver_loads_are_checked_before_the_target_changes(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    first = M.load_silver(df, lambda x: x.where("id < 3"), f"{tmp_path}/s", "id", 0.5)
+    assert first.count() == 2
+    for source, keep, words in ((df, "id = 1", "dropped"), (df.where("id > 9"), "true", "are left"), (df.withColumn("id", F.when(F.col("id") > 1, F.col("id"))), "true", "no key")):
+        with pytest.raises(ValueError, match=words):
+            M.load_silver(source, lambda x, keep=keep: x.where(keep), f"{tmp_path}/s", "id", 0.5)
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 2
+
+
 # --- merges -------------------------------------------------------------------------------------------------------
 
 
@@ -276,6 +286,33 @@ def test_member_that_was_valid_then(spark):
     assert got == {(1, "2023-12-31"): "-1", (1, "2024-01-31"): "v1", (1, "2024-02-01"): "v2", (2, "2024-01-09"): "w1", (2, "2024-01-10"): "-1", (3, "2024-01-01"): "-1"}
 
 
+def test_dimension_grows_with_changes_alone(spark):
+    rows = [(1, d, v) for d, v in (("2024-01-01", "a"), ("2024-01-02", "a"), ("2024-01-03", None), ("2024-01-04", None), ("2024-01-05", "a"))] + [(2, "2024-01-01", None), (2, "2024-01-09", None)]
+    df = spark.createDataFrame(rows, "id int, d string, v string").withColumn("d", F.to_date("d"))
+    got = [(r["id"], str(r["effective_from"]), r["v"], r["is_current"]) for r in M.type2_dimension(df, "id", "d", "sk", tracked=["v"]).orderBy("id", "effective_from").collect()]
+    assert got == [(1, "2024-01-01", "a", False), (1, "2024-01-03", None, False), (1, "2024-01-05", "a", True), (2, "2024-01-01", None, True)]
+    assert M.type2_dimension(df, "id", "d", "sk").count() == 7
+
+
+def test_accuracy_of_nothing_and_of_text_times(spark):
+    from strata.operators import quality as Q
+
+    df = spark.createDataFrame([(5.0, "2024-01-02 00:00:00"), (None, "no time"), (50.0, None)], "v double, t string")
+    rules, now = [Q.Rule("range", "v", low=1, high=9)], F.lit("2024-01-02 12:00:00").cast("timestamp")
+    got = {r["name"]: (r["violations"], round(r["score"], 4)) for r in Q.accuracy_and_timeliness(df, rules, "t", now, 24).collect()}
+    assert got == {"range:v": (1, 0.6667), "below:v": (0, 1.0), "above:v": (1, 0.6667), "t:24h": (2, 0.3333)}
+    assert {r["score"] for r in Q.accuracy_and_timeliness(df.where("false"), rules, "t", now, 24).collect()} == {0.0}
+    with pytest.raises(ValueError, match="no rule of accuracy"):
+        Q.accuracy_and_timeliness(df, [Q.Rule("unique", "v")], "t", now)
+
+
+def test_kafka_source_says_what_it_needs(spark):
+    from strata.streaming import streams as T
+
+    with pytest.raises(Exception, match="kafka"):
+        T.kafka_stream(spark, "localhost:9092", "orders", rate=10)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
 def test_spread_join_equals_the_plain_one(spark, how):
     fact = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 97 == 0, None).otherwise(F.col("id") % 500 + 100).cast("int").alias("k"), F.col("id").alias("v"))
