@@ -351,6 +351,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") >= len(rows)
 
 
+def test_warc_of_repeated_rows_hot_payloads_and_a_folder_without_scheme(spark, tmp_path):
+    """Every record has an id of its own, one payload may be a third of all rows, and a plain folder is Spark's own."""
+    hot = "<p>hot</p>" * 30
+    rows = [(i, f"http://h/{i}", hot if i % 3 == 0 else f"{i % 40}" * 100) for i in range(300)] + [(7, "http://h/7", "7" * 100)] * 3 + [(None, "n", hot), (None, "n", "short"), (None, "n", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert warc.qualified(spark, str(tmp_path)).startswith("file:/")
+    index = warc.write_archives(pages, f"{tmp_path}/w")
+    assert index.where("archive not like 'file:/%'").isEmpty() and index.count() == len(rows)
+    least = {}
+    for i, _, html in rows:
+        if i is not None:
+            least[html] = min(i, least.get(html, i))
+    want = Counter((i, None if len(h) < 100 or least[h] == i else least[h], hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    assert Counter((r["page_id"], r["refers_to"], r["payload_digest"]) for r in warc.read_records(index).collect()) == want
+    import gzip
+
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").iterdir() if f.suffix == ".gz")
+    ids = re.findall(rb"WARC-Record-ID: (<urn:uuid:[-0-9a-f]{36}>)\r\n", whole)
+    assert len(ids) == len(set(ids)) == whole.count(b"WARC/1.1\r\n") and b"WARC-Refers-To-Target-URI: http://h/0\r\n" in whole
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------
 
 
