@@ -26,7 +26,7 @@ context's, so the probabilities after any context sum to 1 at most.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,18 +154,31 @@ def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.nd
 
 
 class Filter:
-    """The broadcast filter: all segments in one array."""
+    """Segments of some buckets in one array; what it holds in memory follows the segments, not the number of buckets."""
 
     def __init__(self, buckets: int, segments: dict[int, bytes]):
         self.shift = U(64 - buckets.bit_length() + 1)
-        sizes = np.array([len(segments.get(b, b"")) for b in range(buckets)], np.int64)
+        self.dense = 2 * len(segments) >= buckets
+        self.numbers = np.arange(buckets) if self.dense else np.array(sorted(segments), np.int64)
+        held = [segments.get(b, b"") for b in self.numbers.tolist()]
+        sizes = np.array([*map(len, held), 0], np.int64)  # one more, without bits, for buckets that are not here
         self.bits = (sizes * 8).astype(U)
         self.start = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(U)
-        self.all = bool((sizes > 0).all())
-        self.data = np.frombuffer(b"".join(segments.get(b, b"") for b in range(buckets)), np.uint8)
+        self.all = self.dense and bool((sizes[:-1] > 0).all())
+        self.data = np.frombuffer(b"".join(held), np.uint8)
+
+    def segment_of(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key's segment stands in the arrays."""
+        bucket = (keys >> self.shift).astype(np.int64)
+        if self.dense:
+            return bucket
+        at = np.searchsorted(self.numbers, bucket)
+        here = at < len(self.numbers)
+        here[here] = self.numbers[at[here]] == bucket[here]
+        return np.where(here, at, len(self.numbers))
 
     def holds(self, keys: np.ndarray, bucket: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether each (key, level) seems to be a member."""
+        """Whether each (key, level) seems to be a member of its segment."""
         alive = np.arange(len(keys)) if self.all else np.flatnonzero(self.bits[bucket] > 0)
         h, step = hashed(keys[alive], q[alive])
         bits, start = self.bits[bucket[alive]], self.start[bucket[alive]]
@@ -186,7 +199,7 @@ class Filter:
     def _counts(self, keys: np.ndarray) -> np.ndarray:
         """Levels 1, 2, 4, ... until one fails, then by halves."""
         low, high = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
-        bucket = (keys >> self.shift).astype(np.int64)
+        bucket = self.segment_of(keys)
         alive = np.arange(len(keys))
         while len(alive):
             alive = alive[self.holds(keys[alive], bucket[alive], high[alive])]
@@ -201,6 +214,49 @@ class Filter:
         return count_of(low)
 
 
+#: Bits of a segment at least: where the bound leaves less for each bucket, one bucket in several has a segment.
+LEAST_SEGMENT = 1 << 10
+
+
+def segment_bits(number: int, buckets: int, max_bits: int) -> int:
+    """Bits that the bound leaves for a bucket's segment: of at most max_bits / LEAST_SEGMENT buckets it is not 0."""
+    least = min(LEAST_SEGMENT, max_bits)
+    every = 1
+    while max_bits * every < least * buckets:
+        every *= 2
+    return max_bits * every // buckets if number % every == 0 else 0
+
+
+def summed(summaries: DataFrame, which: int, size: int) -> np.ndarray:
+    """The sum over all buckets of one array of their summaries: tasks add their own, an aggregate the rest, and ``size``
+    rows reach the driver however many buckets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for body in batch.column(0):
+                total += unpack(body.as_py())[which]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    rows = summaries.select("body").mapInArrow(run, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total"))
+    out = np.zeros(size)
+    for r in rows.collect():
+        out[r["pos"]] = r["total"]
+    return out
+
+
+def segments_of(summaries: DataFrame) -> dict[int, bytes]:
+    """The segments that hold something: max_bits in all, at most max_bits / LEAST_SEGMENT of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(b, unpack(body)[0].tobytes()) for b, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            kept = [(b, bits) for b, bits in found if bits]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], ["bucket", "bits"])
+
+    return {r["bucket"]: bytes(r["bits"]) for r in summaries.select(F.col("bucket").cast("long"), "body").mapInArrow(run, "bucket long, bits binary").collect()}
+
+
 def _word_counts(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     total = bucket.per_key(np.add, 0)[bucket.group()]
     return total != bucket.values[0], [total]
@@ -237,8 +293,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         return [np.array([(total > 0).sum(), total.sum()], np.int64)]
 
     words = materialize(answered(keyed(chunks, word_ways, lambda c: local_words(c, tokens_of(c))[:2]), chunks, word_buckets, word_ways, _word_counts, word_summary), "word-counts")
-    told = [unpack(r["body"])[0] for r in words.where(F.col("chunk") == SUMMARY).select("body").collect()]  # two numbers a bucket
-    distinct, total = (int(sum(t[k] for t in told)) for k in (0, 1))
+    distinct, total = (int(x) for x in summed(words.where(F.col("chunk") == SUMMARY), 0, 2))
     word_answers = words.where(F.col("chunk") != SUMMARY)
 
     def token_counts(chunk: Chunk, seq: Sequences, got: dict) -> np.ndarray:
@@ -274,7 +329,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
         """Training counts of a bucket's grams, and its segment."""
         if not hasattr(bucket, "settled"):
             counts = np.add.reduceat(bucket.values[0].astype(np.int64), bucket.starts)
-            bucket.settled = counts, segment(bucket.keys, counts, max_bits // gram_buckets)[0]
+            bucket.settled = counts, segment(bucket.keys, counts, segment_bits(bucket.number, gram_buckets, max_bits))[0]
         return bucket.settled
 
     def corrections(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -294,13 +349,13 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     built = materialize(answered(rejoin(chunks, word_answers, grams, _KEYED), chunks, gram_buckets, gram_ways, corrections, build), "gram-filter")
     gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
-    parts_ = {r["bucket"]: unpack(r["body"]) for r in built.where(F.col("chunk") == SUMMARY).collect()}  # max_bits at most, and a few sums for each bucket
-    sums = sum((p[1] for p in parts_.values()), np.zeros(4 + 4 * CLASSES))
+    summaries = built.where(F.col("chunk") == SUMMARY)
+    sums = summed(summaries, 1, 4 + 4 * CLASSES)
     off2, off3 = (float(once / (once + 2 * twice)) if once else 0.0 for once, twice in (sums[:2], sums[2:4]))
     sums = sums[4:].reshape(4, CLASSES)
     # weight of seen grams: what the discounts leave of their counts, by class of the context's last word
     seen2, seen3 = (np.clip(1 - np.divide(off * number, mass, out=np.ones(CLASSES), where=mass > 0), 0, 0.999) for off, mass, number in ((off2, sums[0], sums[1]), (off3, sums[2], sums[3])))
-    shared = spark.sparkContext.broadcast((gram_buckets, {b: p[0].tobytes() for b, p in parts_.items()}))
+    shared = spark.sparkContext.broadcast((gram_buckets, segments_of(summaries)))
     floor = ALPHA / (total + ALPHA * (distinct + 1)) if total else 1.0
 
     def finish(chunk: Chunk, got: dict) -> pa.Table:

@@ -249,6 +249,30 @@ def test_bloom_filter_reads_counts_back():
     assert len(small) * 8 <= (1 << 16) + 64 and raised > 2
 
 
+def test_what_the_driver_gets_of_the_language_model_does_not_follow_the_buckets(spark, monkeypatch):
+    """4,096 buckets: sums reach the driver as one row a place, segments within the bound, and sparse filters answer alike."""
+    from strata.llm.chunks import pack
+
+    collected = []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: collected.append(f(self)) or collected[-1])
+    bits = {b: lm.segment_bits(b, 4096, 1 << 16) for b in range(4096)}
+    assert sum(v > 0 for v in bits.values()) == 64 and sum(bits.values()) <= 1 << 16 and min(v for v in bits.values() if v) == 1024
+    assert lm.segment_bits(3, 8, 1 << 20) == 1 << 17
+    rows = [(b, pack(np.full(2 if bits[b] else 0, b % 7 + 1, np.uint8), np.array([1.0, b]))) for b in range(4096)]
+    df = spark.createDataFrame(rows, "bucket int, body binary").repartition(7)
+    assert lm.summed(df, 1, 2).tolist() == [4096.0, sum(range(4096))] and lm.summed(df.where("false"), 1, 2).tolist() == [0.0, 0.0]
+    held = lm.segments_of(df)
+    assert {b: len(x) for b, x in held.items()} == {b: 2 for b, v in bits.items() if v}
+    assert sum(len(c) for c in collected) <= 2 + 64
+    rng = np.random.default_rng(2)
+    keys, counts = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)), 5
+    some = {b: lm.segment(keys[(keys >> np.uint64(60)) == b], np.full(((keys >> np.uint64(60)) == b).sum(), counts), 1 << 16)[0].tobytes() for b in (2, 9)}
+    got = lm.Filter(16, some).counts(keys)
+    inside = np.isin((keys >> np.uint64(60)).astype(int), (2, 9))
+    assert (got[~inside] == 0).all() and (got[inside] >= 5).all()
+
+
 def test_lm_scores_do_not_depend_on_the_filters_bound(docs):
     whole, least = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_documents(docs, **more).collect()} for more in ({}, {"max_bits": 1 << 9}))
     assert whole == pytest.approx(least, rel=1e-12)
