@@ -172,6 +172,8 @@ class Filter:
         bucket = (keys >> self.shift).astype(np.int64)
         if self.dense:
             return bucket
+        if len(self.numbers) == 1:
+            return (bucket != self.numbers[0]).astype(np.int64)
         at = np.searchsorted(self.numbers, bucket)
         here = at < len(self.numbers)
         here[here] = self.numbers[at[here]] == bucket[here]
@@ -349,7 +351,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[int], bool] = tenth, id
 
     built = materialize(answered(rejoin(chunks, word_answers, grams, _KEYED), chunks, gram_buckets, gram_ways, corrections, build), "gram-filter")
     gram_answers = built.where(F.col("chunk") != SUMMARY).withColumn("bucket", F.col("bucket") + word_buckets)
-    summaries = built.where(F.col("chunk") == SUMMARY)
+    summaries = materialize(built.where(F.col("chunk") == SUMMARY).select("bucket", "body"), "gram-summaries")  # small, read twice
     sums = summed(summaries, 1, 4 + 4 * CLASSES)
     off2, off3 = (float(once / (once + 2 * twice)) if once else 0.0 for once, twice in (sums[:2], sums[2:4]))
     sums = sums[4:].reshape(4, CLASSES)
