@@ -7,12 +7,14 @@ per worker, and ids are gathered per document.
 Packing. Pieces are range-sorted by falling length and ranked within their length
 class by a distributed scan. From then on the state is two written tables: runs of
 unplaced pieces (length, ranks) and runs of sequences with equal gaps (gap, first
-sequence, number). A round range-sorts both together by size and sweeps the ranges
-side by side: walking up the sizes, every gap takes the longest piece below it that
-no smaller gap has taken (as often as that length fits), so each piece gets its
-successor gap and the ranks settle which piece goes to which sequence of a run.
-What a range leaves open meets in a sweep over the ranges' leftovers, the gaps
-shrink, and rounds go on until no piece is open. Pieces come in slabs of falling
+sequence, number). A round cuts both by size into ranges of equally many pieces,
+deals the sequences that are still empty over all ranges (but in the last slab), and sweeps the ranges side
+by side: walking up the sizes, every gap takes the longest piece below it that no
+smaller gap has taken (as often as that length fits), so each piece gets its successor
+gap and the ranks settle which piece goes to which sequence of a run. What a range
+leaves open meets its neighbour's leftovers, pair by pair, in as many steps as the
+ranges' number has bits (together they match as one sweep over everything would); the
+gaps shrink, and rounds go on until no piece is open. Pieces come in slabs of falling
 length, so that long ones choose first; as many sequences as all ids need are open
 from the start, and more are opened where a round places nothing. Runs are bounded
 by the sequence length, never by the data.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -46,10 +48,14 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def quick_encoder(path: str):  # noqa: ANN201
-    """A faster encoder over the same vocabulary and merges, or None where ids do not follow the order of merges."""
+    """A faster encoder over the same vocabulary and merges, or None where the file splits texts in another way or ids do
+    not follow the order of merges."""
     import tiktoken
 
-    model = json.loads(Path(path).read_text())["model"]
+    file = json.loads(Path(path).read_text())
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or file.get("normalizer"):
+        return None
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
     made = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
@@ -228,11 +234,12 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 
 #: Runs of pieces (kind PIECES: ``low`` to ``high`` are ranks), of sequences (GAPS, or SHRUNK in this round), and placements
-#: (PLACED): ranks low to high go to sequences from ``first`` on, ``per`` to each, from ``offset`` on.
-_RUNS = "kind int, size long, low long, high long, per long, first long, number long, offset long"
+#: (PLACED): ranks low to high go to sequences from ``first`` on, ``per`` to each, from ``offset`` on. ``bin`` is a run's
+#: range; ``step`` of a placement says after how many meetings of neighbours it was made.
+_RUNS = "kind int, size long, low long, high long, per long, first long, number long, offset long, bin int, step int"
 PIECES, GAPS, SHRUNK, PLACED = range(4)
-#: Ranges of a sweep, and the most rows of a plan that are broadcast.
-RANGES, PLAN_ROWS = 8, 1_000_000
+#: The most ranges of a sweep (a power of two), and the most rows of a plan that are broadcast.
+RANGES, PLAN_ROWS = 64, 1_000_000
 
 
 def sweep(rows: list[dict], length: int) -> list[dict]:
@@ -261,56 +268,102 @@ def sweep(rows: list[dict], length: int) -> list[dict]:
     return out + waiting
 
 
-def one_round(runs: DataFrame, length: int) -> DataFrame:
-    """Sweeps of all ranges, then one over what they leave; written, as the next round starts from it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        done = [r for r in rows if r["kind"] in (SHRUNK, PLACED)]
-        found = done + sweep([r for r in rows if r["kind"] in (PIECES, GAPS)], length)
-        names, kinds = [x.split()[0] for x in _RUNS.split(", ")], [pa.int32(), *[pa.int64()] * 7]
-        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
-
-    order = ["size", "kind", "low", "first"]
-    local = runs.repartitionByRange(RANGES, *order).sortWithinPartitions(*order).mapInArrow(run, _RUNS)
-    return materialize(local.repartition(1).sortWithinPartitions(*order).mapInArrow(run, _RUNS), "packing-round")
+def range_count(width: int) -> int:
+    """The largest power of two up to the session's width and RANGES."""
+    return 1 << (max(1, min(width, RANGES)).bit_length() - 1)
+
+
+def one_round(runs: DataFrame, length: int, bounds: list[int], dealt: int = 0) -> DataFrame:
+    """Sweeps of the ranges between ``bounds`` (one less than ranges), then of what neighbours leave open, two by two;
+    written, as the next round starts from it. Runs of empty sequences, ``dealt`` rows, are split over all ranges."""
+    ranges = len(bounds) + 1
+    names, kinds = [x.split()[0] for x in _RUNS.split(", ")], [pa.int32(), *[pa.int64()] * 7, pa.int32(), pa.int32()]
+
+    def swept(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, bins = [], {}
+            for row in (r for batch in batches for r in batch.to_pylist()):
+                if row["kind"] in (SHRUNK, PLACED):
+                    found.append(row)
+                else:
+                    bins.setdefault(row["bin"], []).append(row)
+            for number, rows in bins.items():
+                rows.sort(key=lambda r: (r["size"], r["kind"], r["low"] or 0, r["first"] or 0))
+                found += [r | {"bin": number, "step": step} for r in sweep(rows, length)]
+            for r in found:
+                r["bin"] >>= 1
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
+
+        return run
+
+    place = sum((F.when(F.col("size") > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
+    runs = runs.withColumn("bin", place)
+    if dealt:
+        # a run of empty sequences in as many parts as leave about one to a range; runs of few stay whole
+        share = max(1, ranges // dealt)
+        empty = (F.col("kind") == GAPS) & (F.col("size") == length)
+        part = F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("part")
+        edge = lambda k: F.expr(f"number * {k} div {share}")
+        begin, end = F.col("first") + edge("part"), F.col("first") + edge("(part + 1)")
+        own = F.pmod(F.col("part") * (ranges // share) + F.pmod(F.hash("first"), F.lit(max(1, ranges // share))), F.lit(ranges)).cast("int")
+        values = {"first": begin, "number": end - begin, "bin": own}
+        split = runs.where(empty).select("*", part).select(*[values.get(n, F.col(n)).alias(n) for n in names]).where("number > 0")
+        runs = runs.where(~empty).unionByName(split)
+    step = 0
+    while ranges:
+        runs = runs.repartition(ranges, "bin").mapInArrow(swept(step), _RUNS)
+        ranges, step = ranges // 2, step + 1
+    return materialize(runs, "packing-round")
 
 
 def best_fit(counts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The placements of pieces, given (length, count): rows (length, low, high, per, first, offset)."""
+    """The placements of pieces, given (length, count): rows (length, low, high, per, first, offset, step)."""
     spark = counts.sparkSession
+    ranges = range_count(spark.sparkContext.defaultParallelism)
     none = F.lit(None).cast("long")
-    row = lambda **known: [F.lit(known["kind"]).cast("int").alias("kind"), *[known.get(n, none).cast("long").alias(n) for n in ("size", "low", "high", "per", "first", "number", "offset")]]
+    row = lambda **known: [F.lit(known["kind"]).cast("int").alias("kind"), *[known.get(n, none).cast("long").alias(n) for n in ("size", "low", "high", "per", "first", "number", "offset")], F.lit(0).alias("bin"), F.lit(0).alias("step")]
     sequences = lambda first, number: spark.range(1).select(*row(kind=GAPS, size=F.lit(length), first=F.lit(first), number=F.lit(number)))
-    open_ = materialize(counts.select(*row(kind=PIECES, size=F.col("length"), low=F.lit(0), high=F.col("count"))), "packing-pieces")
-    ids = open_.agg(F.sum(F.col("size") * F.col("high"))).first()[0] or 0
-    opened = -(-ids // length)
-    gaps, placed = sequences(0, opened), []
+    # at most a row for each length; few files, as every slab reads them
+    open_ = materialize(counts.select(*row(kind=PIECES, size=F.col("length"), low=F.lit(0), high=F.col("count"))).repartition(ranges), "packing-pieces")
+    left, open_count = F.col("kind") == PIECES, F.col("high") - F.col("low")
+    # ranges of equally many open pieces; lengths are no more than ``length``, so this state is small
+    bounds_of = F.percentile("size", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.when(left, open_count).otherwise(0)).alias("bounds") if ranges > 1 else F.array().alias("bounds")
     slabs = [length, length // 2, length // 4, length // 8, 0]
-    for longest, shortest in zip(slabs, slabs[1:], strict=False):
+    slab = sum((F.when(F.col("size") <= s, 1).otherwise(0) for s in slabs[1:-1]), F.lit(0)).alias("slab")
+    begun = {r["slab"]: r for r in open_.groupBy(slab).agg(F.sum(F.col("size") * open_count).alias("ids"), bounds_of).collect()}
+    opened = -(-sum(r["ids"] for r in begun.values()) // length)
+    gaps, placed, empty = sequences(0, opened), [], 1
+    for k, (longest, shortest) in enumerate(zip(slabs, slabs[1:], strict=False)):
+        if k not in begun:
+            continue
+        bounds = [int(b) for b in begun[k]["bounds"]]
         runs = gaps.unionByName(open_.where((F.col("size") > shortest) & (F.col("size") <= longest)))
         while True:
-            runs = one_round(runs, length)
+            # the smallest pieces fill the gaps of others first, so nothing is dealt to them
+            runs = one_round(runs, length, bounds, empty if shortest else 0)
             placed.append(runs.where(F.col("kind") == PLACED))
-            left = F.col("kind") == PIECES
-            seen = runs.agg(F.count_if(F.col("kind") == PLACED).alias("placed"), F.sum(F.when(left, F.col("size") * (F.col("high") - F.col("low")))).alias("ids")).first()
-            gaps = runs.where(F.col("kind").isin(GAPS, SHRUNK)).withColumn("kind", F.lit(GAPS))
+            fresh = F.count_if((F.col("kind") == GAPS) & (F.col("size") == length)).alias("empty")
+            seen = runs.agg(F.count_if(F.col("kind") == PLACED).alias("placed"), F.sum(F.when(left, F.col("size") * open_count)).alias("ids"), fresh, bounds_of).first()
+            gaps, empty = runs.where(F.col("kind").isin(GAPS, SHRUNK)).withColumn("kind", F.lit(GAPS)), seen["empty"]
             if not seen["ids"]:
                 break
+            bounds = [int(b) for b in seen["bounds"]]
             runs = gaps.unionByName(runs.where(left))
             if not seen["placed"]:
                 more = -(-seen["ids"] // length)
-                runs, opened = runs.unionByName(sequences(opened, more)), opened + more
+                runs, opened, empty = runs.unionByName(sequences(opened, more)), opened + more, empty + 1
+    if not placed:
+        return open_.select(F.col("size").alias("length"), "low", "high", "per", "first", "offset", "step")
     plan = placed[0]
     for more in placed[1:]:
         plan = plan.unionByName(more)
-    return plan.select(F.col("size").alias("length"), "low", "high", "per", "first", "offset")
+    return plan.select(F.col("size").alias("length"), "low", "high", "per", "first", "offset", "step")
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; the input must be cheap to read twice."""
     placed = materialize(ranked(pieces), "ranks")
-    plan = materialize(best_fit(placed.groupBy("length").count(), length).coalesce(1), "packing-plan")
+    plan = materialize(best_fit(placed.groupBy("length").count(), length).drop("step").coalesce(1), "packing-plan")
     if plan.count() <= PLAN_ROWS:
         plan = F.broadcast(plan)
     rank = F.col("rank") - F.col("low")

@@ -171,7 +171,8 @@ def test_sweeps_of_ranges_agree_with_one(spark):
             rows.append({"kind": packing.GAPS, "size": size, "first": first, "number": rng.randrange(1, 60)})
             first += rows[-1]["number"]
     names = [x.split()[0] for x in packing._RUNS.split(", ")]
-    got = packing.one_round(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], packing._RUNS), 1024).collect()
+    runs = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], packing._RUNS)
+    got = packing.one_round(runs, 1024, [128 * k for k in range(1, 8)]).collect()
     expected = packing.sweep(sorted(rows, key=lambda r: (r["size"], r["kind"])), 1024)
 
     def placed(found):
@@ -180,6 +181,22 @@ def test_sweeps_of_ranges_agree_with_one(spark):
     assert placed([r.asDict() for r in got]) == placed(expected)
 
 
+def test_most_pieces_are_placed_inside_ranges(spark):
+    """Log-normal lengths: most pieces are placed inside their range, a fifth (of four ranges) in the last meeting, and hardly any
+    sequence more than best fit needs is used."""
+    rng = np.random.default_rng(9)
+    lengths = np.clip(rng.lognormal(5.2, 1.0, 200_000).astype(int), 1, 1024)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan = packing.best_fit(spark.createDataFrame(list(counts.items()), "length long, count long")).collect()
+    by_step = Counter()
+    for p in plan:
+        by_step[p["step"]] += p["high"] - p["low"]
+    assert sum(by_step.values()) == len(lengths)
+    used = len({p["first"] + k for p in plan for k in range(-(-(p["high"] - p["low"]) // p["per"]))})
+    assert used <= -(-int(lengths.sum()) // 1024) * 1.001 + 1
+    assert by_step[0] >= 0.5 * len(lengths) and by_step[max(by_step)] <= 0.25 * len(lengths), by_step
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
