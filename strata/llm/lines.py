@@ -27,7 +27,7 @@ from .settree import cluster_links
 from .shared import give_back, join_skewed, materialize
 from .textkit import LOWER, SPACE, Sequences, mix, span_hashes
 
-#: Characters of a shingle; lines of MIN_CHARS take part whatever ``min_chars`` says.
+#: Characters of a shingle; characters of a line that takes part, if nothing else is said.
 SHINGLE, MIN_CHARS = 5, 24
 NUM, DEN = 75, 100
 #: Bins of the signature, bands and rows: a pair at the threshold shares a band with probability 0.96, at 0.8 with 0.99.
@@ -37,7 +37,7 @@ GROUP = 1024
 #: Rows that share a task of comparisons when the groups of lines are small.
 BUNDLE = 8000
 U = np.uint64
-_FOUND = "chunk long, line long, body binary, clusters binary, sizes binary, most long, again boolean, first_doc long, first_no long"
+_FOUND = "chunk long, line long, body binary, clusters binary, sizes binary, most long, again boolean, first_doc long, first_no long, first_at long"
 
 
 def _inside(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -64,10 +64,12 @@ class Lines:
         self.number = np.arange(len(self.start)) - np.searchsorted(self.doc, self.doc)
         self.hash = span_hashes(self.data, self.start, np.maximum(self.start, self.end)) if len(self.start) else np.zeros(0, U)
         self.chars = self.end - self.start - _inside(np.flatnonzero((self.data & 0xC0) == 0x80), self.start, self.end)
-        self.eligible = self.chars >= max(min_chars, MIN_CHARS)
-        short = np.flatnonzero((self.chars >= min_chars) & ~self.eligible)
-        start, end = self.start[short], self.end[short]
-        self.eligible[short] = (self.chars[short] >= MIN_CHARS) | (_inside(np.flatnonzero(SPACE[self.data]), start, end) < end - start)
+        # a line of nothing but white space never takes part: only lines with such an end on either side can be one
+        self.eligible = (self.chars >= min_chars) & (self.end > self.start)
+        maybe = np.flatnonzero(self.eligible)
+        maybe = maybe[SPACE[self.data[self.start[maybe]]] & SPACE[self.data[self.end[maybe] - 1]]]
+        start, end = self.start[maybe], self.end[maybe]
+        self.eligible[maybe] = _inside(np.flatnonzero(SPACE[self.data]), start, end) < end - start if len(maybe) else False
         self.rows = np.flatnonzero(self.eligible)
 
     @cached_property
@@ -210,13 +212,14 @@ def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with near-repeated lines taken out of the texts, and columns ``_n_lines`` and ``_n_removed``.
 
-    Lines are what line feeds separate. Lines of at least min_chars characters (below
-    MIN_CHARS only if one is no space) link when they are equal (A-Z lower-cased) or
-    NUM/DEN or more of their character shingles agree; of each component the first in (doc_id, line number) stays. Kept lines are joined
-    by line feeds, so a document without removals is unchanged. Empty texts stay;
-    a null text becomes empty. A row without an id keeps its text and takes no part.
-    Rows repeating an id and text count as one first line each; later copies lose
-    theirs only if their (doc_id, line number) differs. Empty table: empty.
+    Lines are what line feeds separate. Lines of at least min_chars characters that are
+    not all white space link when they are equal (A-Z lower-cased) or NUM/DEN or more of
+    their character shingles agree; of each component the first in (doc_id, line number)
+    stays. Blank lines stay, however long. Kept lines are joined by line feeds, so a
+    document without removals is unchanged. Empty texts stay; a null text becomes empty.
+    A row without an id keeps its text and takes no part. Of rows that repeat an id, the
+    first by chunk and place there goes before the others, so that one copy of a line
+    stays. Empty table: empty.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col, "_n_lines", "_n_removed")]
     renamed = docs.select(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
@@ -258,6 +261,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array([lines.text(first[k]) if x.start < x.stop else None for k, x in zip(out, spans, strict=True)], pa.binary()),
                 pa.array([cluster[x].tobytes() for x in spans], pa.binary()), pa.array([size[x].tobytes() for x in spans], pa.binary()),
                 pa.array([int(size[x].max(initial=0)) for x in spans], pa.int64()), pa.array(np.isin(out, again)), pa.array(chunk.ids[lines.doc[rows]]), pa.array(lines.number[rows].astype(np.int64)),
+                pa.array(lines.doc[rows].astype(np.int64)),
             ],
             [x.split()[0] for x in _FOUND.split(", ")],
         )
@@ -269,12 +273,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(cluster_links(_clustered(near), seen["rows"], seen["most"], NUM, DEN, line_tokens, BUNDLE), "line-links")
     labels = materialize(connected_components(links), "line-labels")
     # the first of each line, then of each component, wherever there are several; hot components are met by broadcast
-    first = found.groupBy("line").agg(F.min(F.struct("first_doc", "first_no")).alias("first"), F.count("*").alias("n"), F.bool_or("again").alias("again"))
+    first = found.groupBy("line").agg(F.min(F.struct("first_doc", "first_no", "chunk", "first_at")).alias("first"), F.count("*").alias("n"), F.bool_or("again").alias("again"))
     first = first.join(labels, first["line"] == labels["node"], "left").where("again or n > 1 or component is not null")
     first = materialize(first.select("line", "first", "n", F.coalesce("component", "line").alias("component")), "first-lines")
     keepers = materialize(first.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("size")), "line-keepers")
     kept_of = materialize(join_skewed(first.select("line", "n", "component"), keepers, "component", "size"), "kept-lines")
-    decided = join_skewed(found.select("chunk", "line"), kept_of.select("line", "n", F.col("keep.first_doc").alias("keep_doc"), F.col("keep.first_no").alias("keep_no")), "line", "n")
+    decided = join_skewed(found.select("chunk", "line"), kept_of.select("line", "n", F.col("keep.first_no").alias("keep_no"), F.col("keep.chunk").alias("keep_chunk"), F.col("keep.first_at").alias("keep_at")), "line", "n")
     kinds = [docs.schema[c] for c in rest]
     schema = StructType([StructField("id", LongType()), docs.schema[text_col], *[StructField(f"c{k}", f.dataType) for k, f in enumerate(kinds)], StructField("_n_lines", LongType()), StructField("_n_removed", LongType())])
 
@@ -288,12 +292,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashes = told.column("line").to_numpy().view(U)
         order = np.argsort(hashes)
         hashes = hashes[order]
-        doc, number = told.column("keep_doc").to_numpy()[order], told.column("keep_no").to_numpy()[order]
+        number, home, place = (told.column(c).to_numpy()[order] for c in ("keep_no", "keep_chunk", "keep_at"))
         gone = np.zeros(len(lines.start), bool)
         if len(hashes):
             at = np.minimum(np.searchsorted(hashes, lines.hash), len(hashes) - 1)
             hit = lines.eligible & (hashes[at] == lines.hash)
-            gone = hit & ((chunk.ids[lines.doc] != doc[at]) | (lines.number != number[at]))
+            gone = hit & ((home[at] != chunk.number) | (lines.doc != place[at]) | (lines.number != number[at]))
         total = np.bincount(lines.doc, minlength=len(chunk))
         removed = np.bincount(lines.doc[gone], minlength=len(chunk))
         edges = np.searchsorted(lines.doc, np.arange(len(chunk) + 1))
