@@ -3,7 +3,8 @@
 Lines are compared by their sets of character shingles. A one-permutation MinHash
 over 64 bins gives each distinct line its signature, bands of the signature are
 looked up corpus-wide (``chunks``), and only lines that share a band with a
-different line, or occur again word for word, leave their chunk. Lines that share
+different line, or occur again word for word, leave their chunk (the text of a line
+that many chunks hold only that of the smallest number). Lines that share
 a band are compared by exact Jaccard (bands of the same lines once; large groups
 by ``settree``), union-find joins the links, and of each component the first line
 in the order of (doc_id, line number) stays. A band that many lines of a chunk
@@ -37,6 +38,8 @@ GROUP = 1024
 #: Rows that share a task of comparisons when the groups of lines are small.
 BUNDLE = 8000
 U = np.uint64
+#: What an answer is about: a band, a line that this chunk sends on for all, or one that another chunk sends.
+BAND, LEADS, FOLLOWS = range(3)
 _FOUND = "chunk long, line long, body binary, clusters binary, sizes binary, most long, again boolean, first_doc long, first_no long, first_at long"
 
 
@@ -197,7 +200,8 @@ def _keys(chunk: Chunk, min_chars: int) -> tuple[np.ndarray, ...]:
 
 def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     """Tell about bands of different lines and lines that occur again: the key, the mark of its line here, which of both
-    it is, a number that bands of the same lines share, and how many lines (at most) they have."""
+    it is (BAND, or for lines LEADS in the chunk of the smallest number and FOLLOWS in others), a number that bands of the
+    same lines share, and how many lines (at most) they have."""
     mark, span, count, own, weight = bucket.values
     starts = bucket.starts
     if not len(starts):
@@ -206,7 +210,9 @@ def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
     total = np.add.reduceat(count.astype(np.int64), starts)
     cluster = mix(np.add.reduceat(mix(mark.astype(U)) + weight, starts))
     group = bucket.group()
-    return np.where(own[starts].astype(bool), total > 1, differ)[group], [bucket.keys[group], mark, own, cluster[group], total[group]]
+    home = np.array(bucket.chunks, np.int64)[bucket.owner]
+    role = np.where(own == 0, BAND, np.where(home == np.minimum.reduceat(home, starts)[group], LEADS, FOLLOWS)).astype(np.uint8)
+    return np.where(own[starts].astype(bool), total > 1, differ)[group], [bucket.keys[group], mark, role, cluster[group], total[group]]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -231,18 +237,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines = Lines(chunk, min_chars)
         unique, first, inverse = lines.distinct
         shared_key, shared_line = got.pop(OWN, [np.zeros(0, U), np.zeros(0, np.uint32)])
-        key, mark, own, cluster, size = (np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, U), (2, U), (3, np.uint8), (4, U), (5, np.int64)))
+        key, mark, role, cluster, size = (np.concatenate([g[k] for g in got.values()] or [np.zeros(0, t)]).astype(t) for k, t in ((1, U), (2, U), (3, np.uint8), (4, U), (5, np.int64)))
         exact = _exact(unique)
         order = np.argsort(exact)
-        again = order[np.searchsorted(exact[order], key[own == 1])]
+        again, elsewhere = (order[np.searchsorted(exact[order], key[at])] for at in (role != BAND, role == FOLLOWS))
         # (line, cluster, size) of bands: of one line here, by its mark, or of several, which the chunk kept
-        key, mark, cluster, size = (x[own == 0] for x in (key, mark, cluster, size))
+        key, mark, cluster, size = (x[role == BAND] for x in (key, mark, cluster, size))
         many = np.isin(key, shared_key)
         marks = _marks(unique)
         by_mark = np.argsort(marks)
         near = [(by_mark[x], cluster[~many][y], size[~many][y]) for x, y in [_matches(marks[by_mark], mark[~many])]]
         near += [(shared_line[x], cluster[many][y], size[many][y]) for x, y in [_matches(shared_key, key[many])]]
         line, cluster, size = (np.concatenate([n[k] for n in near]) for k in range(3))
+        # a line of several chunks has the same bands in each: one of them sends it on
+        mine = ~np.isin(line, elsewhere)
+        line, cluster, size = line[mine], cluster[mine], size[mine]
         order = np.lexsort((cluster, line))
         line, cluster, size = line[order], cluster[order], size[order]
         new = np.ones(len(line), bool)
@@ -332,8 +341,9 @@ def _matches(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _clustered(near: DataFrame) -> DataFrame:
-    """(id, n, tokens, cluster, m): each distinct line once for every group of lines that share a band."""
-    sets = near.groupBy("line").agg(F.max(F.struct("body", "clusters", "sizes")).alias("s")).select("line", "s.*")
+    """(id, n, tokens, cluster, m): each distinct line once for every group of lines that share a band. A line has one row
+    in ``near``, from the chunk that sends it on."""
+    sets = near.select("line", "body", "clusters", "sizes")
 
     def explode(batches):  # noqa: ANN001, ANN202
         for batch in batches:
