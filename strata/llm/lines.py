@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .chunks import OWN, Bucket, Chunk, answered, bucket_count, chunk_from, corpus_bytes, keyed, make_chunks, rejoin, way_count
 from .components import connected_components
-from .settree import cluster_links
+from .settree import BLOCK, cluster_links
 from .shared import give_back, join_skewed, materialize
 from .textkit import LOWER, SPACE, Sequences, mix, span_hashes
 
@@ -147,11 +147,11 @@ def band_keys(lines: Lines) -> np.ndarray:
         signature = signature.reshape(len(part), BINS)
         signature = filled_bins(signature)
         with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                key = np.full(len(part), b + 1, U)
-                for r in range(ROWS):
-                    key = mix(key ^ signature[:, b * ROWS + r])
-                out[a : a + GROUP, b] = key
+            bands = signature[:, : BANDS * ROWS].reshape(len(part), BANDS, ROWS)
+            key = np.tile(np.arange(1, BANDS + 1, dtype=U), (len(part), 1))
+            for r in range(ROWS):
+                key = mix(key ^ bands[:, :, r])
+            out[a : a + GROUP] = key
     return out
 
 
@@ -208,7 +208,9 @@ def _wanted(bucket: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
         return np.zeros(0, bool), [np.zeros(0, t) for t in (U, np.uint32, np.uint8, U, np.int64)]
     differ = np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark + span, starts)
     total = np.add.reduceat(count.astype(np.int64), starts)
-    cluster = mix(np.add.reduceat(mix(mark.astype(U)) + weight, starts))
+    # the least mark leads the number, so that clusters that share their first line can share a task
+    lines = mix(np.add.reduceat(mix(mark.astype(U)) + weight, starts))
+    cluster = np.minimum.reduceat(mark, starts).astype(U) << U(32) | lines >> U(32)
     group = bucket.group()
     home = np.array(bucket.chunks, np.int64)[bucket.owner]
     role = np.where(own == 0, BAND, np.where(home == np.minimum.reduceat(home, starts)[group], LEADS, FOLLOWS)).astype(np.uint8)
@@ -279,7 +281,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(rejoin(chunks, answers, gather, _FOUND), "repeated-lines")
     near = found.where("body is not null")
     seen = near.agg(F.coalesce(F.sum(F.octet_length("clusters") / 8), F.lit(0)).cast("long").alias("rows"), F.max("most").alias("most")).first()
-    links = materialize(cluster_links(_clustered(near), seen["rows"], seen["most"], NUM, DEN, line_tokens, BUNDLE), "line-links")
+    links = materialize(cluster_links(_clustered(near), seen["rows"], seen["most"], NUM, DEN, line_tokens, BUNDLE, F.shiftrightunsigned("cluster", 32)), "line-links")
     labels = materialize(connected_components(links), "line-labels")
     # the first of each line, then of each component, wherever there are several; hot components are met by broadcast
     first = found.groupBy("line").agg(F.min(F.struct("first_doc", "first_no", "chunk", "first_at")).alias("first"), F.count("*").alias("n"), F.bool_or("again").alias("again"))
@@ -342,7 +344,7 @@ def _matches(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _clustered(near: DataFrame) -> DataFrame:
     """(id, n, tokens, cluster, m): each distinct line once for every group of lines that share a band. A line has one row
-    in ``near``, from the chunk that sends it on."""
+    in ``near``, from the chunk that sends it on. Clusters of one least mark share a task: the first of them has the text."""
     sets = near.select("line", "body", "clusters", "sizes")
 
     def explode(batches):  # noqa: ANN001, ANN202
@@ -351,8 +353,16 @@ def _clustered(near: DataFrame) -> DataFrame:
             sizes = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
             row = np.repeat(np.arange(batch.num_rows), [len(c) for c in clusters])
             none = np.zeros(0, np.int64)
+            cluster, size = np.concatenate([*clusters, none]), np.concatenate([*sizes, none])
+            few = np.flatnonzero((size > 1) & (size <= BLOCK))
+            home = cluster.view(U) >> U(32)
+            few = few[np.lexsort((home[few], row[few]))]
+            same = np.zeros(len(few), bool)
+            same[1:] = (row[few[1:]] == row[few[:-1]]) & (home[few[1:]] == home[few[:-1]])
+            spared = np.zeros(len(row), bool)
+            spared[few[same]] = True
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(np.zeros(len(row), np.int64)), batch.column(1).take(pa.array(row)), pa.array(np.concatenate([*clusters, none])), pa.array(np.concatenate([*sizes, none]))],
+                [batch.column(0).take(pa.array(row)), pa.array(np.zeros(len(row), np.int64)), batch.column(1).take(pa.array(row, mask=spared)), pa.array(cluster), pa.array(size)],
                 ["id", "n", "tokens", "cluster", "m"],
             )
 

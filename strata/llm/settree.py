@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -166,10 +166,12 @@ Decode = Callable[[list[bytes]], list[np.ndarray]]
 
 def _sets(table: pa.Table, decode: Decode) -> tuple[np.ndarray, Sets, np.ndarray]:
     """Ids of a task's distinct sets, the sets, and which of them each row is."""
-    ids, first, which = np.unique(table.column("id").to_numpy(), return_index=True, return_inverse=True)
-    table = table.take(pa.array(first))
+    every = table.column("id").to_numpy()
+    held = np.flatnonzero(table.column("tokens").is_valid().to_numpy())
+    ids, first = np.unique(every[held], return_index=True)
+    table = table.take(pa.array(held[first]))
     tokens = decode(table.column("tokens").to_pylist())
-    return ids, Sets(np.maximum(table.column("n").to_numpy(), np.array([len(t) for t in tokens], np.int64)), tokens), which
+    return ids, Sets(np.maximum(table.column("n").to_numpy(), np.array([len(t) for t in tokens], np.int64)), tokens), np.searchsorted(ids, every)
 
 
 def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
@@ -177,14 +179,15 @@ def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([int(ids[x]) for x, _ in found], pa.int64()), "b": pa.array([int(ids[y]) for _, y in found], pa.int64())})
 
 
-def cluster_links(held: DataFrame, rows: int, most: int | None, num: int = 75, den: int = 100, decode: Decode = stored_tokens, bundle: int = BUNDLE) -> DataFrame:
+def cluster_links(held: DataFrame, rows: int, most: int | None, num: int = 75, den: int = 100, decode: Decode = stored_tokens, bundle: int = BUNDLE, together: Column | None = None) -> DataFrame:
     """Links (a, b) that connect similar sets of one cluster.
 
     held: (id, n, tokens, cluster, m), a row for every set and cluster it is in, each
     once; m is the cluster's number of sets, or more; rows: about how many rows;
     most: the largest m. ``decode`` gives sets' sorted
     distinct 64-bit tokens, and n a set's size where that is larger (tokens no other
-    set has may be left out). Small clusters share tasks. A cluster of more than
+    set has may be left out). Small clusters share tasks, those of one value of
+    ``together`` always, and of their rows of a set one needs its tokens. A cluster of more than
     BLOCK sets is dealt over blocks of similar size of set: each is linked within,
     then one set per component found is linked across blocks, and lastly the sets
     outside the cluster's largest component, dealt over blocks of their own, meet
@@ -199,7 +202,7 @@ def cluster_links(held: DataFrame, rows: int, most: int | None, num: int = 75, d
         large = materialize(join_skewed(large.drop("m"), counts.withColumn("m", F.col("size")), "cluster", "size"), "large-sets")
         small = small.unionByName(large.where(F.col("m") <= BLOCK))
         large = large.where(F.col("m") > BLOCK)
-    small = small.withColumn("part", F.col("cluster")).withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(max(1, rows // bundle))))
+    small = small.withColumn("part", F.col("cluster")).withColumn("task", F.pmod(F.xxhash64(F.col("cluster") if together is None else together), F.lit(max(1, rows // bundle))))
 
     def within(table: pa.Table) -> pa.Table:
         ids, sets, which = _sets(table, decode)
