@@ -99,7 +99,29 @@ def type2_dimension(df: DataFrame, key: str, start: str, name: str, tracked: Seq
         state = F.struct(*[F.col(c) for c in tracked])
         once = once.withColumn("_before", F.lag(state).over(order)).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before")
     end = F.lead(start).over(order)
-    return once.withColumns({"effective_from": F.col(start), "effective_to": F.coalesce(end.cast("timestamp"), F.lit(OPEN_END).cast("timestamp")), "is_current": end.isNull(), name: surrogate_key(F.col(key), F.date_format(start, "yyyy-MM-dd"))}).drop(start)
+    timed = once.withColumns({"effective_from": F.col(start), "effective_to": F.coalesce(end.cast("timestamp"), F.lit(OPEN_END).cast("timestamp")), "is_current": end.isNull()})
+    return timed.withColumn(name, version_key(key, start)).drop(start)  # a step of its own: beside the window Spark hashes before the shuffle, 64 bytes a row
+
+
+def version_key(key: str, start: str) -> Column:
+    return surrogate_key(F.col(key), F.date_format(start, "yyyy-MM-dd"))
+
+
+def current_starts(df: DataFrame, key: str, start: str, name: str) -> DataFrame:
+    """When the current version of each member of ``type2_dimension`` began: one aggregate that combines before its
+    shuffle, as facts that ask for current versions only need no history. Rows without a key or a start are no version."""
+    return df.where(F.col(key).isNotNull() & F.col(start).isNotNull()).groupBy(key).agg(F.max(start).alias(name))
+
+
+def with_start(df: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """The start of each row's current member, NULL where there is none. It is a few bytes in the joins that follow, where
+    the surrogate key would be 64 that no codec shortens; ``member_key`` turns it into the key after the last of them."""
+    return join_dimension(df, small(starts), [key])
+
+
+def member_key(key: str, start: str, missing: str = "-1") -> Column:
+    """The surrogate key of the member version of a key and start, ``missing`` without a start."""
+    return F.when(F.col(start).isNotNull(), version_key(key, start)).otherwise(missing)
 
 
 def with_member(df: DataFrame, dimension: DataFrame, key: str, name: str, missing: str = "-1") -> DataFrame:

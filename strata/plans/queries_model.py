@@ -230,6 +230,11 @@ def members(spark, d, column, name):
     return M.type2_dimension(sales(spark, d).where(f"{column} is not null").select(column, "order_date"), column, "order_date", name)
 
 
+def starts(spark, d, column):
+    """When the current version of each of those members began."""
+    return M.current_starts(sales(spark, d).select(column, "order_date"), column, "order_date", f"{column}_since")
+
+
 _KEY = "sha256({0} || '||' || strftime(max(order_date), '%Y-%m-%d'))"
 _CURRENT = f", c AS (SELECT customer_id, {_KEY.format('customer_id')} AS customer_sk FROM sales GROUP BY 1), p AS (SELECT product_id, {_KEY.format('product_id')} AS product_sk FROM sales WHERE product_id IS NOT NULL GROUP BY 1)"
 
@@ -257,26 +262,30 @@ def _(spark, d):
 
 @query("j02_current_members", sql("sales", _CURRENT + " SELECT c_custkey AS customer_id, coalesce(customer_sk, '-1') AS customer_sk FROM customer LEFT JOIN c ON c_custkey = customer_id"))
 def _(spark, d):
-    return M.with_member(customers(spark, d).select("customer_id"), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
+    out = M.with_start(customers(spark, d).select("customer_id"), starts(spark, d, "customer_id"), "customer_id")
+    return out.select("customer_id", M.member_key("customer_id", "customer_id_since").alias("customer_sk"))
 
 
 @query("m01_fact_orders_with_member_keys", sql("sales fx rates usd", _CURRENT + " SELECT order_id, coalesce(customer_sk, '-1') AS customer_sk, coalesce(product_sk, '-1') AS product_sk, round(amount_usd, 6) AS amount_usd FROM usd LEFT JOIN c USING (customer_id) LEFT JOIN p USING (product_id)"))
 def _(spark, d):
-    out = M.with_member(facts(spark, d), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
-    return M.with_member(out, members(spark, d, "product_id", "product_sk"), "product_id", "product_sk").select("order_id", "customer_sk", "product_sk", *r6("amount_usd"))
+    out = M.with_start(facts(spark, d).select("order_id", "customer_id", "product_id", "amount_usd"), starts(spark, d, "customer_id"), "customer_id")
+    out = M.with_start(out, starts(spark, d, "product_id"), "product_id")
+    return out.select("order_id", M.member_key("customer_id", "customer_id_since").alias("customer_sk"), M.member_key("product_id", "product_id_since").alias("product_sk"), *r6("amount_usd"))
 
 
 @query("m02_fact_behaviour_with_member_keys", sql("behaviour sales", _CURRENT + " SELECT event_id, coalesce(customer_sk, '-1') AS customer_sk, event_type, amount FROM behaviour LEFT JOIN c USING (customer_id)"))
 def _(spark, d):
-    return M.with_member(behaviour(spark, d), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk").select("event_id", "customer_sk", "event_type", "amount")
+    out = M.with_start(behaviour(spark, d), starts(spark, d, "customer_id"), "customer_id")
+    return out.select("event_id", M.member_key("customer_id", "customer_id_since").alias("customer_sk"), "event_type", "amount")
 
 
 @query("m04_fact_sales_with_member_keys", sql("sales", _CURRENT + " SELECT l_orderkey AS order_id, l_linenumber AS line, coalesce(customer_sk, '-1') AS customer_sk, coalesce(product_sk, '-1') AS product_sk, CAST(strftime(order_date, '%Y%m%d') AS INTEGER) AS date_key, l_quantity AS quantity FROM lineitem JOIN sales ON l_orderkey = order_id LEFT JOIN c ON sales.customer_id = c.customer_id LEFT JOIN p ON l_partkey = p.product_id"))
 def _(spark, d):
-    o = sales(spark, d).select("order_id", "customer_id", F.date_format("order_date", "yyyyMMdd").cast("int").alias("date_key"))
+    """Orders find their customer before they meet their lines, and lines carry starts: keys are hashed after the last join."""
+    o = M.with_start(sales(spark, d).select("order_id", "customer_id", F.date_format("order_date", "yyyyMMdd").cast("int").alias("date_key")), starts(spark, d, "customer_id"), "customer_id")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"))
-    out = M.with_member(li.join(o, "order_id"), members(spark, d, "customer_id", "customer_sk"), "customer_id", "customer_sk")
-    return M.with_member(out, members(spark, d, "product_id", "product_sk"), "product_id", "product_sk").select("order_id", "line", "customer_sk", "product_sk", "date_key", "quantity")
+    out = M.with_start(li.join(o, "order_id"), starts(spark, d, "product_id"), "product_id")
+    return out.select("order_id", "line", M.member_key("customer_id", "customer_id_since").alias("customer_sk"), M.member_key("product_id", "product_id_since").alias("product_sk"), "date_key", "quantity")
 
 
 _360 = ", o AS (SELECT customer_id, sum(amount_usd) AS rev, count(DISTINCT order_id) AS n, max(order_date) AS l FROM usd GROUP BY 1), e AS (SELECT customer_id, count(DISTINCT session_id) AS s, count(*) AS n FROM behaviour GROUP BY 1) SELECT customer_id, country, segment, round(coalesce(rev, 0), 2) AS revenue_usd, coalesce(o.n, 0) AS orders, l AS last_order, coalesce(s, 0) AS sessions, coalesce(e.n, 0) AS events, round(coalesce(rev, 0) * 1.5, 2) AS lifetime_value_usd FROM customers LEFT JOIN o USING (customer_id) LEFT JOIN e USING (customer_id)"
